@@ -35,7 +35,7 @@ LOOK_ALIKES = dict(
     )
 )
 _KEPT_TAGS = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>", "<compat> 0020", "<compat> 0028")
-_INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
+INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 _BLANKS = r"[\t\x0B\f\x1C-\x1F   -   　]"
 _LINE_ENDS = r"\r\n|[\r\u0085  ]"
 _JOINERS = ("‍", "️")
@@ -61,7 +61,7 @@ def character_tables() -> tuple[list[tuple[str, int, str, int]], list[tuple[str,
         if 0xAC00 <= cp <= 0xD7A3:
             continue  # Hangul syllables are composed and stable
         flat, ccc = _decomposed(ch), unicodedata.combining(ch)
-        if ch in _INVISIBLE:
+        if ch in INVISIBLE:
             flat = ""
         elif flat.isspace() and not ch.isspace():
             flat = ch

@@ -2,12 +2,19 @@
 
 # Labels that page templates print around a text, one language a line.
 FURNITURE = (
-    "Home | Products | Guides | Support | Sign in · sign out · Menu · Toggle navigation · Search this site · Skip to main content · Previous · Next · Back to top · Back to all guides · On this page · In this chapter · You are here · Contents Index Glossary · Related topics · See also · Popular articles · Most read this week · Table of contents · Download this book as PDF · Accept all · Reject · Preferences · We use cookies to improve your visit · Accept cookies · By continuing to browse you agree to our cookie policy · Your privacy choices · Manage consent · Terms of use | Privacy | Accessibility | Contact · Legal notice · Trademarks · Site map · All rights reserved · Copyright · Last updated · Page 1 of 2 · Was this page helpful? Yes / No · Send feedback about this page · Rate this article · votes so far · people found this useful · Ask the community · answers · Subscribe to our newsletter · Follow us for product news · Share: mail, print, link · Language: English (change) · Expand all · Collapse all · viewed times · min read · Webinar: register now · Tags · Signed in as · printed · New here? Start with · Chapter · Library",
-    "Início | Produtos | Guias | Suporte | Entrar · Sair · Abrir o menu · Pesquisar neste site · Ir para o conteúdo principal · Anterior · Próximo · Voltar ao topo · Voltar ao índice de guias · Nesta página · Neste capítulo · Você está aqui · Assuntos relacionados · Veja também · Artigos populares · Mais lidos da semana · Baixar este livro em PDF · Usamos cookies para melhorar a sua visita · Aceitar todos · Recusar · Preferências · Ao continuar, você concorda com a nossa política de privacidade · guarda pequenos arquivos no seu aparelho · Termos de uso | Privacidade | Acessibilidade | Contato · Todos os direitos reservados · Atualizado em · Página 1 de 2 · Esta página foi útil? Sim / Não · Assine o nosso boletim · visto vezes · min de leitura · Artigo · Capítulo · Biblioteca do Conhecimento · Dúvidas sobre · Configuração",
-    "Inicio | Productos | Guías | Ayuda | Entrar · Mostrar el menú · Buscar en este sitio · Saltar al contenido principal · Anterior · Siguiente · Volver arriba · En esta página · En este capítulo · Está aquí · Temas relacionados · Véase también · Lo más leído de la semana · Descargar este libro en PDF · Usamos cookies para mejorar su visita · Aceptar todas · Rechazar · Preferencias · Este sitio guarda pequeños archivos en su equipo. Si continúa, acepta nuestra política de privacidad · Condiciones | Privacidad | Accesibilidad | Contacto · Todos los derechos reservados · Actualizado el · Página 1 de 2 · ¿Le ha sido útil esta página? Sí / No · visto veces · min de lectura · Artículo · Capítulo · Biblioteca del Conocimiento · Cómo funciona · Preguntas",
-    "Accueil | Produits | Guides | Assistance | Connexion · Rechercher sur ce site · Aller au contenu principal · Précédent · Suivant · Haut de page · Sur cette page · Dans ce chapitre · Vous êtes ici · Sujets associés · Voir aussi · Les plus lus de la semaine · Télécharger ce livre au format PDF · Nous utilisons des cookies pour améliorer votre visite · Tout accepter · Refuser · Préférences · Ce site dépose de petits fichiers sur votre appareil. En poursuivant, vous acceptez notre politique de confidentialité · Conditions | Confidentialité | Accessibilité | Contact · Tous droits réservés · Mise à jour le · Page 1 sur 2 · Cette page vous a-t-elle été utile ? Oui / Non · vu fois · min de lecture · Article · Chapitre · Bibliothèque du Savoir · Questions fréquentes · Réglages",
-    "Startseite | Produkte | Handbücher | Hilfe | Anmelden · Diese Website durchsuchen · Zum Hauptinhalt springen · Zurück · Weiter · Nach oben · Auf dieser Seite · In diesem Kapitel · Sie sind hier · Verwandte Themen · Siehe auch · Meistgelesen diese Woche · Dieses Buch als PDF laden · Wir verwenden Cookies, um Ihren Besuch zu verbessern · Alle annehmen · Ablehnen · Einstellungen · Diese Seite speichert kleine Dateien auf Ihrem Gerät. Mit der weiteren Nutzung stimmen Sie unserer Datenschutzerklärung zu · Nutzungsbedingungen | Datenschutz | Impressum | Kontakt · Alle Rechte vorbehalten · Stand · Seite 1 von 2 · War diese Seite hilfreich? Ja / Nein · aufgerufen · Lesezeit · Artikel · Kapitel · Wissensbibliothek · Häufige Fragen · Überblick",
-    "Pagina iniziale | Prodotti | Guide | Assistenza | Accedi · Cerca nel sito · Vai al contenuto principale · Precedente · Successivo · Torna su · In questa pagina · In questo capitolo · Ti trovi qui · Argomenti correlati · Vedi anche · I più letti della settimana · Scarica questo libro in PDF · Usiamo i cookie per migliorare la visita · Accetta tutto · Rifiuta · Preferenze · Questo sito salva piccoli file sul dispositivo. Continuando si accetta la nostra informativa sulla privacy · Condizioni | Privacy | Accessibilità | Contatti · Tutti i diritti riservati · Aggiornato il · Pagina 1 di 2 · Questa pagina è stata utile? Sì / No · letto volte · Articolo · Capitolo · Biblioteca del Sapere",
-    "Главная | Продукты | Руководства | Поддержка | Войти · Поиск по сайту · Перейти к основному содержанию · Назад · Далее · Наверх · На этой странице · В этой главе · Вы здесь · Похожие темы · См. также · Смотрите также · Самое читаемое за неделю · Скачать эту книгу в PDF · Мы используем файлы cookie, чтобы сделать посещение удобнее · Принять все · Отклонить · Настройки · Этот сайт сохраняет на устройстве небольшие файлы. Продолжая просмотр, вы принимаете нашу политику конфиденциальности · Условия | Конфиденциальность | Доступность | Контакты · Все права защищены · Обновлено · Страница 1 из 2 · Была ли эта страница полезной? Да / Нет · просмотров · мин · Статья · Глава · Библиотека знаний · Частые вопросы · Обзор",
-    "ホーム | 製品 | ガイド | サポート | ログイン · サイト内を検索 · 本文へ移動 · 前へ · 次へ · トップへ戻る · このページの内容 · この章の内容 · 現在地 · 関連項目 · 関連情報 · 今週よく読まれた記事 · この本をPDFで保存 · このサイトではクッキーを使用しています。すべて許可 · 拒否 · 端末に小さなファイルを保存します · 利用規約 | プライバシー | アクセシビリティ | 問い合わせ · 無断転載を禁じます · 最終更新 · ページ · このページは役に立ちましたか。 はい / いいえ · 記事 · 閲覧 回 · ナレッジライブラリ",
+    "Home | Products | Guides | Support | Sign in · sign out · Menu · Toggle navigation · Search this site · Skip to main content · Previous · Next · Back to top · Back to all guides · On this page · In this chapter · You are here · Contents Index Glossary · Related topics · See also · Popular articles · Most read this week · Table of contents · Download this book as PDF · Accept all · Reject · Preferences · We use cookies to improve your visit · Accept cookies · By continuing to browse you agree to our cookie policy · Your privacy choices · Manage consent · Terms of use | Privacy | Accessibility | Contact · Legal notice · Trademarks · Site map · All rights reserved · Copyright · Last updated · Page 1 of 2 · Was this page helpful? Yes / No · Send feedback about this page · Rate this article · votes so far · people found this useful · Ask the community · answers · Subscribe to our newsletter · Follow us for product news · Share: mail, print, link · Language: English (change) · Expand all · Collapse all · viewed times · min read · Webinar: register now · Tags · Signed in as · printed · New here? Start with · Ask the community about (0 answers) · Webinar: register now for the session · Tags: a, setup, how-to · Copyright 2024, the library team and its partners · © 2024 Knowledge Library. All rights reserved · Home > Library > gd-a-01 > Chapter 1 · You are here: gd-a-01 / · In this chapter: · See also: · Article AB-1 · 12 · Article AB-1 · viewed 12 times · Session AB-1 · build 1 · printed 1/2/2024",
+    "Início | Produtos | Guias | Suporte | Entrar · Sair · Abrir o menu · Pesquisar neste site · Ir para o conteúdo principal · Anterior · Próximo · Voltar ao topo · Voltar ao índice de guias · Nesta página · Neste capítulo · Você está aqui · Assuntos relacionados · Veja também · Artigos populares · Mais lidos da semana · Baixar este livro em PDF · Usamos cookies para melhorar a sua visita · Aceitar todos · Recusar · Preferências · Ao continuar, você concorda com a nossa política de privacidade · guarda pequenos arquivos no seu aparelho · Termos de uso | Privacidade | Acessibilidade | Contato · Todos os direitos reservados · Atualizado em · Página 1 de 2 · Esta página foi útil? Sim / Não · Assine o nosso boletim · visto vezes · min de leitura · Artigo · Capítulo · Biblioteca do Conhecimento · Início > Biblioteca > gd-a-01 > Capítulo 1 · Você está aqui: gd-a-01 / · Veja também: · Anterior: · Próximo: · Artigo AB-1 · © 2024 Biblioteca do Conhecimento",
+    "Inicio | Productos | Guías | Ayuda | Entrar · Mostrar el menú · Buscar en este sitio · Saltar al contenido principal · Anterior · Siguiente · Volver arriba · En esta página · En este capítulo · Está aquí · Temas relacionados · Véase también · Lo más leído de la semana · Descargar este libro en PDF · Usamos cookies para mejorar su visita · Aceptar todas · Rechazar · Preferencias · Este sitio guarda pequeños archivos en su equipo. Si continúa, acepta nuestra política de privacidad · Condiciones | Privacidad | Accesibilidad | Contacto · Todos los derechos reservados · Actualizado el · Página 1 de 2 · ¿Le ha sido útil esta página? Sí / No · visto veces · min de lectura · Artículo · Capítulo · Biblioteca del Conocimiento · Inicio > Biblioteca > gd-a-01 > Capítulo 1 · Está aquí: gd-a-01 / · Véase también: · Anterior: · Siguiente: · Artículo AB-1 · © 2024 Biblioteca del Conocimiento",
+    "Accueil | Produits | Guides | Assistance | Connexion · Rechercher sur ce site · Aller au contenu principal · Précédent · Suivant · Haut de page · Sur cette page · Dans ce chapitre · Vous êtes ici · Sujets associés · Voir aussi · Les plus lus de la semaine · Télécharger ce livre au format PDF · Nous utilisons des cookies pour améliorer votre visite · Tout accepter · Refuser · Préférences · Ce site dépose de petits fichiers sur votre appareil. En poursuivant, vous acceptez notre politique de confidentialité · Conditions | Confidentialité | Accessibilité | Contact · Tous droits réservés · Mise à jour le · Page 1 sur 2 · Cette page vous a-t-elle été utile ? Oui / Non · vu fois · min de lecture · Article · Chapitre · Bibliothèque du Savoir · Accueil > Bibliothèque > gd-a-01 > Chapitre 1 · Vous êtes ici : gd-a-01 / · Voir aussi : · Précédent : · Suivant : · Article AB-1 · © 2024 Bibliothèque du Savoir",
+    "Startseite | Produkte | Handbücher | Hilfe | Anmelden · Diese Website durchsuchen · Zum Hauptinhalt springen · Zurück · Weiter · Nach oben · Auf dieser Seite · In diesem Kapitel · Sie sind hier · Verwandte Themen · Siehe auch · Meistgelesen diese Woche · Dieses Buch als PDF laden · Wir verwenden Cookies, um Ihren Besuch zu verbessern · Alle annehmen · Ablehnen · Einstellungen · Diese Seite speichert kleine Dateien auf Ihrem Gerät. Mit der weiteren Nutzung stimmen Sie unserer Datenschutzerklärung zu · Nutzungsbedingungen | Datenschutz | Impressum | Kontakt · Alle Rechte vorbehalten · Stand · Seite 1 von 2 · War diese Seite hilfreich? Ja / Nein · aufgerufen · Lesezeit · Artikel · Kapitel · Wissensbibliothek · Startseite > Bibliothek > gd-a-01 > Kapitel 1 · Sie sind hier: gd-a-01 / · Siehe auch: · Zurück: · Weiter: · Artikel AB-1 · © 2024 Wissensbibliothek",
+    "Pagina iniziale | Prodotti | Guide | Assistenza | Accedi · Cerca nel sito · Vai al contenuto principale · Precedente · Successivo · Torna su · In questa pagina · In questo capitolo · Ti trovi qui · Argomenti correlati · Vedi anche · I più letti della settimana · Scarica questo libro in PDF · Usiamo i cookie per migliorare la visita · Accetta tutto · Rifiuta · Preferenze · Questo sito salva piccoli file sul dispositivo. Continuando si accetta la nostra informativa sulla privacy · Condizioni | Privacy | Accessibilità | Contatti · Tutti i diritti riservati · Aggiornato il · Pagina 1 di 2 · Questa pagina è stata utile? Sì / No · letto volte · Articolo · Pagina iniziale > Biblioteca > gd-a-01 > Capitolo 1 · Siete qui: gd-a-01 / · Vedi anche: · Precedente: · Successivo: · Articolo AB-1 · © 2024 Biblioteca del Sapere",
+    "Главная | Продукты | Руководства | Поддержка | Войти · Поиск по сайту · Перейти к основному содержанию · Назад · Далее · Наверх · На этой странице · В этой главе · Вы здесь · Похожие темы · См. также · Смотрите также · Самое читаемое за неделю · Скачать эту книгу в PDF · Мы используем файлы cookie, чтобы сделать посещение удобнее · Принять все · Отклонить · Настройки · Этот сайт сохраняет на устройстве небольшие файлы. Продолжая просмотр, вы принимаете нашу политику конфиденциальности · Условия | Конфиденциальность | Доступность | Контакты · Все права защищены · Обновлено · Страница 1 из 2 · Была ли эта страница полезной? Да / Нет · просмотров · мин · Статья · Глава · Библиотека знаний · Главная > Библиотека > gd-a-01 > Глава 1 · Вы здесь: gd-a-01 / · См. также: · Назад: · Далее: · Статья AB-1 · © 2024 Библиотека знаний",
+    "ホーム | 製品 | ガイド | サポート | ログイン · サイト内を検索 · 本文へ移動 · 前へ · 次へ · トップへ戻る · このページの内容 · この章の内容 · 現在地 · 関連項目 · 関連情報 · 今週よく読まれた記事 · この本をPDFで保存 · このサイトではクッキーを使用しています。すべて許可 · 拒否 · 端末に小さなファイルを保存します · 利用規約 | プライバシー | アクセシビリティ | 問い合わせ · 無断転載を禁じます · 最終更新 · ページ · このページは役に立ちましたか。 はい / いいえ · 記事 · 閲覧 回 · ホーム > ライブラリ > gd-a-01 > 第1章 · 現在の位置: gd-a-01 / · 関連項目: · 前へ: · 次へ: · 記事 AB-1 · © 2024 ナレッジライブラリ",
+)
+
+# Headings and marks that stand alone in main text.
+BODY = (
+    "Setup", "Steps", "Example", "Prerequisites", "Note:", "Areas", "Modules", "Overview", "Storage:", "Tables:", "Tables used:", "Áreas", "Módulos", "Passos", "Exemplo", "Pré-requisitos", "Nota:",
+    "Pasos", "Ejemplo", "Requisitos previos", "Étapes", "Exemple", "Prérequis", "Remarque :", "Schritte", "Beispiel", "Voraussetzungen", "Hinweis:", "Passi", "Esempio", "Prerequisiti", "Шаги", "Пример",
+    "Предварительные требования", "Примечание:", "手順", "例", "前提条件", "注：",
 )

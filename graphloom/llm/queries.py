@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import boilerplate, lookalikes, mojibake, packing, splitting, tokenizer
+from graphloom.llm import boilerplate, languages, lookalikes, mojibake, packing, splitting, tokenizer
 from graphloom.sources.tables import read_table
 
 
@@ -19,6 +19,8 @@ def queries() -> dict:
         "p7_ids": lambda spark, root: tokenizer.encode_corpus(read_table(spark, root, "documents")),
         "p8_pack": packing.pack_documents,
         "p8_fill": packing.container_fill,
+        "p9_found": languages.found,
+        "p9_segments": languages.segment_languages,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import boilerplate, languages, lookalikes, mojibake, packing, splitting, tokenizer
+from graphloom.llm import boilerplate, languages, lookalikes, mojibake, packing, similar, splitting, tokenizer
 from graphloom.sources.tables import read_table
 
 
@@ -12,6 +12,8 @@ def queries() -> dict:
         "p1_normalized": lookalikes.normalized,
         "p2_found": splitting.found,
         "p2_pieces": splitting.catalog_pieces,
+        "p3_found": similar.found,
+        "p3_nearest": similar.nearest,
         "p4_found": boilerplate.found,
         "p4_body": boilerplate.main_body,
         "p6_found": mojibake.found,

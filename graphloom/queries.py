@@ -1,36 +1,712 @@
-"""The registered core queries with their SQL."""
+"""The registered core queries. ``graphloom.oracle`` has the SQL of those that SQL can state."""
 
 from __future__ import annotations
 
-from graphloom.operators import references
-
-_REFERENCES = """
-    WITH refs AS (
-        SELECT DISTINCT 'validated_rules' AS table_name, id AS record_id, 'joins.right' AS field_name, j."right" AS ref_value, 'c' AS kind, loaded_at AS "at"
-        FROM (SELECT id, loaded_at, unnest(joins) AS j FROM validated_rules)
-        UNION SELECT DISTINCT 'entity_aliases', entity_id, 'tables', v, 't', loaded_at FROM (SELECT entity_id, loaded_at, unnest(tables) AS v FROM entity_aliases)
-        UNION SELECT DISTINCT 'entity_aliases', entity_id, 'rest_resources', v, 'r', loaded_at FROM (SELECT entity_id, loaded_at, unnest(rest_resources) AS v FROM entity_aliases)
-    ), parents AS (
-        SELECT 'c' AS kind, lower(trim(table_name || '.' || name)) AS key, min(loaded_at) AS born, CASE WHEN count(deleted_at) = count(*) THEN max(deleted_at) END AS gone FROM physical_column GROUP BY 2
-        UNION ALL SELECT 't', lower(trim(table_name)), min(loaded_at), CASE WHEN count(deleted_at) = count(*) THEN max(deleted_at) END FROM physical_table GROUP BY 2
-        UNION ALL SELECT 'r', lower(trim(name)), min(loaded_at), CASE WHEN count(deleted_at) = count(*) THEN max(deleted_at) END FROM rest_resource GROUP BY 2
-    ), judged AS (
-        SELECT r.*, CASE WHEN p.key IS NULL THEN 'missing' WHEN p.born > r."at" THEN 'late' WHEN p.gone <= r."at" THEN 'deleted' ELSE 'valid' END AS status
-        FROM refs r LEFT JOIN parents p ON p.kind = r.kind AND p.key = lower(trim(r.ref_value))
-        WHERE trim(r.ref_value) <> ''
-    )
-"""
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
+from graphloom.operators import catalog, checks, context, corpus, federated, graph, index, lexical, references, rules, vector
+from graphloom.plans import catalog_graph
+from graphloom.sources import files, html
+from graphloom.sources.tables import cut_lineage, read_table, shared_dir
 
-def queries() -> dict:
-    return {
-        "p5_found": references.orphan_references,
-        "p5_report": references.orphan_report,
-    }
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _long(name: str, column=None):
+    return (F.col(name) if column is None else column).cast("bigint").alias(name)
+
+
+# scans and projections
+
+
+@query
+def scan_filter_project_lineitem(spark, root):
+    return read_table(spark, root, "lineitem").where((F.col("l_quantity") > 45) & (F.col("l_discount") < 0.03)).select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4).alias("net"))
+
+
+@query
+def json_props_extract(spark, root):
+    e = read_table(spark, root, "events").select("event_id", F.try_parse_json("props").alias("v"))
+    return e.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"))
+
+
+@query
+def collection_errors_dropped(spark, root):
+    s = read_table(spark, root, "functional_section")
+    return files.without_errors(s).groupBy("module_id").agg(_long("n", F.count_distinct("id")))
+
+
+@query
+def html_title_and_text(spark, root):
+    """Titles and main text of pages built from the sections, page furniture left out."""
+    s = read_table(spark, root, "functional_section").where("title IS NOT NULL").select("id", "title").distinct()
+    page = F.concat(F.lit("<html><nav><a href='/x'>menu</a></nav><h1>"), F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("</h1><p>body</p><footer>foot</footer></html>"))
+    pages = s.select("id", page.alias("html"))
+    return html.page_sections(pages).select("id", F.col("title"), "level", F.col("text").alias("body"))
+
+
+@query
+def html_links(spark, root):
+    """Links of pages built from the sections of each guide, below the folder of the page, each once."""
+    s = read_table(spark, root, "functional_section").select("guide_id", F.col("source.url").alias("url")).where("url IS NOT NULL").distinct()
+    page = s.groupBy("guide_id").agg(F.array_join(F.transform(F.array_sort(F.collect_set("url")), lambda u: F.concat(F.lit("<li><a href='"), u, F.lit("#top'>x</a></li><li><a href='"), u, F.lit("'>y</a></li>"))), "").alias("body"))
+    pages = page.select(F.concat(F.lit("https://docs.kb.example/"), "guide_id", F.lit("/toc.html")).alias("url"), F.concat(F.lit("<ul>"), "body", F.lit("</ul>")).alias("html"))
+    return html.toc_links(pages).select("page", "url", "label")
+
+
+@query
+def url_parts_release(spark, root):
+    d = read_table(spark, root, "documents").where("url IS NOT NULL")
+    return d.select("doc_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.element_at(F.split(F.parse_url("url", F.lit("PATH")), "/"), -1).alias("file"), T.release_of(F.concat(F.lit("https://h/24b/"), F.col("guide_id"))).alias("release"))
+
+
+# text
+
+
+@query
+def text_normalize_space(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", F.md5(T.normalize_space("text")).alias("h"))
+
+
+@query
+def text_normalize(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", T.normalize_text("title").alias("t"))
+
+
+@query
+def text_tokenize_counts(spark, root):
+    t = read_table(spark, root, "documents").select("doc_id", T.tokenize("text").alias("t"))
+    return t.select("doc_id", _long("n_tokens", F.size("t")), _long("n_distinct", F.size(F.array_distinct("t"))))
+
+
+@query
+def text_tokens_exploded(spark, root):
+    s = read_table(spark, root, "lang_samples").select(F.col("sample_id").alias("id"), "text")
+    return lexical.postings(s, F.col("text")).select("id", "term", _long("tf"), _long("dl"))
+
+
+@query
+def text_slugify_stable_id(spark, root):
+    p = read_table(spark, root, "physical_table").select("table_name", "description").distinct()
+    return p.select("table_name", T.slugify("description").alias("slug"), T.stable_id("table", F.col("table_name"), F.col("description")).alias("sid"))
+
+
+@query
+def text_merge_fields(spark, root):
+    p = read_table(spark, root, "part")
+    return p.select("p_partkey", T.merge_text(F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("p_size").cast("string")).alias("merged"))
+
+
+@query
+def text_mentions(spark, root):
+    s = read_table(spark, root, "functional_section").where("text IS NOT NULL").select("id", "text").distinct()
+    m = F.array_sort(T.mentions("text"))
+    return s.select("id", F.md5("text").alias("h"), F.array_join(m, ",").alias("tables")).where(F.col("tables") != "")
+
+
+@query
+def text_documented_references(spark, root):
+    r = read_table(spark, root, "validated_rules").select("id", F.explode("joins").alias("j")).select("id", F.concat(F.lit("The value references to "), "j.right", F.lit(" always.")).alias("t")).where("t IS NOT NULL").distinct()
+    found = r.select("id", F.explode(T.documented_references("t")).alias("r"))
+    return found.select("id", F.col("r.table").alias("table_name"), F.col("r.column").alias("column_name"))
+
+
+@query
+def text_confidence_score(spark, root):
+    o = read_table(spark, root, "rest_operation")
+    return o.groupBy("confidence").agg(F.max(T.confidence_score("confidence")).alias("score"), _long("n", F.count(F.lit(1))))
+
+
+@query
+def text_semantic_normalize(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", F.md5(T.normalize_semantic_text("text")).alias("h"))
+
+
+@query
+def text_sha256_dedupe(spark, root):
+    d = corpus.dedup_counters(read_table(spark, root, "documents"), F.col("text"))
+    return d.select(*[_long(c) for c in d.columns])
+
+
+@query
+def text_keywords_top30(spark, root):
+    s = read_table(spark, root, "lang_samples")
+    return s.select("sample_id", F.array_join(T.keywords(T.tokenize("text")), " ").alias("keywords"))
+
+
+@query
+def text_truncate_summary(spark, root):
+    return read_table(spark, root, "documents").select("doc_id", F.md5(T.truncate_summary("text")).alias("h"))
+
+
+@query
+def page_classifier(spark, root):
+    d = read_table(spark, root, "documents")
+    return d.select("doc_id", catalog.classify_page(F.col("title"), F.col("text"), F.col("url")).alias("kind"))
+
+
+# catalog
+
+
+def _references(spark, root):
+    r = read_table(spark, root, "validated_rules").select(F.explode("joins").alias("j")).select(F.upper(F.trim("j.left")).alias("l"), F.upper(F.trim("j.right")).alias("r")).where("l IS NOT NULL AND r IS NOT NULL AND r <> ''")
+    part = lambda c, i: F.element_at(F.split(c, "[.]"), i)
+    return r.where((F.size(F.split("l", "[.]")) == 2) & (F.size(F.split("r", "[.]")) == 2)).select(part("l", 1).alias("table_name"), part("l", 2).alias("column_name"), part("r", 1).alias("target_table"), part("r", 2).alias("target_column")).distinct()
+
+
+@query
+def catalog_column_roles(spark, root):
+    columns = read_table(spark, root, "physical_column").select("id", "table_name", "name", "datatype", "description").distinct()
+    out = catalog.classify_columns(columns, read_table(spark, root, "physical_table"), _references(spark, root))
+    return out.select("id", F.md5(F.coalesce("description", F.lit(""))).alias("h"), F.array_join("semantic_roles", ",").alias("roles"), F.col("semantic_role").alias("role"))
+
+
+@query
+def catalog_grain(spark, root):
+    p = read_table(spark, root, "physical_table").select("table_name", "primary_key").distinct().withColumn("g", catalog.result_grain(F.col("primary_key")))
+    return p.select("table_name", F.col("g.description").alias("grain"), F.col("g.confidence").alias("confidence"))
+
+
+@query
+def catalog_table_rules(spark, root):
+    r = catalog.table_rules(read_table(spark, root, "physical_table"), read_table(spark, root, "physical_column"), _references(spark, root))
+    return r.groupBy("rule_type").agg(_long("n_rules", F.count(F.lit(1))), _long("n_tables", F.count_distinct("table_name")), _long("n_columns", F.sum(F.size("columns"))))
+
+
+@query
+def catalog_ranking_rules(spark, root):
+    """On the catalog with names turned to versions and flags, so that every kind of candidate occurs."""
+    c = read_table(spark, root, "physical_column").select("table_name", F.regexp_replace(F.regexp_replace(F.regexp_replace("name", "_NO$", "_NUMBER"), "_FLG$", "_CURRENT_FLAG"), "^CHANGE_TS$", "LAST_UPDATE_DATE").alias("name")).distinct()
+    out = catalog.ranking_candidates(read_table(spark, root, "physical_table"), c)
+    return out.groupBy("purpose", "column").agg(_long("n", F.count(F.lit(1))))
+
+
+@query
+def rule_latest_version(spark, root):
+    rule = rules.Rule("orders", [("o_orderstatus", "=", "O"), ("c_mktsegment", "=", "BUILDING")], [("customer", "o_custkey", "c_custkey")], ["o_custkey"], [("o_orderdate", True), ("o_orderkey", True)], ["o_custkey", "o_orderkey", "o_totalprice"])
+    return rules.run_rule(rule, {t: read_table(spark, root, t) for t in ("orders", "customer")})
+
+
+@query
+def rule_latest_event(spark, root):
+    rule = rules.Rule("events", [], [], ["user_id", "event_type"], [("ts", True), ("event_id", True)], ["user_id", "event_type", "event_id", "value"])
+    return rules.run_rule(rule, {"events": read_table(spark, root, "events")})
+
+
+@query
+def rule_current_flag(spark, root):
+    rule = rules.Rule("lineitem", [("l_linestatus", "=", "O"), ("l_returnflag", "IN", ["N", "R"])], [], [], [], ["l_orderkey", "l_linenumber", "l_quantity"])
+    return rules.run_rule(rule, {"lineitem": read_table(spark, root, "lineitem")})
+
+
+# graph
+
+
+@query
+def node_union_merge(spark, root):
+    c = read_table(spark, root, "customer").select(F.concat(F.lit("nation:"), F.col("c_nationkey")).alias("id"), F.lit("party").alias("node_type"), F.lit(None).cast("string").alias("title"), F.array("c_mktsegment").alias("modules"), (F.col("c_custkey") + 1000).alias("load_seq"), F.lit(0.5).alias("confidence_score"), F.lit("").alias("search_text"))
+    n = read_table(spark, root, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey")).alias("id"), F.lit("nation").alias("node_type"), F.col("n_name").alias("title"), F.array(F.lit("core")).alias("modules"), F.col("n_nationkey").cast("bigint").alias("load_seq"), F.lit(0.9).alias("confidence_score"), F.col("n_name").alias("search_text"))
+    m = graph.merge_nodes([n, c], ["node_type", "title"], ["modules"])
+    return m.select("id", "node_type", "title", F.array_join(F.array_sort("modules"), ",").alias("modules"), "confidence_score", "search_text")
+
+
+@query
+def edge_last_write_wins(spark, root):
+    l = read_table(spark, root, "lineitem").select(F.concat(F.lit("part:"), "l_partkey").alias("source"), F.concat(F.lit("supplier:"), "l_suppkey").alias("target"), F.lit("mentions_table").alias("type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("load_seq"), F.col("l_quantity").alias("weight"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("evidence"))
+    return graph.merge_edges(l)
+
+
+@query
+def reference_edges(spark, root):
+    e, _ = graph.resolve_references(_references(spark, root).withColumnsRenamed({"table_name": "source_table", "column_name": "source_column"}), read_table(spark, root, "physical_table"))
+    return e.select("source", "target", "source_column", "target_column", "weight")
+
+
+@query
+def reference_stubs(spark, root):
+    r = _references(spark, root).withColumnsRenamed({"table_name": "source_table", "column_name": "source_column"})
+    _, stubs = graph.resolve_references(r, read_table(spark, root, "physical_table").where("sub_module IS NOT NULL"))
+    return stubs
+
+
+@query
+def edges_with_both_ends(spark, root):
+    l = read_table(spark, root, "lineitem").select(F.concat(F.lit("order:"), "l_orderkey").alias("source"), F.concat(F.lit("part:"), "l_partkey").alias("target")).distinct()
+    o = read_table(spark, root, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("order:"), "o_orderkey").alias("id"))
+    p = read_table(spark, root, "part").where("p_size < 20").select(F.concat(F.lit("part:"), "p_partkey").alias("id"))
+    return graph.with_both_ends(l, o.unionByName(p))
+
+
+@query
+def same_module_names(spark, root):
+    r = read_table(spark, root, "rest_resource").select("id", "name", F.array("module_id").alias("modules")).distinct()
+    o = read_table(spark, root, "rest_operation").select("id", "resource_name", F.array("module_id").alias("modules")).distinct()
+    return graph.match_names(o, r, "resource_name", "name")
+
+
+@query
+def catalog_edges(spark, root):
+    return catalog_graph.edges(spark, root).select("source", "target", "type", "weight")
+
+
+@query
+def module_overlap_filter(spark, root):
+    n = catalog_graph.nodes(spark, root)
+    return n.where(F.arrays_overlap("modules", F.array(F.lit("prc"), F.lit("tax")))).groupBy("node_type").agg(_long("n", F.count(F.lit(1))))
+
+
+@query
+def alias_contains(spark, root):
+    a = read_table(spark, root, "entity_aliases").select(F.col("entity_id").alias("alias_id"), F.explode("aliases").alias("alias")).where("alias IS NOT NULL").distinct()
+    x = read_table(spark, root, "validated_rules").where("description IS NOT NULL").select("id", F.col("description").alias("text")).distinct()
+    return lexical.alias_contains_join(a, x).select("alias_id", "id", _long("n"), F.round("weight", 6).alias("weight"))
+
+
+@query
+def graph_layer_split(spark, root):
+    _, e = graph.split_layers(*catalog_graph.graph(spark, root))
+    return e.groupBy("graph_layer", "type").agg(_long("n", F.count(F.lit(1))))
+
+
+@query
+def graph_master(spark, root):
+    _, e = graph.master_graph(*catalog_graph.graph(spark, root))
+    return e.select("source", "target", "type")
+
+
+@query
+def graph_stats(spark, root):
+    return graph.graph_stats(*catalog_graph.graph(spark, root))
+
+
+@query
+def graph_adjacency_degree(spark, root):
+    a = graph.adjacency(catalog_graph.edges(spark, root))
+    return a.groupBy("from_id").agg(_long("degree", F.count(F.lit(1))), F.round(F.sum("weight"), 4).alias("total"))
+
+
+def _seeds(spark, root):
+    return read_table(spark, root, "entity_aliases").select(F.concat(F.lit("business_entity:"), "entity_id").alias("id")).distinct().orderBy("id").limit(12).withColumn("score", F.lit(1.0))
+
+
+@query
+def graph_expand_1hop(spark, root):
+    return graph.expand(_seeds(spark, root), catalog_graph.edges(spark, root), 1).select("node", F.round("graph_score", 6).alias("score"))
+
+
+@query
+def graph_expand_2hop(spark, root):
+    return graph.expand(_seeds(spark, root), catalog_graph.edges(spark, root), 2).select("node", F.round("graph_score", 6).alias("score"))
+
+
+@query
+def graph_paths_top3(spark, root):
+    return graph.expansion_paths(_seeds(spark, root), catalog_graph.edges(spark, root), 2).select("node", "rank", F.round("score", 6).alias("score"), F.array_join("path", " > ").alias("path"))
+
+
+# retrieval
+
+
+def _documents(spark, root):
+    return read_table(spark, root, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _sample_queries(spark, root):
+    return read_table(spark, root, "lang_samples").select(F.col("sample_id").alias("query_id"), "text")
+
+
+@query
+def document_frequencies(spark, root):
+    return lexical.document_frequency(lexical.postings(_documents(spark, root), F.col("text"))).select("term", _long("df"))
+
+
+@query
+def corpus_length(spark, root):
+    s = lexical.corpus_stats(_documents(spark, root), F.col("text"))
+    return s.select(_long("n_docs"), F.round("avgdl", 6).alias("avgdl"))
+
+
+def _bm25(spark, root):
+    d = _documents(spark, root)
+    return lexical.postings(d, F.col("text")), lexical.corpus_stats(d, F.col("text")), lexical.query_terms(_sample_queries(spark, root), F.col("text"))
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p5_found": _REFERENCES + "SELECT DISTINCT table_name, record_id, field_name, ref_value FROM judged WHERE status <> 'valid'",
-        "p5_report": _REFERENCES + "SELECT table_name, field_name, strftime(judged.at, '%Y-%m') AS month, status, count(*) AS n_refs FROM judged WHERE status <> 'valid' GROUP BY ALL",
-    }
+@query
+def bm25_topk(spark, root):
+    """The 10 best documents of each sample text as a query."""
+    s = lexical.bm25(*_bm25(spark, root)).withColumn("score", F.round("bm25", 5))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return s.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("query_id", "id", "score", _long("rank"))
+
+
+@query
+def root_scores_minmax(spark, root):
+    return lexical.root_scores(*_bm25(spark, root), limit=20).select("query_id", "id", _long("rank"), F.round("score", 4).alias("score"))
+
+
+@query
+def title_scores(spark, root):
+    n = catalog_graph.nodes(spark, root)
+    q, tokens = F.lit("ledger periods"), T.tokenize(F.lit("ledger periods"))
+    s = lexical.title_score(q, tokens, F.col("title"), F.col("qualified_name"), F.col("name"))
+    return n.select("id", F.round(s, 6).alias("score")).where("score > 0")
+
+
+@query
+def keyword_scores(spark, root):
+    n = catalog_graph.nodes(spark, root).where("node_type = 'business_entity'")
+    q = "delivery schedule and the stock count"
+    kw = T.keywords(T.tokenize("title"))
+    return n.select("id", F.round(lexical.keyword_score(T.tokenize(F.lit(q)), F.lit(q), kw, F.concat(F.array("name", "qualified_name"), "aliases")), 4).cast("double").alias("score")).where("score > 0")
+
+
+@query
+def auxiliary_penalties(spark, root):
+    p = read_table(spark, root, "physical_table").select("table_name").distinct()
+    return p.select("table_name", lexical.auxiliary_penalty(F.lit("physical_table"), F.col("table_name"), F.lit("open invoices"), T.tokenize(F.lit("open invoices"))).alias("penalty"))
+
+
+@query
+def evidence_groups(spark, root):
+    n = catalog_graph.nodes(spark, root)
+    return n.groupBy(context.evidence_group(F.col("node_type"), F.col("source_type")).alias("evidence_group")).agg(_long("n", F.count(F.lit(1))))
+
+
+@query
+def hybrid_search(spark, root):
+    n, e = catalog_graph.graph(spark, root)
+    return lexical.hybrid_search(n.withColumn("keywords", T.keywords(T.tokenize("title"))), e, "ledger periods of the budget version", 20)
+
+
+@query
+def direct_scores(spark, root):
+    """Direct scores of all catalog nodes for two queries."""
+    n = catalog_graph.nodes(spark, root).withColumn("keywords", T.keywords(T.tokenize("title")))
+    q = spark.createDataFrame([(1, "rate types"), (2, "stock count of the site directory")], "query_id int, text string")
+    s = lexical.direct_scores(n, q)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("direct_score", 5)), "id")
+    return s.withColumn("rank", F.row_number().over(order)).where("rank <= 50").select("query_id", "id", F.round("direct_score", 5).alias("score"), _long("rank"))
+
+
+@query
+def children_prefilter(spark, root):
+    """For each resource 4 operations, those that name the approval history first."""
+    e = catalog_graph.edges(spark, root).where("type = 'has_operation'")
+    o = read_table(spark, root, "rest_operation").select("id", "title", F.col("description").alias("d")).distinct()
+    hit = o.where(F.contains(F.lower("d"), F.lit("approval history"))).select("id", F.length("d").cast("double").alias("score"))
+    return lexical.prefilter_children(e, o.select("id", "title"), hit, 4).select("source", "id", _long("rank"))
+
+
+def _results(spark, root):
+    n = catalog_graph.nodes(spark, root).where("node_type IN ('physical_table', 'business_entity', 'rest_resource', 'validated_rule')")
+    number = F.length("id") * 37 % 101
+    return n.select(F.element_at("modules", 1).alias("query_id"), "id", "title", (number / 101.0 + F.length("title") / 10.0).alias("score"), (F.length("id") * 53 % 97 / 97.0).alias("semantic"), context.evidence_group(F.col("node_type"), F.col("source_type")).alias("evidence_group"))
+
+
+@query
+def semantic_rerank(spark, root):
+    return context.rerank(_results(spark, root)).select("query_id", "id", F.round("context_score", 5).alias("context_score"), _long("rank"), _long("search_rank"))
+
+
+@query
+def context_selection(spark, root):
+    r = context.rerank(_results(spark, root)).withColumn("summary", F.repeat(F.lit("x"), (F.length("id") * 7).cast("int")))
+    return context.select_context(r, 16, 4000)
+
+
+@query
+def context_rendering(spark, root):
+    """Sections of each guide rendered as one context, in order of their ids."""
+    s = read_table(spark, root, "functional_section").select("guide_id", "id", "node_type", "title", F.col("source.source_type").alias("st")).distinct()
+    rank = F.row_number().over(Window.partitionBy("guide_id").orderBy("id", F.coalesce("title", F.lit(""))))
+    s = s.withColumn("rank", rank)
+    item = context.render_item(F.col("rank"), F.col("node_type"), F.col("title"), F.col("st"), F.lit(0.5), F.lit(""))
+    c = context.render_context(s.select(F.col("guide_id").alias("query_id"), "rank", item.alias("item")))
+    return c.select("query_id", F.md5("context").alias("h"), _long("characters"))
+
+
+@query
+def segment_documents(spark, root):
+    s = context.segment_documents(_documents(spark, root))
+    return s.groupBy("id").agg(_long("n_segments", F.count(F.lit(1))), _long("longest", F.max(F.length("segment"))))
+
+
+@query
+def summaries_within_budget(spark, root):
+    """Extractive summaries of at most 500 characters: segments by maximal marginal relevance, fitted, in source order."""
+    s = context.segment_documents(_documents(spark, root))
+    ranked = s.withColumn("mmr_rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("segment")), "segment_index")))
+    out = context.fit_budget(ranked.select(F.col("id").alias("parent"), "segment_index", "segment", "mmr_rank"), 500)
+    return out.select(F.col("parent").alias("doc_id"), _long("n_chars", F.length("summary")), F.md5("summary").alias("h"))
+
+
+@query
+def mmr_ranking(spark, root):
+    """Vectors of each label ranked by maximal marginal relevance to the first vector."""
+    e = read_table(spark, root, "embeddings")
+    first = e.orderBy("vec_id").first()["embedding"]
+    return context.mmr_rank(e.select(F.col("label").alias("parent"), F.col("vec_id").alias("segment_index"), "embedding"), list(first))
+
+
+# vectors
+
+
+def _first_vector(spark, root):
+    return list(read_table(spark, root, "embeddings").orderBy("vec_id").first()["embedding"])
+
+
+@query
+def vector_topk_roots(spark, root):
+    e = read_table(spark, root, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vector.top_k(e, _first_vector(spark, root), 10, 5)
+
+
+def _vector_scores(spark, root):
+    e = read_table(spark, root, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("parent"), F.round(vector.cosine(F.col("embedding"), vector.literal_vector(_first_vector(spark, root))), 5).alias("score"))
+
+
+@query
+def vector_segment_mean_top2(spark, root):
+    return vector.document_scores(_vector_scores(spark, root), 2).select("parent", F.round("score", 4).alias("score"))
+
+
+@query
+def vector_group_topk(spark, root):
+    return vector.group_top_k(_vector_scores(spark, root), "parent", 3).select("parent", "id", "score", _long("rank"))
+
+
+@query
+def vector_shape_check(spark, root):
+    v = read_table(spark, root, "semantic_embeddings").select("vector_id", "embedding", "dimensions").dropDuplicates(["vector_id"])
+    r = vector.shape_report(v, F.col("dimensions"))
+    return r.select(*[_long(c) for c in r.columns])
+
+
+@query
+def vector_block_scan(spark, root):
+    """Exact nearest vectors of a block of queries, the first vector of each label."""
+    e = read_table(spark, root, "embeddings")
+    block = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).orderBy("label").collect()
+    import numpy as np
+
+    found = vector.scan_top_k(e.select(F.col("vec_id").alias("id"), "embedding"), np.array([r["v"] for r in block], dtype=float), 5)
+    return found.select("query_no", "id", F.round("score", 4).alias("score"), "rank")
+
+
+# federated
+
+
+def _entity_scores(spark, root):
+    n = catalog_graph.nodes(spark, root).where("node_type IN ('business_entity', 'validated_rule')")
+    return n.select(F.element_at("modules", 1).alias("query_id"), "id", "node_type", "title", (F.length("title") * 1.0 + F.length("id") / 100.0).alias("score"))
+
+
+@query
+def federated_seeds(spark, root):
+    return federated.master_seeds(_entity_scores(spark, root)).select("query_id", "id", _long("seed_rank"), F.round("seed_score", 6).alias("seed_score"))
+
+
+def _routes(spark, root):
+    return federated.routes(federated.master_seeds(_entity_scores(spark, root)), catalog_graph.edges(spark, root))
+
+
+@query
+def federated_routes(spark, root):
+    return _routes(spark, root).select("query_id", "node", F.round("score", 6).alias("score"), "reason")
+
+
+@query
+def federated_fallback(spark, root):
+    routed = _routes(spark, root).join(catalog_graph.nodes(spark, root).select(F.col("id").alias("node"), graph.node_layer(F.col("node_type")).alias("graph_layer")), "node")
+    r = read_table(spark, root, "rest_resource").select("id", "name").distinct()
+    roots = r.select("id", "name", F.explode(F.array(*[F.lit(m) for m in ("prc", "pay", "tax")])).alias("query_id"))
+    roots = roots.select("query_id", F.lit("service").alias("graph_layer"), F.col("id").alias("node"), F.round(F.length("name") / 40.0, 4).alias("similarity"))
+    queries = spark.createDataFrame([("prc",), ("pay",), ("tax",)], "query_id string")
+    return federated.fallback_roots(routed.where("graph_layer <> 'service'").select("query_id", "graph_layer"), roots, queries, ["service", "physical"]).select("query_id", "node", F.round("score", 6).alias("score"))
+
+
+@query
+def federated_candidates(spark, root):
+    """Routes, physical expansion and service expansion merged by priority."""
+    e, n = catalog_graph.edges(spark, root), catalog_graph.nodes(spark, root)
+    routed = cut_lineage(_routes(spark, root))
+    similarity = n.where("node_type IN ('physical_column', 'rest_operation')").select(F.explode(F.array(*[F.lit(m) for m in ("prc", "pay", "tax")])).alias("query_id"), F.col("id").alias("node"), F.round(F.length("title") / 60.0, 4).alias("similarity"), "title")
+    physical = federated.expand_physical(routed, e, similarity, n)
+    resources = routed.join(n.where("node_type = 'rest_resource'").select(F.col("id").alias("node")), "node", "left_semi")
+    operations = federated.expand_children(resources, e, similarity, "has_operation", federated.OPERATIONS_EACH, 0.65, "semantic_operation", federated.OPERATION_CANDIDATES)
+    parts = [routed.withColumn("priority", F.when(F.col("reason") == "seed", 0).otherwise(1)), physical.withColumn("priority", F.when(F.col("reason") == "bridge", 2).otherwise(3)), operations.withColumn("priority", F.lit(3))]
+    return federated.merge_candidates(parts).select("query_id", "node", F.round("score", 6).alias("score"), "reason", _long("priority"), _long("rank"))
+
+
+# corpus and index
+
+
+def _snapshots(spark, root):
+    d = read_table(spark, root, "documents").select("doc_id", "text")
+    changed = F.when(F.col("doc_id") % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" changed"))).otherwise(F.col("text"))
+    hashed = lambda df: df.select(F.col("doc_id").alias("id"), T.text_hash("text").alias("content_hash"))
+    return hashed(d.where("doc_id % 10 <> 0")), hashed(d.where("doc_id % 11 <> 0").select("doc_id", changed.alias("text")))
+
+
+@query
+def corpus_snapshot_diff(spark, root):
+    """Two states of the corpus, as a refresh sees them: some documents gone, some new, some changed."""
+    return corpus.snapshot_diff(*_snapshots(spark, root))
+
+
+@query
+def corpus_unreferenced_texts(spark, root):
+    old, new = _snapshots(spark, root)
+    h = lambda df: df.select(F.col("content_hash").alias("text_hash")).distinct()
+    return corpus.unreferenced(h(old), h(new))
+
+
+@query
+def corpus_upsert(spark, root):
+    e = read_table(spark, root, "events").select("user_id", "event_type", "event_id", "ts", "value")
+    return corpus.upsert(e.where("event_type <> 'purchase'"), e, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "value")
+
+
+@query
+def embedding_pending(spark, root):
+    e = read_table(spark, root, "semantic_embeddings").select(F.col("normalized_text_hash").alias("text_hash"), "model_name", "embedding_profile_version", "embedding")
+    return corpus.pending_embeddings(e.select("text_hash").distinct(), e, "kb-encoder-base", "profile-2")
+
+
+@query
+def embedding_reuse(spark, root):
+    e = read_table(spark, root, "semantic_embeddings").select(F.col("normalized_text_hash").alias("text_hash"), "model_name", "embedding_profile_version", "dimensions")
+    r = corpus.reusable_embeddings(e.select("text_hash"), e, "kb-encoder-base", "profile-2")
+    return r.select(_long("n"), _long("least"), _long("most"), "consistent")
+
+
+@query
+def vectorize_texts(spark, root):
+    """Vectors of the distinct document texts by the offline encoder, nothing cached yet."""
+    t = corpus.distinct_texts(read_table(spark, root, "documents"), F.col("text"))
+    empty = spark.createDataFrame([], "text_hash string, model_name string, embedding_profile_version string, dimensions int, embedding array<float>")
+    v = corpus.vectorize(t, empty, vector.hashing_encoder(32), "hashing", "1", 32)
+    return v.select("text_hash", _long("size", F.size("embedding")))
+
+
+@query
+def run_latest_by_status(spark, root):
+    e = read_table(spark, root, "events")
+    status = F.element_at(F.array(*[F.lit(s) for s in ("completed", "failed", "interrupted", "running")]), (F.col("event_id") % 4 + 1).cast("int"))
+    runs = e.select(F.col("user_id").alias("signature"), F.col("event_id").alias("run_id"), status.alias("status"), F.col("ts").alias("updated_at"))
+    return corpus.latest_run(runs).select("signature", "run_id", "status")
+
+
+def _layered(spark, root):
+    n, e = catalog_graph.graph(spark, root)
+    return graph.split_layers(n, e)
+
+
+@query
+def index_rebuild_decisions(spark, root):
+    """A manifest in which one layer is current, one has another model, one is gone and one was never built."""
+    n, e = _layered(spark, root)
+    now = cut_lineage(index.layer_signatures(n, e))
+    m = now.where("graph_layer IN ('business', 'physical')").select("graph_layer", "content", F.lit(index.SCHEMA_VERSION).alias("schema_version"), F.when(F.col("graph_layer") == "business", "m1").otherwise("m0").alias("model"))
+    gone = spark.createDataFrame([("security", "x", index.SCHEMA_VERSION, "m1")], "graph_layer string, content string, schema_version string, model string")
+    return index.rebuild_decisions(now, m.unionByName(gone), "m1")
+
+
+@query
+def index_build(spark, root):
+    """Builds the layer index in the shared folder and reads back what each layer holds."""
+    import uuid
+
+    n, e = _layered(spark, root)
+    n = n.select("id", "node_type", "title", "search_text", "modules", "graph_layer")
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.build_index(cut_lineage(n), cut_lineage(e.select("source", "target", "type", "weight", "graph_layer")), path)
+    p = spark.read.parquet(f"{path}/postings").groupBy("graph_layer").agg(_long("n_nodes", F.count_distinct("id")), _long("n_tokens", F.sum("tf")))
+    return p.select(F.col("graph_layer").cast("string").alias("graph_layer"), "n_nodes", "n_tokens")
+
+
+@query
+def layer_signature(spark, root):
+    n = read_table(spark, root, "nation").select(F.col("n_regionkey").alias("g"), "n_nationkey", "n_name")
+    return corpus.signature(n, ["g"])
+
+
+@query
+def stream_corpus_refresh(spark, root):
+    """The documents table as a stream of files, texts stored once by hash; the state after the run."""
+    import uuid
+
+    from graphloom.streaming.refresh import refresh_stream
+
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    schema = read_table(spark, root, "documents").schema
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/documents.parquet")
+    folder = source.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(source).isDirectory()
+    refresh_stream(spark, f"{root}/documents.parquet" if folder else root, schema, f"{base}/texts", f"{base}/checkpoint", glob="*.parquet" if folder else "documents.parquet").awaitTermination()
+    return spark.read.parquet(f"{base}/texts").select("text_hash")
+
+
+# checks
+
+
+@query
+def check_duplicates(spark, root):
+    d = checks.duplicate_sample(read_table(spark, root, "physical_column").select("id"), "id")
+    return d.select(_long("n_duplicates"), F.array_join("sample", ",").alias("sample"))
+
+
+@query
+def check_orphans(spark, root):
+    n, e = catalog_graph.nodes(spark, root), catalog_graph.edges(spark, root)
+    return graph.orphan_edges(e.select("source", "target", "type"), n.where("node_type <> 'rest_resource'"))
+
+
+@query
+def check_graph(spark, root):
+    n, e = catalog_graph.graph(spark, root)
+    return checks.validate_graph(n, e, "all").select("subject", "status", "code")
+
+
+@query
+def check_environment_catalog(spark, root):
+    r = read_table(spark, root, "rest_resource").select("name")
+    p = read_table(spark, root, "entity_aliases").select("module_id", F.col("rest_resources").alias("resources"))
+    c = checks.validate_environment_catalog(r, p)
+    return c.select("status", "code", F.map_values("details")[0].alias("value"))
+
+
+@query
+def check_mojibake(spark, root):
+    s = read_table(spark, root, "functional_section").select("id", "text").distinct()
+    return s.where(F.col("text").rlike(checks.MOJIBAKE)).groupBy("id").agg(_long("n", F.count(F.lit(1))))
+
+
+@query
+def check_vectors(spark, root):
+    v = read_table(spark, root, "semantic_embeddings").select(F.col("vector_id").alias("id"), "embedding", "dimensions").dropDuplicates(["id"])
+    return checks.validate_vectors(v, v.select("id"), "vectors").select("status", "code")
+
+
+# references
+
+
+@query
+def p5_found(spark, root):
+    return references.orphan_references(spark, root)
+
+
+@query
+def p5_report(spark, root):
+    return references.orphan_report(spark, root)
+
+
+def queries() -> dict:
+    return dict(QUERIES)

@@ -25,6 +25,7 @@ TABLE_PATTERN = r"\b[A-Z][A-Z0-9$#]{1,15}_[A-Z0-9_$#]{2,}\b"
 IDENTIFIER_PATTERN = r"\b[A-Z][A-Z0-9_$#]{2,}\b"
 #: Splits inside a word, each applied to the whole word in turn: aB, ABc, a1, 1a.
 WORD_SPLITS = ("([a-z0-9])([A-Z])", "([A-Z])([A-Z][a-z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])")
+_INNER_SPLIT = "[a-z0-9][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]"
 # Characters that take no space.
 ZERO_WIDTH = "\ufeff\u200b\u200c\u200d\u2060"
 
@@ -80,13 +81,14 @@ def _word_parts(word: Column) -> Column:
     spaced = word
     for pattern in WORD_SPLITS:
         spaced = F.regexp_replace(spaced, pattern, "$1 $2")
-    camel = F.split(F.lower(spaced), " ")
-    whole = F.lower(word)
-    return F.concat(
+    whole, none = F.lower(word), F.array().cast("array<string>")
+    parts = F.concat(
         F.array(whole),
-        F.when(F.size(camel) > 1, camel).otherwise(F.array().cast("array<string>")),
-        F.when(F.contains(word, F.lit("_")), F.filter(F.split(whole, "_"), lambda p: p != "")).otherwise(F.array().cast("array<string>")),
+        F.when(word.rlike(_INNER_SPLIT), F.split(F.lower(spaced), " ")).otherwise(none),
+        F.when(F.contains(word, F.lit("_")), F.filter(F.split(whole, "_"), lambda p: p != "")).otherwise(none),
     )
+    # nearly all words are plain: one test instead of the rewrites
+    return F.when(word.rlike("^(?:[a-z]+|[A-Z][a-z]*|[0-9]+|[A-Z]+)$"), F.array(whole)).otherwise(parts)
 
 
 def tokenize(column: Column | str) -> Column:

@@ -9,7 +9,7 @@ from graphloom.functions import text as T
 from graphloom.operators import catalog, checks, context, corpus, federated, graph, index, lexical, references, rules, vector
 from graphloom.plans import catalog_graph
 from graphloom.sources import files, html
-from graphloom.sources.tables import cut_lineage, read_table, shared_dir
+from graphloom.sources.tables import cut_lineage, read_table, shared_dir, spread
 
 QUERIES: dict = {}
 
@@ -82,7 +82,7 @@ def text_normalize(spark, root):
 
 @query
 def text_tokenize_counts(spark, root):
-    t = read_table(spark, root, "documents").select("doc_id", T.tokenize("text").alias("t"))
+    t = _documents(spark, root).select(F.col("id").alias("doc_id"), T.tokenize("text").alias("t"))
     return t.select("doc_id", _long("n_tokens", F.size("t")), _long("n_distinct", F.size(F.array_distinct("t"))))
 
 
@@ -315,7 +315,7 @@ def graph_paths_top3(spark, root):
 
 
 def _documents(spark, root):
-    return read_table(spark, root, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(read_table(spark, root, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _sample_queries(spark, root):

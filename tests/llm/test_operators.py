@@ -110,7 +110,7 @@ def test_recall_of_the_nearest(spark):
     x = rng.normal(size=(1500, 32)).astype(np.float32)
     vectors = similar.usable_vectors(_vectors(spark, [(i, "m", "p", 32, [float(v) for v in r]) for i, r in enumerate(x)]))
     got: dict = {}
-    for r in similar.neighbours(vectors, k=10, tables=10, probes=3, queries=F.col("id") % 50 == 0).collect():
+    for r in similar.neighbours(vectors, k=10, tables=10, probes=2, query_probes=5, queries=F.col("id") % 50 == 0).collect():
         got.setdefault(r.a, set()).add(r.b)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T

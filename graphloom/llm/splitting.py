@@ -102,7 +102,8 @@ def _cut(batches):
 def split_oversized(texts: DataFrame, limits: DataFrame) -> DataFrame:
     """Pieces of ``texts`` (table_name, record_id, field_name, text) under ``limits`` (table_name,
     field_name, max_size, overlap_size); one row for each piece, ``n_pieces`` on each."""
-    sized = texts.where(F.col("text").isNotNull()).join(limits, ["table_name", "field_name"]).dropDuplicates(["table_name", "record_id", "text"])
+    texts = texts.select("table_name", "record_id", "field_name", "text").where(F.col("text").isNotNull())
+    sized = texts.join(limits.select("table_name", "field_name", "max_size", "overlap_size"), ["table_name", "field_name"]).dropDuplicates(["table_name", "record_id", "text"])
     small = sized.where(F.length("text") <= F.col("max_size")).select(
         "table_name", "record_id", F.lit(0).alias("piece_no"), F.lit(0).alias("start_at"), F.length("text").alias("end_at"), F.col("text").alias("piece"), F.lit(False).alias("oversized")
     )

@@ -38,7 +38,7 @@ def test_superscripts_stay(spark):
 
 def test_pairs(spark):
     rows = [("t", "a", "copy"), ("t", "b", "сору"), ("t", "c", "copy"), ("t", "c", "copy"), ("u", "d", "ｃopy"), ("t", "e", "Copy"), ("t", "f", None), ("t", "g", " "), ("t", "h", " ")]
-    got = {tuple(r) for r in lookalikes.look_alike_pairs(spark.createDataFrame(rows, TEXT)).collect()}
+    got = {tuple(r) for r in lookalikes.look_alike_pairs(spark.createDataFrame(rows, TEXT).withColumn("form", F.lit(1)).withColumn("key", F.lit(2))).collect()}
     assert got == {("t", "a", "b"), ("t", "b", "c")}
     assert lookalikes.look_alike_pairs(spark.createDataFrame([], TEXT)).count() == 0
 
@@ -68,7 +68,7 @@ def test_strongest_cut_is_taken_rightmost():
 
 
 def test_split_cases(spark):
-    t = spark.createDataFrame([("a", "1", "f", "x" * 25, "extra"), ("a", "1", "f", "x" * 25, "extra"), ("a", "2", "f", "", "e"), ("a", "3", "f", None, "e"), ("b", "4", "f", "y" * 99, "e")], "table_name string, record_id string, field_name string, text string, piece string").drop("piece")
+    t = spark.createDataFrame([("a", "1", "f", "x" * 25, "extra"), ("a", "1", "f", "x" * 25, "extra"), ("a", "2", "f", "", "e"), ("a", "3", "f", None, "e"), ("b", "4", "f", "y" * 99, "e")], "table_name string, record_id string, field_name string, text string, max_size string")
     limits = spark.createDataFrame([("a", "f", 10, 3)], "table_name string, field_name string, max_size int, overlap_size int")
     rows = splitting.split_oversized(t, limits).collect()
     assert sorted((r.record_id, r.piece_no, len(r.piece)) for r in rows) == [("1", 0, 10), ("1", 1, 10), ("1", 2, 10), ("1", 3, 4), ("2", 0, 0)]
@@ -142,7 +142,7 @@ def test_templates_are_found_and_body_is_kept(spark, chains):
     pages += [("t", "p0", "h", pages[0][3]), ("t", "n", "h", None), ("t", "e", "h", ""), ("t", "b", None, " \n"), ("t", "long", "h", "word " * 20000)]
     furniture = boilerplate.FurnitureClassifier.train(list(_samples().values()) + body)
     main = spark.createDataFrame([(b,) for b in body] + [("Prerequisites",), (None,)], "text string")
-    df = spark.createDataFrame(pages, "table_name string, record_id string, host string, text string")
+    df = spark.createDataFrame(pages, "table_name string, record_id string, host string, text string").withColumn("subtree", F.lit("clash")).withColumn("n", F.lit(1))
     got = boilerplate.template_lines(df, main, furniture, chains).collect()
     assert {(r.record_id, r.line_no) for r in got} == {(f"p{i}", k) for i in range(12) for k in (1, 5, 6)}
     assert boilerplate.template_lines(df.limit(0), main, furniture, chains).count() == 0
@@ -167,7 +167,7 @@ def test_clean_text_stays(spark, chains):
     assert chains.restore("configura��o")[2]
     bad = mojibake.garble(_samples()["pt"], ("utf-8", "cp1252"))
     df = spark.createDataFrame([("t", "1", bad), ("t", "1", bad), ("t", "2", None), ("t", "3", "ok"), ("t", "4", "a�b " * 3000)], TEXT)
-    got = {r.record_id: r.text for r in mojibake.restore_column(df, chains).collect()}
+    got = {r.record_id: r.text for r in mojibake.restore_column(df.withColumn("lost", F.lit(1)), chains).collect()}
     assert set(got) == {"1", "4"} and got["1"] == _samples()["pt"]
 
 
@@ -220,7 +220,7 @@ def test_plan_is_valid_and_near_best_fit(histogram):
 
 def test_pack_every_item_once(spark):
     sizes = [(i, n) for i, n in enumerate([None, 0, 5, 5, 5, 10, 25, 3, 7, 10, 1] + [4] * 30)]
-    df = spark.createDataFrame(sizes, "doc_id long, n_tokens int")
+    df = spark.createDataFrame(sizes, "doc_id long, n_tokens int").withColumn("size", F.lit("clash")).withColumn("id", F.lit("clash"))
     for bucket_rows in (1000, 4):
         rows = packing.pack(df, 10, bucket_rows=bucket_rows).collect()
         load: dict = {}

@@ -95,29 +95,34 @@ def one_form(texts: DataFrame) -> DataFrame:
     mapping = F.broadcast(spark.createDataFrame(parts, "ch string, part int, piece string, ccc int"))
     composition = F.broadcast(spark.createDataFrame(composed, "cluster string, whole string"))
     distinct = texts.where(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
-    changes = F.col("text").rlike(r"[^\x00-\x7F]") & (F.length(F.translate("text", changing, "")) < F.length("text"))
-    stable = distinct.where(~changes).select("key", _plain_spaces(F.col("text")).alias("form"))
+    foreign = F.regexp_replace("text", r"[\x00-\x7F]+", "")
+    changes = F.col("text").rlike(r"[^\x00-\x7F]") & (F.length(F.translate(foreign, changing, "")) < F.length(foreign))
+    # a text that cannot change is one piece; the empty piece before others stands for texts of invisible characters only
+    pieces = F.when(changes, F.concat(F.array(F.lit("")), F.split("text", ""))).otherwise(F.array("text"))
     points = (
-        distinct.where(changes)
-        .select("key", F.posexplode(F.concat(F.array(F.lit("")), F.split("text", ""))).alias("pos", "ch"))
+        distinct.select("key", F.posexplode(pieces).alias("pos", "ch"))
         .join(mapping, "ch", "left")
         .select("key", "pos", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("piece", "ch").alias("piece"), F.coalesce("ccc", F.lit(0)).alias("ccc"))
         .where((F.col("piece") != "") | (F.col("pos") == 0))
-    )  # the empty piece at position 0 stands for texts of invisible characters only
+    )
     along = Window.partitionBy("key").orderBy("pos", "part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starter = F.max(F.when(F.col("ccc") == 0, F.struct("pos", "part"))).over(along)
-    rebuilt = (
-        points.withColumn("starter", starter)
-        .groupBy("key", "starter")
-        .agg(F.array_sort(F.collect_list(F.struct("ccc", "pos", "part", "piece"))).alias("marks"))
-        .select("key", "starter", F.array_join(F.transform("marks", lambda m: m["piece"]), "").alias("cluster"))
+    # marks behind their starter in order of their class: a starter takes its first three marks along, further
+    # marks stay pieces of their own; leads and lags over the sorted rows, no group for each character
+    ordered = Window.partitionBy("key").orderBy("starter", "ccc", "pos", "part")
+    lead = lambda c, n: F.lead(c, n).over(ordered)
+    lag = lambda n: F.coalesce(F.lag("ccc", n).over(ordered), F.lit(1))
+    marks = [F.coalesce(lead("ccc", n), F.lit(0)) > 0 for n in (1, 2, 3)]
+    cluster = F.concat("piece", F.when(marks[0], F.concat(lead("piece", 1), F.when(marks[1], F.concat(lead("piece", 2), F.when(marks[2], lead("piece", 3)).otherwise(""))).otherwise(""))).otherwise(""))
+    taken = (F.col("ccc") > 0) & ((lag(1) == 0) | (lag(2) == 0) | (lag(3) == 0))
+    clusters = (
+        points.withColumn("starter", F.coalesce(starter, F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("part"))))
+        .select("key", "starter", "ccc", "pos", "part", F.when(F.col("ccc") == 0, cluster).otherwise(F.col("piece")).alias("cluster"), taken.alias("taken"))
+        .where(~F.col("taken"))
         .join(composition, "cluster", "left")
-        .select("key", "starter", F.coalesce("whole", "cluster").alias("piece"))
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_list(F.struct("starter", "piece"))).alias("pieces"))
-        .select("key", _plain_spaces(F.array_join(F.transform("pieces", lambda p: p["piece"]), "")).alias("form"))
     )
-    return stable.unionByName(rebuilt)
+    pieces = F.array_sort(F.collect_list(F.struct("starter", "ccc", "pos", "part", F.coalesce("whole", "cluster").alias("piece"))))
+    return clusters.groupBy("key").agg(pieces.alias("pieces")).select("key", _plain_spaces(F.array_join(F.col("pieces")["piece"], "")).alias("form"))
 
 
 def catalog_texts(spark, root: str) -> DataFrame:

@@ -5,11 +5,11 @@ fall into the bucket of their nearest signed axis; every table also takes the se
 Pairs that share a bucket in any table are candidates, compared exactly by block products. Only pairs of
 one group (model, profile, dimensions) meet.
 
-Scale: a bucket above ``bucket_rows`` rows is refined by a second and a third rotation; what is still larger
-(a mass of nearly equal vectors) is compared block against block in cells of a grid, nothing is dropped.
-The driver sees counts of buckets only: at most 2*D a table on the first level, then those above the limit,
-which is at least 1/4000 of all rows, so the plan has a bound that does not depend on the data. Exact
-copies are one representative, and are put back with at most k + 1 of them for each neighbour list.
+Scale: a bucket above ``bucket_rows`` rows is compared block against block in cells of a grid, so that all
+pairs that share it stay candidates and recall does not depend on the number of rows; a row of it is sent
+once for each block. The driver sees only counts of buckets above the limit, which is at least 1/4000 of
+all rows, so the plan has a bound that does not depend on the data. Exact copies are one representative,
+and are put back with at most k + 1 of them for each neighbour list.
 
 Defined cases: null, zero, non-finite vectors and those whose length is not ``dimensions`` are unusable and
 have no list; repeated rows of an id count once; equal similarities are ordered by id; a group with fewer
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.tables import cut_lineage, read_table, spread
 
-LEVELS = 3
 SEED = 20240229
 
 
@@ -51,16 +50,16 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signs(width: int, table: int, level: int) -> np.ndarray:
-    return np.random.default_rng([SEED, width, table, level]).choice(np.array([-1.0, 1.0], dtype=np.float32), size=(3, width))
+def signs(width: int, table: int) -> np.ndarray:
+    return np.random.default_rng([SEED, width, table, 0]).choice(np.array([-1.0, 1.0], dtype=np.float32), size=(3, width))
 
 
-def nearest_axes(unit: np.ndarray, table: int, level: int, probes: int) -> np.ndarray:
+def nearest_axes(unit: np.ndarray, table: int, probes: int) -> np.ndarray:
     """(rows, probes): the nearest signed axes of each pseudo-rotated row, the nearest first."""
     width = 1 << max(0, unit.shape[1] - 1).bit_length()
     y = np.zeros((len(unit), width), dtype=np.float32)
     y[:, : unit.shape[1]] = unit
-    for s in signs(width, table, level):
+    for s in signs(width, table):
         y = hadamard(y * s)
         y *= width**-0.5
     size = np.abs(y)
@@ -83,33 +82,23 @@ def _unit_rows(batch: pa.RecordBatch) -> dict[str, tuple[np.ndarray, np.ndarray]
     return out
 
 
-def _buckets(x: np.ndarray, table: int, probes: int) -> list[np.ndarray]:
-    """For each probe the bucket numbers of the rows on all levels: (rows, LEVELS)."""
-    first = nearest_axes(x, table, 0, probes)
-    deeper = [nearest_axes(x, table, level, 1)[:, 0] for level in range(1, LEVELS)]
-    return [np.stack([first[:, p], *deeper], axis=1).astype(np.int64) for p in range(first.shape[1])]
-
-
 def _count_buckets(vectors: DataFrame, tables: int, probes: int, limit: int) -> dict:
-    """{(group, table, bucket prefix): rows} of all prefixes above ``limit`` rows."""
+    """{(group, table, bucket): rows} of all buckets above ``limit`` rows."""
     def run(batches):
         for batch in batches:
             rows: dict[tuple, int] = {}
             for group, (_, x) in _unit_rows(batch).items():
                 for table in range(tables):
-                    for bucket in _buckets(x, table, probes):
-                        for level in range(1, LEVELS + 1):
-                            code = bucket[:, 0] + sum(bucket[:, k] << (20 * k) for k in range(1, level))
-                            for c, n in zip(*np.unique(code, return_counts=True)):
-                                key = (group, table, level, int(c))
-                                rows[key] = rows.get(key, 0) + int(n)
-            names = ["grp", "tbl", "level", "code", "n"]
-            columns = [*zip(*((*k, n) for k, n in rows.items()))] or [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=names)
+                    for c, n in zip(*np.unique(nearest_axes(x, table, probes), return_counts=True)):
+                        key = (group, table, int(c))
+                        rows[key] = rows.get(key, 0) + int(n)
+            names = ["grp", "tbl", "code", "n"]
+            columns = [*zip(*((*k, n) for k, n in rows.items()))] or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=names)
 
-    counts = vectors.select("grp", "embedding").mapInArrow(run, "grp string, tbl int, level int, code bigint, n bigint")
-    hot = counts.groupBy("grp", "tbl", "level", "code").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
-    return {(r["grp"], r["tbl"], r["level"], r["code"]): r["n"] for r in hot.collect()}
+    counts = vectors.select("grp", "embedding").mapInArrow(run, "grp string, tbl int, code bigint, n bigint")
+    hot = counts.groupBy("grp", "tbl", "code").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    return {(r["grp"], r["tbl"], r["code"]): r["n"] for r in hot.collect()}
 
 
 def candidate_neighbours(vectors: DataFrame, k: int, tables: int, probes: int, least: float | None, queries=None, bucket_rows: int = 8192, query_probes: int | None = None) -> DataFrame:
@@ -132,18 +121,12 @@ def candidate_neighbours(vectors: DataFrame, k: int, tables: int, probes: int, l
             for group, (at, x) in _unit_rows(batch).items():
                 packed = [v.tobytes() for v in x]
                 for table in range(tables):
-                    for probe, bucket in enumerate(_buckets(x, table, deepest)):
-                        for row, code in enumerate(bucket):
+                    for probe, bucket in enumerate(nearest_axes(x, table, deepest).T):
+                        for row, code in enumerate(bucket.tolist()):
                             if probe >= probes and not asked[at[row]]:
                                 continue
-                            value, name = int(code[0]), f"{table}.{code[0]}"
-                            n = hot.get((group, table, 1, value), 0)
-                            for level in range(1, LEVELS):
-                                if not n:
-                                    break
-                                value += int(code[level]) << (20 * level)
-                                name += f".{code[level]}"
-                                n = hot.get((group, table, level + 1, value), 0)
+                            name = f"{table}.{code}"
+                            n = hot.get((group, table, code), 0)
                             i = int(ids[at[row]])
                             blocks = -(-n // limit) if n else 1
                             mine = (i * 0x9E3779B97F4A7C15 >> 17) % blocks

@@ -118,6 +118,20 @@ def test_recall_of_the_nearest(spark):
     assert np.mean([len(got[q] & set(np.argsort(-s[q])[:10])) / 10 for q in range(0, 1500, 50)]) >= 0.9
 
 
+def test_hot_buckets_keep_all_candidates(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 32)).astype(np.float32)
+    vectors = similar.usable_vectors(_vectors(spark, [(i, "m", "p", 32, [float(v) for v in r]) for i, r in enumerate(x)]))
+    lists = []
+    for limit in (8192, 16):
+        near = similar.candidate_neighbours(vectors, 10, 4, 2, None, F.col("id") % 40 == 0, bucket_rows=limit, query_probes=3)
+        best: dict = {}
+        for r in near.collect():
+            best.setdefault(r.a, {})[r.b] = r.similarity
+        lists.append({a: sorted(b, key=lambda i: (-b[i], i))[:10] for a, b in best.items()})
+    assert len(lists[0]) == 30 and lists[0] == lists[1]
+
+
 # 4. boilerplate
 
 

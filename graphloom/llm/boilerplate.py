@@ -4,10 +4,12 @@ A page text is a tree of lines, their elements (parts set off by bars, dots, wid
 each the label before a colon and the head of three words. Every subtree is hashed in a form without
 numbers, codes and markup, after wrong encodings and look-alike characters were repaired. Spark counts
 the pages of each host that hold a subtree; a subtree of many pages of its host is template, unless it
-is as usual in known main text (``documents``), for headings, notes and list items recur as well. Lines
-come out that hold such a subtree and read like page furniture, by a naive Bayes classifier of words and
-word pairs (furniture phrases in the languages of the corpus against a bounded sample of main text,
-``MAX_SAMPLES`` labelled documents), or that are bare link entries.
+is as usual in known main text (``documents``), for headings, notes and list items recur as well. Among
+those that recur a naive Bayes classifier of words and word pairs decides (furniture phrases in the
+languages of the corpus against a bounded sample of main text, ``MAX_SAMPLES`` labelled documents): what
+reads like page furniture and bare link entries come out; what reads like main text stays; wording that
+speaks for neither comes out where it stands on a share ``STANDING`` of its host's pages, as a whole line or
+in at least half of the elements of one. It decides by the text alone, so it runs in the map before the counts.
 
 Only candidate subtrees leave the map, as 64-bit hashes; counts are combined on the map side, so a line that
 a third of all pages hold is one counter; template subtrees are few (at least ``SUPPORT`` of a host's
@@ -40,6 +42,8 @@ LEAST_PAGES, SUPPORT = 3, 1e-4
 #: A subtree is main text if known main text holds it on more than this share of the template's pages.
 BODY_SHARE = 0.05
 CUE = 1.5
+#: Wording unlike furniture and main text is template from this share of the pages of its host on; its mean evidence is above UNLIKE.
+STANDING, UNLIKE = 0.05, -0.6
 SMOOTHING = 0.18
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^>]*>|^\s*#+\s+|&copy;|&nbsp;|\]\([^)]*\)|^\s*[*+]\s+(?=\[)|\[")
@@ -48,8 +52,6 @@ _NUMBER = re.compile(r"\d+")
 _ELEMENT = re.compile(r"\s+[|·>/]\s+|\s{2,}|[|·]|\s+←\s+|(?<=[。？])\s*")
 _BULLET = re.compile(r"^\s*(?:[•»›▸►‣]|[*-](?=\s))\s*(?P<entry>[^\d:.!?。]{2,60})$")
 _TOKEN = re.compile(r"[^\W\d_]+|#|\d+|[|·>»←©?]")
-_WORDS = re.compile(r"[^\w#|>]+")
-_CJK = re.compile("[ぁ-鿿]")
 _OTHER_SCRIPT = re.compile("[\u0370-\u052f]")
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
 _FOLD = str.maketrans(dict.fromkeys(INVISIBLE))
@@ -86,7 +88,6 @@ class FurnitureClassifier:
 
     def __init__(self, odds: dict[str, float]):
         self.odds = odds
-        self.telling = frozenset(t for t, o in odds.items() if o >= 1.0 and " " not in t)
 
     @classmethod
     def train(cls, body: list[str]) -> FurnitureClassifier:
@@ -114,51 +115,65 @@ class FurnitureClassifier:
         tokens = _tokens(text)
         return sum(self.odds.get(t, -0.1) for t in tokens) / max(1.0, len(tokens) ** 0.5) if tokens else 0.0
 
+    def undecided(self, text: str) -> bool:
+        """Words that speak neither for furniture nor for main text."""
+        tokens = _tokens(text)
+        return any(t[0].isalpha() for t in tokens) and sum(self.odds.get(t, -0.1) for t in tokens) > UNLIKE * len(tokens)
+
 
 def _hash(kind: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}{text}".encode("utf-8", "replace")) - (1 << 63)
 
 
-def subtrees(line: str, furniture: FurnitureClassifier) -> list[int]:
-    """Hashes of the candidate subtrees of a line, none if it does not read like furniture."""
+def standing_subtrees(whole: str, elements: list[str], cue: float, furniture: FurnitureClassifier) -> list[tuple[int, bool, float]]:
+    """The subtrees of a line whose wording is unknown: the line, and its elements, of which half make it template."""
+    elements = list(dict.fromkeys(elements))
+    found = [(_hash("s", whole), True, 1.0)] if cue > UNLIKE * (len(whole) + 1) ** 0.5 and furniture.undecided(whole) else []
+    if len(elements) > 1:
+        found += [(_hash("t", e), True, 1 / -(-len(elements) // 2)) for e in elements if furniture.undecided(e)]
+    return found
+
+
+def subtrees(line: str, furniture: FurnitureClassifier) -> list[tuple[int, bool, float]]:
+    """The candidate subtrees of a line, none if it reads like main text: their hashes, whether they must stand
+    on a share of all pages, and the share of the line they make template."""
     text = plain(line)
     if not text:
         return []
     whole = masked(text)
-    if len(whole) > 60 and not _CJK.search(whole) and furniture.telling.isdisjoint(_WORDS.split(whole)):
-        return []  # a long line without a single telling word
     elements = [e for e in (x.strip(" |·<>/") for x in _ELEMENT.split(whole)) if e]
     link = _BULLET.match(masked(_MARKUP.sub(" ", line)).strip())
     first = elements[0] if elements else whole
     label = first.partition(":")[0] if ":" in first[:40] else ""
     words = first.split()
     heads = [" ".join(words[:n]) for n in (2, 3) if len(words) > n]
-    telling = [e for e in elements if furniture(e) >= CUE]
     cue = furniture(whole)
-    if link is not None and cue < CUE and not telling:
-        return [_hash("l", whole), _hash("k", "")] if len(link["entry"].split()) <= 7 else []
+    telling = [e for e in elements if (cue if e == whole else furniture(e)) >= CUE]
+    if link is not None and cue < CUE and not telling and len(link["entry"].split()) <= 7:
+        return [(_hash("l", whole), False, 1.0), (_hash("k", ""), False, 1.0)]
     cues = [x for x in (label, *heads) if x and furniture(x) >= CUE]
-    if cue < CUE and not cues and not telling:
-        return []
+    if cue < CUE and not telling and (link is not None or not cues):
+        return standing_subtrees(whole, elements, cue, furniture)
     found = [*([_hash("l", whole)] if cue >= CUE or len(whole.split()) <= 6 else []), *(_hash("e", e) for e in telling), *(_hash("h", x) for x in cues)]
     if len(words) in (2, 3):
         found.append(_hash("h", first))
-    return list(dict.fromkeys(found))
+    return [*((h, False, 1.0) for h in dict.fromkeys(found)), *standing_subtrees(whole, elements, cue, furniture)]
 
 
 def _lines(df: DataFrame, furniture: FurnitureClassifier, repair: ChainClassifier | None) -> DataFrame:
-    """(table_name, record_id, host, line_no, subtree, first): one row for each candidate subtree; ``first``
-    marks one row of each subtree in a text. Without ``repair`` texts are taken as they are."""
+    """(table_name, record_id, host, page, line_no, subtree, standing, share, first): one row for each candidate
+    subtree; ``page`` is a hash of the text, ``first`` marks one row of each subtree in it. Without ``repair``
+    texts are taken as they are."""
     shared = df.sparkSession.sparkContext.broadcast((furniture, repair.weights, repair.model) if repair else (furniture, None, None))
 
     def run(batches):
         judge, weights, model = shared.value
         fixer = ChainClassifier(weights, model) if model else None
-        cache: dict[str, list[int]] = {}
+        cache: dict[str, list[tuple[int, bool, float]]] = {}
         for batch in batches:
-            rows = ([], [], [], [], [], [])
+            rows = ([], [], [], [], [], [], [], [], [])
             for name, record, host, text in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = text.split("\n")
+                lines, page = text.split("\n"), _hash("p", text)
                 if fixer and not text.isascii():
                     fixed = fixer.restore(text)[0].split("\n")
                     lines = fixed if len(fixed) == len(lines) else lines
@@ -171,14 +186,14 @@ def _lines(df: DataFrame, furniture: FurnitureClassifier, repair: ChainClassifie
                         found = subtrees(line, judge)
                         if len(cache) < 50_000:
                             cache[line] = found
-                    for h in found:
-                        for column, value in zip(rows, (name, record, host, k, h, h not in seen)):
+                    for h, standing, share in found:
+                        for column, value in zip(rows, (name, record, host, page, k, h, standing, share, h not in seen)):
                             column.append(value)
                         seen.add(h)
-            types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(rows, types)], names=["table_name", "record_id", "host", "line_no", "subtree", "first"])
+            types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(rows, types)], names=["table_name", "record_id", "host", "page", "line_no", "subtree", "standing", "share", "first"])
 
-    return df.mapInArrow(run, "table_name string, record_id string, host string, line_no bigint, subtree bigint, first boolean")
+    return df.mapInArrow(run, "table_name string, record_id string, host string, page bigint, line_no bigint, subtree bigint, standing boolean, share float, first boolean")
 
 
 def template_lines(pages: DataFrame, main_text: DataFrame, furniture: FurnitureClassifier, repair: ChainClassifier) -> DataFrame:
@@ -190,14 +205,16 @@ def template_lines(pages: DataFrame, main_text: DataFrame, furniture: FurnitureC
     usual = _lines(spread(main), furniture, None).where("first").groupBy("subtree").agg(F.count(F.lit(1)).alias("usual"))
     hosts = pages.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
     template = (
-        lines.where("first").groupBy(F.coalesce("host", F.lit("")).alias("host"), "subtree").agg(F.count(F.lit(1)).alias("n"))
+        lines.where("first").groupBy(F.coalesce("host", F.lit("")).alias("host"), "subtree").agg(F.count(F.lit(1)).alias("n"), F.max("standing").alias("standing"))
         .join(hosts, "host")
-        .where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * SUPPORT))
+        .where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * SUPPORT, F.when(F.col("standing"), F.col("pages") * STANDING)))
         .join(usual, "subtree", "left")
         .where(F.coalesce("usual", F.lit(0)) <= F.col("n") * BODY_SHARE)
         .select("host", "subtree")
     )
-    return lines.withColumn("host", F.coalesce("host", F.lit(""))).join(template, ["host", "subtree"]).select("table_name", "record_id", "line_no").distinct()
+    held = lines.withColumn("host", F.coalesce("host", F.lit(""))).join(template, ["host", "subtree"])
+    whole = held.groupBy("table_name", "record_id", "page", "line_no").agg(F.sum("share").alias("share")).where(F.col("share") > 0.999)
+    return whole.select("table_name", "record_id", "line_no").distinct()
 
 
 def catalog_pages(spark, root: str) -> DataFrame:

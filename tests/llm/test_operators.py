@@ -162,6 +162,20 @@ def test_templates_are_found_and_body_is_kept(spark, chains):
     assert boilerplate.template_lines(df.limit(0), main, furniture, chains).count() == 0
 
 
+def _template(spark, chains, pages, main):
+    body = [f"The report {i} shows which records were changed. Changes take effect at the next run." for i in range(12)]
+    furniture = boilerplate.FurnitureClassifier.train(list(_samples().values()) + body)
+    df = spark.createDataFrame([("t", f"p{i}", "h", text) for i, text in enumerate(pages)], "table_name string, record_id string, host string, text string")
+    got = boilerplate.template_lines(df, spark.createDataFrame([(m,) for m in main], "text string"), furniture, chains).collect()
+    return {(int(r.record_id[1:]), r.line_no) for r in got}
+
+
+def test_template_in_unknown_words(spark, chains):
+    titles = ["ledger", "budget", "invoice", "supplier", "freight", "receipt", "payment", "project"]
+    pages = [f"Acasă | Produse | Ghiduri | Asistență\nAcasă > Bibliotecă > {t}\n{t} zeichen\nThe records were changed. Changes take effect at the next run.\nPrerequisites" for t in titles]
+    assert _template(spark, chains, pages, ["Prerequisites"]) == {(i, k) for i in range(8) for k in (1, 2)}
+
+
 # 6. encodings
 
 

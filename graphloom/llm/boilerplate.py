@@ -12,8 +12,8 @@ speaks for neither comes out where it stands on a share ``STANDING`` of its host
 in at least half of the elements of one. It decides by the text alone, so it runs in the map before the counts.
 
 Only candidate subtrees leave the map, as 64-bit hashes; counts are combined on the map side, so a line that
-a third of all pages hold is one counter; template subtrees are few (at least ``SUPPORT`` of a host's
-pages each), Spark's own size check decides on their broadcast.
+a third of all pages hold is one counter; Spark's own size check decides on the
+broadcast of the template subtrees.
 
 Defined cases: null, empty and blank texts have no lines; blank lines are counted but never reported;
 repeated rows count once; a host with fewer than ``LEAST_PAGES`` pages with a subtree keeps it; rows
@@ -38,8 +38,8 @@ from graphloom.llm.phrases import BODY, FURNITURE
 from graphloom.sources.tables import bounded_sample, cut_lineage, read_table, spread
 
 MAX_SAMPLES = 2000
-LEAST_PAGES, SUPPORT = 3, 1e-4
-#: A subtree is main text if known main text holds it on more than this share of the template's pages.
+LEAST_PAGES = 3
+#: A subtree is main text if its share of the known main texts is more than this part of its share of the host's pages.
 BODY_SHARE = 0.05
 CUE = 1.5
 #: Wording unlike furniture and main text is template from this share of the pages of its host on; its mean evidence is above UNLIKE.
@@ -203,13 +203,14 @@ def template_lines(pages: DataFrame, main_text: DataFrame, furniture: FurnitureC
     lines = cut_lineage(_lines(pages, furniture, repair))  # candidates only, hashes for texts; read twice below
     main = main_text.where(F.col("text").rlike(r"(?U)\S")).select(F.lit("").alias("table_name"), F.lit("").alias("record_id"), F.lit("").alias("host"), F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
     usual = _lines(spread(main), furniture, None).where("first").groupBy("subtree").agg(F.count(F.lit(1)).alias("usual"))
+    n_main = main.count()
     hosts = pages.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
     template = (
         lines.where("first").groupBy(F.coalesce("host", F.lit("")).alias("host"), "subtree").agg(F.count(F.lit(1)).alias("n"), F.max("standing").alias("standing"))
         .join(hosts, "host")
-        .where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.col("pages") * SUPPORT, F.when(F.col("standing"), F.col("pages") * STANDING)))
+        .where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.when(F.col("standing"), F.col("pages") * STANDING)))
         .join(usual, "subtree", "left")
-        .where(F.coalesce("usual", F.lit(0)) <= F.col("n") * BODY_SHARE)
+        .where(F.coalesce("usual", F.lit(0)) * F.col("pages") <= F.col("n") * n_main * BODY_SHARE)
         .select("host", "subtree")
     )
     held = lines.withColumn("host", F.coalesce("host", F.lit(""))).join(template, ["host", "subtree"])

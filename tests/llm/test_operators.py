@@ -176,6 +176,13 @@ def test_template_in_unknown_words(spark, chains):
     assert _template(spark, chains, pages, ["Prerequisites"]) == {(i, k) for i in range(8) for k in (1, 2)}
 
 
+def test_template_counts_do_not_follow_the_size(spark, chains):
+    few = ["Back to top"] * 3 + [f"The report {'x' * (i % 7)} shows which records were changed." for i in range(40_000)]
+    assert _template(spark, chains, few, ["The records"]) == {(0, 1), (1, 1), (2, 1)}
+    small = ["Back to top"] * 4 + ["The records"]  # one of 1,000 main texts holds the line, 4 of 5 pages do
+    assert _template(spark, chains, small, ["Back to top"] + [f"The record {i}" for i in range(999)]) == {(i, 1) for i in range(4)}
+
+
 # 6. encodings
 
 

@@ -42,6 +42,8 @@ LEAST_PAGES = 3
 #: A subtree is main text if its share of the known main texts is more than this part of its share of the host's pages.
 BODY_SHARE = 0.05
 CUE = 1.5
+#: Lines of more characters are not judged by their head.
+LONG = 400
 #: Wording unlike furniture and main text is template from this share of the pages of its host on; its mean evidence is above UNLIKE.
 STANDING, UNLIKE = 0.05, -0.6
 SMOOTHING = 0.18
@@ -151,6 +153,9 @@ def subtrees(line: str, furniture: FurnitureClassifier) -> list[tuple[int, bool,
     telling = [e for e in elements if (cue if e == whole else furniture(e)) >= CUE]
     if link is not None and cue < CUE and not telling and len(link["entry"].split()) <= 7:
         return [(_hash("l", whole), False, 1.0), (_hash("k", ""), False, 1.0)]
+    if len(whole) > LONG:  # main text may follow a label or an element: as a whole, or by most of its characters
+        telling = telling if 2 * sum(map(len, telling)) >= len(whole) else []
+        label, heads = "", []
     cues = [x for x in (label, *heads) if x and furniture(x) >= CUE]
     if cue < CUE and not telling and (link is not None or not cues):
         return standing_subtrees(whole, elements, cue, furniture)
@@ -179,8 +184,8 @@ def _lines(df: DataFrame, furniture: FurnitureClassifier, repair: ChainClassifie
                     lines = fixed if len(fixed) == len(lines) else lines
                 seen: set[int] = set()
                 for k, line in enumerate(lines, 1):
-                    if len(line) > 400 or not line.strip():
-                        continue  # no template line is that long
+                    if not line.strip():
+                        continue
                     found = cache.get(line)
                     if found is None:
                         found = subtrees(line, judge)

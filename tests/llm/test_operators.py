@@ -183,6 +183,13 @@ def test_template_counts_do_not_follow_the_size(spark, chains):
     assert _template(spark, chains, small, ["Back to top"] + [f"The record {i}" for i in range(999)]) == {(i, 1) for i in range(4)}
 
 
+def test_long_template_line(spark, chains):
+    menu = "Home | Products | Guides | Support | Sign in | Search this site | Skip to main content | Previous | Next | Back to top | " * 5
+    text = "On this page: " + "the records were changed and the report shows who asked for it, " * 8
+    assert len(menu) > 400 and len(text) > 400
+    assert _template(spark, chains, [f"{menu}\n{text}"] * 4, ["The records"]) == {(i, 1) for i in range(4)}
+
+
 # 6. encodings
 
 

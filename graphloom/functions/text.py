@@ -1,5 +1,6 @@
 """Text functions as Catalyst expressions. No function here leaves the JVM, but for text with characters
-whose decomposition has several parts (ligatures, fractions), which goes through an Arrow UDF."""
+whose decomposition has several parts (ligatures, fractions) and NFKC of text beyond ASCII, which go
+through Arrow UDFs."""
 
 from __future__ import annotations
 
@@ -168,9 +169,16 @@ def truncate_summary(column: Column | str, limit: int = 500) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.rtrim(F.left(text, F.lit(limit - 1))), F.lit("…")))
 
 
+@F.pandas_udf(StringType())
+def _nfkc_udf(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+
 def normalize_semantic_text(column: Column | str) -> Column:
-    """For embedding: zero-width characters out, blanks collapsed; case, accents and punctuation kept."""
-    return F.trim(F.regexp_replace(F.translate(text_of(column), ZERO_WIDTH, ""), r"(?U)\s+", " "))
+    """For embedding: NFKC, zero-width characters out, blanks collapsed; case, accents and punctuation kept."""
+    text = text_of(column)
+    other = F.when(text.rlike(r"[^\x00-\x7F]"), text)  # plain texts do not reach the UDF
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(_nfkc_udf(other), text), ZERO_WIDTH, ""), r"(?U)\s+", " "))
 
 
 def text_hash(column: Column | str) -> Column:

@@ -19,6 +19,15 @@ def test_normalization(spark):
     assert once == "Café de Compras 26B" and one(spark, once, T.normalize_semantic_text) == once
 
 
+def test_semantic_text_has_one_unicode_form(spark):
+    rows = ["Ｆｕｌｌ\u3000width 26B", "ﬁle cafe\u0301", "ｶﾞ\u200b x", "plain  text", "", None, "½ \ufeffÇ"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "i int, v string")
+    got = {r.i: r.t for r in df.select("i", T.normalize_semantic_text("v").alias("t")).collect()}
+    want = {i: " ".join(unicodedata.normalize("NFKC", v or "").translate(dict.fromkeys(map(ord, T.ZERO_WIDTH))).split()) for i, v in enumerate(rows)}
+    assert got == want and got[0] == "Full width 26B"
+    assert df.agg(F.count_distinct(T.text_hash("v")).alias("n")).first()["n"] == 6
+
+
 def test_tokens(spark):
     assert one(spark, "PO_HeaderID2", T.tokenize) == ["po_headerid2", "po_header", "id", "po", "headerid2"]
     assert one(spark, "the Café of a camelCase HTTPServer x1", T.tokenize) == ["cafe", "camelcase", "camel", "case", "httpserver", "http", "server", "x1"]

@@ -190,12 +190,19 @@ def safe_log(column: Column) -> Column:
 
 
 def keywords(tokens: Column, top: int = 30) -> Column:
-    """The most frequent tokens, ties by the alphabet."""
-    counted = F.transform(
-        F.array_distinct(tokens),
-        lambda t: F.struct((-F.size(F.filter(tokens, lambda u: u == t))).alias("n"), t.alias("token")),
-    )
-    return F.transform(F.slice(F.array_sort(counted), 1, top), lambda s: s["token"])
+    """The most frequent tokens, ties by the alphabet. Counted as runs of the sorted tokens."""
+    none = F.array().cast("array<int>")
+    places = lambda s: F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s))).otherwise(none)
+    starts = lambda s: F.filter(places(s), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+    # arrays of one element bind what the inner functions read many times
+    bound = F.transform(F.array(F.array_sort(tokens)), lambda s: F.struct(s.alias("s"), starts(s).alias("at")))
+    counted = F.transform(bound, lambda b: F.transform(b["at"], lambda i, k: F.struct((i - F.coalesce(F.get(b["at"], k + 1), F.size(b["s"]) + 1)).alias("n"), F.get(b["s"], i - 1).alias("token"))))
+    return F.transform(F.slice(F.array_sort(F.flatten(counted)), 1, top), lambda s: s["token"])
+
+
+def node_keywords() -> Column:
+    """Keywords of a node: of its search text, or of its title where that is empty."""
+    return keywords(tokenize(F.coalesce(F.nullif(F.col("search_text"), F.lit("")), F.col("title"))))
 
 
 def same_document_base(url: Column, base: Column) -> Column:

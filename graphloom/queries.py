@@ -363,7 +363,7 @@ def title_scores(spark, root):
 def keyword_scores(spark, root):
     n = catalog_graph.nodes(spark, root).where("node_type = 'business_entity'")
     q = "delivery schedule and the stock count"
-    kw = T.keywords(T.tokenize("title"))
+    kw = T.node_keywords()
     return n.select("id", F.round(lexical.keyword_score(T.tokenize(F.lit(q)), F.lit(q), kw, F.concat(F.array("name", "qualified_name"), "aliases")), 4).cast("double").alias("score")).where("score > 0")
 
 
@@ -382,13 +382,13 @@ def evidence_groups(spark, root):
 @query
 def hybrid_search(spark, root):
     n, e = catalog_graph.graph(spark, root)
-    return lexical.hybrid_search(n.withColumn("keywords", T.keywords(T.tokenize("title"))), e, "ledger periods of the budget version", 20)
+    return lexical.hybrid_search(n.withColumn("keywords", T.node_keywords()), e, "ledger periods of the budget version", 20)
 
 
 @query
 def direct_scores(spark, root):
     """Direct scores of all catalog nodes for two queries."""
-    n = catalog_graph.nodes(spark, root).withColumn("keywords", T.keywords(T.tokenize("title")))
+    n = catalog_graph.nodes(spark, root).withColumn("keywords", T.node_keywords())
     q = spark.createDataFrame([(1, "rate types"), (2, "stock count of the site directory")], "query_id int, text string")
     s = lexical.direct_scores(n, q)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("direct_score", 5)), "id")

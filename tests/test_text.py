@@ -35,6 +35,12 @@ def test_tokens(spark):
     assert one(spark, "bb aa bb cc", lambda c: T.keywords(T.tokenize(c), 2)) == ["bb", "aa"]
 
 
+def test_node_keywords_are_those_of_the_search_text(spark):
+    rows = [("Ledger", "Ledger open periods of the budget, periods"), ("Ledger", ""), ("Ledger", None), (None, None), ("Ledger", "zz " * 5000 + "yy xx yy")]
+    df = spark.createDataFrame(rows, "title string, search_text string")
+    assert [r.k for r in df.select(T.node_keywords().alias("k")).collect()] == [["periods", "budget", "ledger", "open"], ["ledger"], ["ledger"], [], ["zz", "yy", "xx"]]
+
+
 def test_identifiers(spark):
     assert one(spark, " Ação & Co. ", T.slugify) == "acao-co"
     assert one(spark, "&&", T.slugify) == "item"

@@ -440,10 +440,8 @@ def segment_documents(spark, root):
 
 @query
 def summaries_within_budget(spark, root):
-    """Extractive summaries of at most 500 characters: segments by maximal marginal relevance, fitted, in source order."""
-    s = context.segment_documents(_documents(spark, root))
-    ranked = s.withColumn("mmr_rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("segment")), "segment_index")))
-    out = context.fit_budget(ranked.select(F.col("id").alias("parent"), "segment_index", "segment", "mmr_rank"), 500)
+    """Extractive summaries of at most 500 characters for one query: segments by maximal marginal relevance, fitted, in source order."""
+    out = context.fit_budget(context.rank_segments(context.segment_documents(_documents(spark, root)), "ledger periods of the budget version"), 500)
     return out.select(F.col("parent").alias("doc_id"), _long("n_chars", F.length("summary")), F.md5("summary").alias("h"))
 
 

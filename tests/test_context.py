@@ -83,3 +83,12 @@ def test_stream_is_idempotent(spark, tmp_path):
     refresh_stream(spark, src, df.schema, out, str(tmp_path / "c1")).awaitTermination()
     refresh_stream(spark, src, df.schema, out, str(tmp_path / "c2")).awaitTermination()  # a lost checkpoint replays all
     assert spark.read.parquet(out).count() == 2
+
+
+def test_summary_segments_by_relevance_and_redundancy(spark):
+    first, other = "The ledger periods of the budget version.", "Freight and customs are paid by the supplier of the goods, " * 6
+    s = spark.createDataFrame([(1, 0, other), (1, 1, first), (1, 2, first), (1, 3, "Budget approvals.")], "id long, segment_index int, segment string")
+    rank = {r.segment_index: r.mmr_rank for r in C.rank_segments(s, "ledger periods of the budget version").collect()}
+    assert rank[1] == 1 and rank[0] != 1 and sorted(rank.values()) == [1, 2, 3, 4]
+    kept = C.fit_budget(C.rank_segments(s, "ledger periods of the budget version"), 60).first()["summary"]
+    assert kept.startswith(first)

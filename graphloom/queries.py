@@ -141,6 +141,16 @@ def text_keywords_top30(spark, root):
     return s.select("sample_id", F.array_join(T.keywords(T.tokenize("text")), " ").alias("keywords"))
 
 
+@query
+def text_keywords_documents(spark, root):
+    return _documents(spark, root).select(F.col("id").alias("doc_id"), F.array_join(T.keywords(T.tokenize("text")), " ").alias("keywords"))
+
+
+@query
+def text_tokens_documents(spark, root):
+    return lexical.postings(_documents(spark, root), F.col("text")).select("id", "term", _long("tf"), _long("dl"))
+
+
 @query
 def text_truncate_summary(spark, root):
     return read_table(spark, root, "documents").select("doc_id", F.md5(T.truncate_summary("text")).alias("h"))

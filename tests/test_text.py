@@ -58,3 +58,14 @@ def test_scores(spark):
         assert one(spark, word, T.confidence_score) == score
     assert len(one(spark, "x " * 400, T.truncate_summary)) <= 500
     assert one(spark, "h3", T.heading_level) == 3 and one(spark, "p", T.heading_level) == 7
+
+
+def test_keywords_and_tokens_of_documents(spark, tables):
+    from graphloom.queries import QUERIES
+
+    root = tables(documents=spark.createDataFrame([(1, "bb aa bb cc"), (2, None), (3, " ".join(f"w{i % 7000:04d}x" for i in range(15_000)))], "doc_id long, text string"))
+    got = {r.doc_id: r.keywords.split() for r in QUERIES["text_keywords_documents"](spark, root).collect()}
+    assert got[1] == ["bb", "aa", "cc"] and got[2] == [] and len(got[3]) == 30
+    posted = QUERIES["text_tokens_documents"](spark, root)
+    assert {(r.term, r.tf, r.dl) for r in posted.where("id = 1").collect()} == {("aa", 1, 4), ("bb", 2, 4), ("cc", 1, 4)}
+    assert posted.where("id = 3").count() > 7000

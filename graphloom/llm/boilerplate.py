@@ -1,22 +1,28 @@
 """Removal of site templates: menus, paths, consent notices, link lists, counters, prompts and footers.
 
-A page text is a tree of lines, their elements (parts set off by bars, dots, wide gaps or markup), and of
-each the label before a colon and the head of three words. Every subtree is hashed in a form without
-numbers, codes and markup, after wrong encodings and look-alike characters were repaired. Spark counts
-the pages of each host that hold a subtree; a subtree of many pages of its host is template, unless it
-is as usual in known main text (``documents``), for headings, notes and list items recur as well. Among
-those that recur a naive Bayes classifier of words and word pairs decides (furniture phrases in the
-languages of the corpus against a bounded sample of main text, ``MAX_SAMPLES`` labelled documents): what
-reads like page furniture and bare link entries come out; what reads like main text stays; wording that
-speaks for neither comes out where it stands on a share ``STANDING`` of its host's pages, as a whole line or
-in at least half of the elements of one. It decides by the text alone, so it runs in the map before the counts.
-
-Only candidate subtrees leave the map, as 64-bit hashes; counts are combined on the map side, so a line that
-a third of all pages hold is one counter; Spark's own size check decides on the
-broadcast of the template subtrees.
+A page text is a tree of lines; a line has elements (parts set off by bars, dots, arrows, wide gaps or the end
+of a sentence), an element has a label before a colon, a bullet before words, or, from ``LONG`` words on, opening
+words (behind its label). Every subtree of every line is hashed in a form without markup, numbers and codes, after wrong encodings and look-alike characters were
+repaired. Spark counts for each host the pages that hold a subtree. Nothing but counts decides:
+
+* a subtree on at least ``LEAST_PAGES`` pages of its host is template, unless it is as usual in known main text
+  (a table of main text holds it in more than ``BODY_SHARE`` of its share of the host's pages), for headings,
+  notes and list items recur as well;
+* a template subtree that stands alone inside main text in more than ``ALONE`` of its places, neither at
+  an end of the page nor beside other template, is main text after all (the heading of a drawing, a stock phrase);
+* a line comes out if itself or its label is template, or elements of template make up ``COVER`` of its
+  letters, and neither it nor that part of it is usual main text, as it stands or by its opening words.
+
+Subtrees that are mostly codes or numbers (table lists, drawings, values) hold no wording that could recur and
+are not counted. Lines of any length are treated alike.
+
+Scale: a text that many records share is worked on once; only hashes leave the map. Counts are combined on the
+map side, so a line that a third of all pages hold is one counter. When verdicts go back to the places, the
+subtrees with more than a share ``HOT`` of all places are broadcast (at most 1 / ``HOT`` rows), the others are
+joined by a shuffle in which no key is large.
 
 Defined cases: null, empty and blank texts have no lines; blank lines are counted but never reported;
-repeated rows count once; a host with fewer than ``LEAST_PAGES`` pages with a subtree keeps it; rows
+repeated rows count once, records of one text as often as there are; a host with fewer than ``LEAST_PAGES`` pages with a subtree keeps it; rows
 without a host form one group.
 """
 
@@ -24,41 +30,40 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from math import log
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.lookalikes import INVISIBLE, LOOK_ALIKES
 from graphloom.llm.mojibake import ChainClassifier, trained_classifier
-from graphloom.llm.phrases import BODY, FURNITURE
-from graphloom.sources.tables import bounded_sample, cut_lineage, read_table, spread
+from graphloom.sources.tables import land, read_table, spread
 
-MAX_SAMPLES = 2000
 LEAST_PAGES = 3
-#: A subtree is main text if its share of the known main texts is more than this part of its share of the host's pages.
 BODY_SHARE = 0.05
-CUE = 1.5
-#: Lines of more characters are not judged by their head.
-LONG = 400
-#: Wording unlike furniture and main text is template from this share of the pages of its host on; its mean evidence is above UNLIKE.
-STANDING, UNLIKE = 0.05, -0.6
-SMOOTHING = 0.18
+ALONE = 0.5
+COVER = 0.5
+LONG, OPENING = 6, 3
+HOT = 1e-4
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^>]*>|^\s*#+\s+|&copy;|&nbsp;|\]\([^)]*\)|^\s*[*+]\s+(?=\[)|\[")
-_CODE = re.compile(r"\b[a-z]{2,3}-\d+\b|\bgd-[a-z0-9-]+\b")
+#: Identifiers: words with a digit, or joined by underscores.
+_CODE = re.compile(r"(?<!\w)(?=[\w-]*\d)(?=[\w-]*[^\W\d])\w+(?:[-_]\w+)*(?!\w)|(?<!\w)[^\W\d]+(?:_[^\W\d]+)+(?!\w)")
 _NUMBER = re.compile(r"\d+")
-_ELEMENT = re.compile(r"\s+[|·>/]\s+|\s{2,}|[|·]|\s+←\s+|(?<=[。？])\s*")
-_BULLET = re.compile(r"^\s*(?:[•»›▸►‣]|[*-](?=\s))\s*(?P<entry>[^\d:.!?。]{2,60})$")
-_TOKEN = re.compile(r"[^\W\d_]+|#|\d+|[|·>»←©?]")
-_OTHER_SCRIPT = re.compile("[\u0370-\u052f]")
+_ELEMENT = re.compile(r"\s+[|·>/]\s+|\s{2,}|[|·]|\s+←\s+|(?<=[。？])\s*|(?<=[.!?])\s+")
+_LABEL = re.compile(r"([^:?]{1,40})([:?])\s+(.*)")
+_BULLET = re.compile(r"\s*([•»›▸►‣*–-]|\d+[.)])\s+([^#0:.!?。,;]*)")
+_WORD = re.compile(r"[^\W\d_]+")
+_OTHER_SCRIPT = re.compile("[Ͱ-ԯ]")
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
 _FOLD = str.maketrans(dict.fromkeys(INVISIBLE))
 _LATIN = str.maketrans(LOOK_ALIKES)
 _MIXED = re.compile(r"(?=.*[A-Za-z])[^\W_]*[Ͱ-ԯ][^\W_]*")
+#: Places of subtrees that stand for the whole line.
+ROOT, HEAD = -1, -2
+#: Kinds of subtrees: whole lines and elements; labels and bullets, only counted as template; opening words, only counted as main text.
+TREE, LABEL, OPEN = 0, 1, 2
 
 
 def plain(line: str) -> str:
@@ -74,180 +79,214 @@ def plain(line: str) -> str:
     return line.casefold().strip()
 
 
-def masked(line: str) -> str:
-    return _NUMBER.sub("0", _CODE.sub("#", line))
+def masked(text: str) -> str:
+    return _NUMBER.sub("0", _CODE.sub("#", text))
 
 
-def _tokens(text: str) -> list[str]:
-    words = _TOKEN.findall(text)
-    if not text.isascii() and re.search(r"[ぁ-鿿]", text):
-        words = [p for w in words for p in ([w[i : i + 2] for i in range(max(1, len(w) - 1))] if re.search(r"[ぁ-鿿]", w) else [w])]
-    return [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]
+def _letters(text: str) -> int:
+    return sum(map(len, _WORD.findall(text)))
 
 
-class FurnitureClassifier:
-    """Log-odds of words and word pairs between page furniture and main text."""
-
-    def __init__(self, odds: dict[str, float]):
-        self.odds = odds
-
-    @classmethod
-    def train(cls, body: list[str]) -> FurnitureClassifier:
-        furniture, main = Counter(), Counter()
-        for phrase in FURNITURE:
-            for element in [phrase, *phrase.split(" · ")]:
-                furniture.update(_tokens(masked(plain(element))))
-        for text in body:
-            for line in text.splitlines():
-                main.update(set(_tokens(masked(plain(line)))))
-        # one furniture token weighs as many as the main text has for each, the smoothing a share of that
-        weight = max(1, sum(main.values())) / sum(furniture.values())
-        smooth = SMOOTHING * weight
-        for phrase in BODY:
-            for token in _tokens(masked(plain(phrase))):
-                main[token] += smooth
-        odds = {}
-        for token in furniture.keys() | main.keys():
-            f, m = furniture[token] * weight, main[token]
-            odds[token] = max(-4.0, min(4.0, log((f + smooth) / (m + smooth))))
-        return cls({t: o for t, o in odds.items() if abs(o) > 0.2})
-
-    def __call__(self, text: str) -> float:
-        """Mean evidence of the tokens times the square root of their number; 0 for unknown words."""
-        tokens = _tokens(text)
-        return sum(self.odds.get(t, -0.1) for t in tokens) / max(1.0, len(tokens) ** 0.5) if tokens else 0.0
-
-    def undecided(self, text: str) -> bool:
-        """Words that speak neither for furniture nor for main text."""
-        tokens = _tokens(text)
-        return any(t[0].isalpha() for t in tokens) and sum(self.odds.get(t, -0.1) for t in tokens) > UNLIKE * len(tokens)
+def _worded(text: str, raw: str) -> bool:
+    """Whether wording, not codes and numbers, makes up most of ``raw``."""
+    letters = _letters(text)
+    return letters > 0 and 2 * letters >= sum(map(str.isalnum, raw))
 
 
 def _hash(kind: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}{text}".encode("utf-8", "replace")) - (1 << 63)
 
 
-def standing_subtrees(whole: str, elements: list[str], cue: float, furniture: FurnitureClassifier) -> list[tuple[int, bool, float]]:
-    """The subtrees of a line whose wording is unknown: the line, and its elements, of which half make it template."""
-    elements = list(dict.fromkeys(elements))
-    found = [(_hash("s", whole), True, 1.0)] if cue > UNLIKE * (len(whole) + 1) ** 0.5 and furniture.undecided(whole) else []
-    if len(elements) > 1:
-        found += [(_hash("t", e), True, 1 / -(-len(elements) // 2)) for e in elements if furniture.undecided(e)]
+def subtrees(line: str) -> list[tuple[int, int, int, float]]:
+    """(place, kind, hash, share of the letters of the line) of each subtree; the place is the element's number,
+    ``ROOT`` for the line itself, ``HEAD`` for its label or bullet."""
+    text = plain(line)
+    whole = masked(text)
+    letters = _letters(whole)
+    if not letters:
+        return []
+    found = [(ROOT, TREE, _hash("t", whole), 1.0)] if _worded(whole, text) else []
+    label = _LABEL.match(whole)
+    if label and _letters(label[1]) and (label[2] == "?" or _worded(label[3], text.partition(":")[2])):
+        found.append((HEAD, LABEL, _hash("b", label[1]), 1.0))
+    raw = [e for e in (x.strip(" |·<>/") for x in _ELEMENT.split(text)) if e]
+    for place, element in enumerate(raw):
+        part = masked(element)
+        share = _letters(part) / letters
+        if not share:
+            continue
+        if len(raw) > 1:
+            found.append((place, TREE, _hash("t", part), share))
+            label = _LABEL.match(part)
+            if label and label[2] == ":" and _letters(label[1]) and _worded(label[3], element.partition(":")[2]):
+                found.append((place, LABEL, _hash("b", label[1]), share))
+        bullet = _BULLET.fullmatch(part)
+        if bullet:
+            found.append((place if len(raw) > 1 else HEAD, LABEL, _hash("s", bullet[1]), share))
+        labelled = _LABEL.match(part)
+        words = (labelled[3] if labelled else part).split()
+        if len(words) >= LONG:
+            found.append((place, OPEN, _hash("o", " ".join(words[:OPENING])), share))
     return found
 
 
-def subtrees(line: str, furniture: FurnitureClassifier) -> list[tuple[int, bool, float]]:
-    """The candidate subtrees of a line, none if it reads like main text: their hashes, whether they must stand
-    on a share of all pages, and the share of the line they make template."""
-    text = plain(line)
-    if not text:
-        return []
-    whole = masked(text)
-    elements = [e for e in (x.strip(" |·<>/") for x in _ELEMENT.split(whole)) if e]
-    link = _BULLET.match(masked(_MARKUP.sub(" ", line)).strip())
-    first = elements[0] if elements else whole
-    label = first.partition(":")[0] if ":" in first[:40] else ""
-    words = first.split()
-    heads = [" ".join(words[:n]) for n in (2, 3) if len(words) > n]
-    cue = furniture(whole)
-    telling = [e for e in elements if (cue if e == whole else furniture(e)) >= CUE]
-    if link is not None and cue < CUE and not telling and len(link["entry"].split()) <= 7:
-        return [(_hash("l", whole), False, 1.0), (_hash("k", ""), False, 1.0)]
-    if len(whole) > LONG:  # main text may follow a label or an element: as a whole, or by most of its characters
-        telling = telling if 2 * sum(map(len, telling)) >= len(whole) else []
-        label, heads = "", []
-    cues = [x for x in (label, *heads) if x and furniture(x) >= CUE]
-    if cue < CUE and not telling and (link is not None or not cues):
-        return standing_subtrees(whole, elements, cue, furniture)
-    found = [*([_hash("l", whole)] if cue >= CUE or len(whole.split()) <= 6 else []), *(_hash("e", e) for e in telling), *(_hash("h", x) for x in cues)]
-    if len(words) in (2, 3):
-        found.append(_hash("h", first))
-    return [*((h, False, 1.0) for h in dict.fromkeys(found)), *standing_subtrees(whole, elements, cue, furniture)]
-
-
-def _lines(df: DataFrame, furniture: FurnitureClassifier, repair: ChainClassifier | None) -> DataFrame:
-    """(table_name, record_id, host, page, line_no, subtree, standing, share, first): one row for each candidate
-    subtree; ``page`` is a hash of the text, ``first`` marks one row of each subtree in it. Without ``repair``
-    texts are taken as they are."""
-    shared = df.sparkSession.sparkContext.broadcast((furniture, repair.weights, repair.model) if repair else (furniture, None, None))
+class _Cache(dict):
+    """The subtrees of the lines met last."""
+
+    def __missing__(self, line: str) -> list[tuple[int, int, int, float]]:
+        found = subtrees(line)
+        if len(line) <= 400 and len(self) < 50_000:  # only what is kept in memory, not what is judged
+            self[line] = found
+        return found
+
+
+def _places(texts: DataFrame, repair: ChainClassifier) -> DataFrame:
+    """(page, host, line_no, nth, n_lines, place, kind, subtree, share, records): a row for each subtree of each
+    line of ``texts`` (page, host, text, copies). ``nth`` counts the lines that are not blank, ``records`` is the number
+    of copies on one row of each subtree of a page, 0 on others."""
+    shared = texts.sparkSession.sparkContext.broadcast((repair.weights, repair.model))
+    names = ["page", "host", "line_no", "nth", "n_lines", "place", "kind", "subtree", "share", "records"]
+    types = (pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float32(), pa.int64())
 
     def run(batches):
-        judge, weights, model = shared.value
-        fixer = ChainClassifier(weights, model) if model else None
-        cache: dict[str, list[tuple[int, bool, float]]] = {}
+        fixer, known = ChainClassifier(*shared.value), _Cache()
         for batch in batches:
-            rows = ([], [], [], [], [], [], [], [], [])
-            for name, record, host, text in zip(*(c.to_pylist() for c in batch.columns)):
-                lines, page = text.split("\n"), _hash("p", text)
-                if fixer and not text.isascii():
+            rows: tuple[list, ...] = tuple([] for _ in names)
+            for page, host, text, copies in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = text.split("\n")
+                if not text.isascii():
                     fixed = fixer.restore(text)[0].split("\n")
                     lines = fixed if len(fixed) == len(lines) else lines
+                kept = [(no, line) for no, line in enumerate(lines, 1) if line and not line.isspace()]
                 seen: set[int] = set()
-                for k, line in enumerate(lines, 1):
-                    if not line.strip():
-                        continue
-                    found = cache.get(line)
-                    if found is None:
-                        found = subtrees(line, judge)
-                        if len(cache) < 50_000:
-                            cache[line] = found
-                    for h, standing, share in found:
-                        for column, value in zip(rows, (name, record, host, page, k, h, standing, share, h not in seen)):
+                for nth, (no, line) in enumerate(kept):
+                    for place, kind, subtree, share in known[line]:
+                        for column, value in zip(rows, (page, host, no, nth, len(kept), place, kind, subtree, share, 0 if subtree in seen else copies)):
                             column.append(value)
-                        seen.add(h)
-            types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(rows, types)], names=["table_name", "record_id", "host", "page", "line_no", "subtree", "standing", "share", "first"])
-
-    return df.mapInArrow(run, "table_name string, record_id string, host string, page bigint, line_no bigint, subtree bigint, standing boolean, share float, first boolean")
-
-
-def template_lines(pages: DataFrame, main_text: DataFrame, furniture: FurnitureClassifier, repair: ChainClassifier) -> DataFrame:
-    """(table_name, record_id, line_no) of each template line of ``pages`` (table_name, record_id, host, text),
-    with ``main_text`` (text) as known main text in the right encoding."""
-    pages = pages.select("table_name", "record_id", "host", "text").where(F.col("text").rlike(r"(?U)\S")).dropDuplicates(["table_name", "record_id", "text"])
-    lines = cut_lineage(_lines(pages, furniture, repair))  # candidates only, hashes for texts; read twice below
-    main = main_text.where(F.col("text").rlike(r"(?U)\S")).select(F.lit("").alias("table_name"), F.lit("").alias("record_id"), F.lit("").alias("host"), F.regexp_replace("text", r"\r\n?", "\n").alias("text"))
-    usual = _lines(spread(main), furniture, None).where("first").groupBy("subtree").agg(F.count(F.lit(1)).alias("usual"))
-    n_main = main.count()
-    hosts = pages.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    template = (
-        lines.where("first").groupBy(F.coalesce("host", F.lit("")).alias("host"), "subtree").agg(F.count(F.lit(1)).alias("n"), F.max("standing").alias("standing"))
+                        seen.add(subtree)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(rows, types)], names=names)
+
+    ddl = "page binary, host string, line_no int, nth int, n_lines int, place int, kind int, subtree bigint, share float, records bigint"
+    return texts.select("page", "host", "text", "copies").mapInArrow(run, ddl)
+
+
+def _usual(main_texts: list[DataFrame]) -> DataFrame:
+    """(subtree, usual): the largest share of the texts of one of the tables ``main_texts`` (text) that hold a subtree."""
+    def run(batches):
+        known = _Cache()
+        for batch in batches:
+            counts: dict[int, int] = {}
+            for text in batch.column(0).to_pylist():
+                for subtree in {x[2] for line in re.split(r"\r\n?|\n", text) for x in known[line]}:
+                    counts[subtree] = counts.get(subtree, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.int64()), pa.array(list(counts.values()), type=pa.int64())], names=["subtree", "n"])
+
+    usual = None
+    for df in main_texts:
+        texts = df.select("text").where(F.col("text").isNotNull())
+        held = spread(texts).mapInArrow(run, "subtree bigint, n bigint").groupBy("subtree").agg(F.sum("n").alias("n"))
+        shares = held.select("subtree", (F.col("n") / max(1, texts.count())).alias("usual"))
+        usual = shares if usual is None else usual.unionByName(shares)
+    return usual.groupBy("subtree").agg(F.max("usual").alias("usual"))
+
+
+def _with_verdicts(places: DataFrame, verdicts: DataFrame, total: int) -> DataFrame:
+    """``places`` joined with ``verdicts`` (host, subtree, n, is_usual); the few subtrees of very many places are broadcast."""
+    limit = max(1000, int(total * HOT))
+    hot = F.broadcast(verdicts.where(F.col("n") > limit).drop("n"))  # at most 1 / HOT rows
+    cold = verdicts.where(F.col("n") <= limit).drop("n")
+    rare = places.join(hot.select("host", "subtree"), ["host", "subtree"], "left_anti")
+    joined = places.join(hot, ["host", "subtree"]).unionByName(rare.join(cold, ["host", "subtree"]))
+    return joined.where((F.col("kind") == TREE) | ((F.col("kind") == OPEN) == F.col("is_usual")))
+
+
+def _lines(places: DataFrame) -> DataFrame:
+    """One row for each line with its judged subtrees and whether they make it template."""
+    lines = places.groupBy("page", "host", "line_no", "nth", "n_lines").agg(F.collect_list(F.struct("place", "kind", "subtree", "share", "is_usual")).alias("held"))
+    template, usual = F.filter("held", lambda x: ~x["is_usual"]), F.filter("held", lambda x: x["is_usual"])
+
+    def cover(held: Column) -> Column:
+        elements = F.array_distinct(F.transform(F.filter(held, lambda x: x["place"] >= 0), lambda x: F.struct(x["place"].alias("place"), x["share"].cast("double").alias("share"))))
+        return F.aggregate(elements, F.lit(0.0), lambda total, x: total + x["share"])
+
+    furniture = F.exists(template, lambda x: x["place"] < 0) | (cover(template) >= COVER)
+    main = F.exists(usual, lambda x: x["place"] == ROOT) | (cover(usual) >= COVER)
+    return lines.withColumn("template", furniture & ~main)
+
+
+def template_lines(pages: DataFrame, hosts: DataFrame, main_texts: list[DataFrame], repair: ChainClassifier) -> DataFrame:
+    """(page, line_no) of each template line of ``pages`` (page, host, text, copies), one row for each text of a host;
+    ``hosts`` is (host, pages), ``main_texts`` are tables (text) of known main text."""
+    places = land(_places(pages, repair), "p4-places")
+    total = places.count()
+    counted = places.groupBy("host", "subtree").agg(F.sum("records").alias("held"), F.count(F.lit(1)).alias("n"))
+    verdicts = (
+        counted.join(_usual(main_texts), "subtree", "left")
+        .where((F.col("held") >= LEAST_PAGES) | F.col("usual").isNotNull())
         .join(hosts, "host")
-        .where(F.col("n") >= F.greatest(F.lit(LEAST_PAGES), F.when(F.col("standing"), F.col("pages") * STANDING)))
-        .join(usual, "subtree", "left")
-        .where(F.coalesce("usual", F.lit(0)) * F.col("pages") <= F.col("n") * n_main * BODY_SHARE)
-        .select("host", "subtree")
+        .withColumn("is_usual", F.coalesce("usual", F.lit(0.0)) * F.col("pages") > F.col("held") * BODY_SHARE)
+        .where(F.col("is_usual") | (F.col("held") >= LEAST_PAGES))
+        .select("host", "subtree", "n", "is_usual")
     )
-    held = lines.withColumn("host", F.coalesce("host", F.lit(""))).join(template, ["host", "subtree"])
-    whole = held.groupBy("table_name", "record_id", "page", "line_no").agg(F.sum("share").alias("share")).where(F.col("share") > 0.999)
-    return whole.select("table_name", "record_id", "line_no").distinct()
+    verdicts = land(verdicts, "p4-verdicts")
+    lines = land(_lines(_with_verdicts(places.drop("records"), verdicts, total)).where("template"), "p4-lines")
+    around = Window.partitionBy("page").orderBy("nth")
+    beside = (F.lag("nth", 1, -9).over(around) == F.col("nth") - 1) | (F.lead("nth", 1, -9).over(around) == F.col("nth") + 1)
+    alone = ~beside & (F.col("nth") > 0) & (F.col("nth") < F.col("n_lines") - 1)
+    standing = lines.withColumn("alone", alone.cast("long")).select("host", "alone", F.explode(F.array_distinct(F.transform("held", lambda x: x["subtree"]))).alias("subtree"))
+    inner = standing.groupBy("host", "subtree").agg(F.avg("alone").alias("alone")).where(F.col("alone") > ALONE)
+    verdicts = verdicts.join(inner.select("host", "subtree"), ["host", "subtree"], "left_anti")
+    again = lines.select("page", "host", "line_no", "nth", "n_lines", F.explode("held").alias("x")).select("page", "host", "line_no", "nth", "n_lines", "x.place", "x.kind", "x.subtree", "x.share")
+    return _lines(_with_verdicts(again, land(verdicts, "p4-verdicts"), total)).where("template").select("page", "line_no")
 
 
 def catalog_pages(spark, root: str) -> DataFrame:
     sections, operations = read_table(spark, root, "functional_section"), read_table(spark, root, "rest_operation")
-    host = F.parse_url(F.col("source.url"), F.lit("HOST"))
-    return sections.select(F.lit("functional_section").alias("table_name"), F.col("id").alias("record_id"), host.alias("host"), "text").unionByName(
-        operations.select(F.lit("rest_operation").alias("table_name"), F.col("id").alias("record_id"), host.alias("host"), F.col("description").alias("text"))
+    host = F.coalesce(F.parse_url(F.col("source.url"), F.lit("HOST")), F.lit(""))
+    failed = F.col("node_type").eqNullSafe("collection_error").alias("failed")
+    pages = sections.select(F.lit("functional_section").alias("table_name"), F.col("id").alias("record_id"), host.alias("host"), "text", failed).unionByName(
+        operations.select(F.lit("rest_operation").alias("table_name"), F.col("id").alias("record_id"), host.alias("host"), F.col("description").alias("text"), failed)
     )
+    return with_page_keys(pages)
+
+
+def with_page_keys(pages: DataFrame) -> DataFrame:
+    """``pages`` (table_name, record_id, host, text, failed) with ``page``, 128 bits that stand for the last three;
+    ``failed`` marks records that hold the message of a failed collection, not a page."""
+    host = F.coalesce("host", F.lit(""))
+    return pages.select("table_name", "record_id", host.alias("host"), "text", "failed", F.substring(F.unhex(F.sha2(F.concat_ws("\n", host, F.col("failed").cast("string"), "text"), 256)), 1, 16).alias("page"))
+
+
+def judged(pages: DataFrame, main_texts: list[DataFrame], repair: ChainClassifier) -> tuple[DataFrame, DataFrame]:
+    """((table_name, record_id, host, page) of the records, (page, line_no) of the template lines of their texts)."""
+    worded = pages.where(~F.col("failed") & F.col("text").rlike(r"(?U)\S"))
+    records = land(worded.select("table_name", "record_id", "host", "page").distinct(), "p4-records")
+    copies = records.groupBy("page").agg(F.count(F.lit(1)).alias("copies"))
+    texts = worded.select("page", "host", "text").dropDuplicates(["page"]).join(copies, "page")
+    hosts = records.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    return records, template_lines(texts, hosts, main_texts, repair)
 
 
-def trained(spark, root: str) -> tuple[FurnitureClassifier, ChainClassifier]:
-    documents = read_table(spark, root, "documents")
-    labelled = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.left("text", F.lit(4000)).alias("text"))
-    rows = bounded_sample(labelled, "doc_id", MAX_SAMPLES, documents.count()).collect()
-    return FurnitureClassifier.train([r["text"] for r in rows]), trained_classifier(spark, root)
+def main_tables(spark, root: str) -> list[DataFrame]:
+    """Texts that were not taken from web pages."""
+    return [read_table(spark, root, "documents").select("text"), read_table(spark, root, "entity_aliases").select(F.col("description").alias("text"))]
 
 
 def found(spark, root: str) -> DataFrame:
-    return template_lines(catalog_pages(spark, root), read_table(spark, root, "documents").select("text"), *trained(spark, root))
+    """The lines of each record that do not belong to the main body of its page."""
+    records, lines = judged(catalog_pages(spark, root), main_tables(spark, root), trained_classifier(spark, root))
+    return records.join(lines, "page").select("table_name", "record_id", F.col("line_no").cast("long").alias("line_no")).distinct()
 
 
 def main_body(spark, root: str) -> DataFrame:
-    """Each record with the lines of its main body, which may be empty."""
-    pages = catalog_pages(spark, root).dropDuplicates(["table_name", "record_id", "text"]).select("table_name", "record_id", "text")
-    drop = found(spark, root).groupBy("table_name", "record_id").agg(F.collect_set("line_no").alias("gone"))
-    lines = F.transform(F.split("text", "\n", -1), lambda line, k: F.struct((k + 1).cast("long").alias("no"), line.alias("line")))
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<bigint>")), x["no"]))
-    return pages.join(drop, ["table_name", "record_id"], "left").select(
-        "table_name", "record_id", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("body"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed")
+    """Each stored text of each record with the lines of its main body, which may be empty."""
+    pages = catalog_pages(spark, root)
+    _, lines = judged(pages, main_tables(spark, root), trained_classifier(spark, root))
+    gone = lines.groupBy("page").agg(F.collect_set("line_no").alias("gone"))
+    numbered = F.transform(F.split("text", "\n", -1), lambda line, k: F.struct((k + 1).alias("no"), line.alias("line")))
+    kept = F.filter(numbered, lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), x["no"]))
+    bodies = (
+        pages.select("page", "text").dropDuplicates(["page"]).join(gone, "page", "left")
+        .select("page", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("body"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
     )
+    return pages.select("table_name", "record_id", "page").distinct().join(bodies, "page", "left").drop("page")

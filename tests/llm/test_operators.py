@@ -150,44 +150,85 @@ def chains():
     return mojibake.ChainClassifier.train(list(_samples().values()) * 2)
 
 
-def test_templates_are_found_and_body_is_kept(spark, chains):
-    body = [f"The report {i} shows which records were changed. Changes take effect at the next run." for i in range(12)]
-    pages = [("t", f"p{i}", "h", f"Home | Products | Guides | Support | Sign in\n\n{b}\nPrerequisites\nBack to top\n## © 2024 Knowledge Library. All rights reserved.") for i, b in enumerate(body)]
-    pages += [("t", "p0", "h", pages[0][3]), ("t", "n", "h", None), ("t", "e", "h", ""), ("t", "b", None, " \n"), ("t", "long", "h", "word " * 20000)]
-    furniture = boilerplate.FurnitureClassifier.train(list(_samples().values()) + body)
-    main = spark.createDataFrame([(b,) for b in body] + [("Prerequisites",), (None,)], "text string")
-    df = spark.createDataFrame(pages, "table_name string, record_id string, host string, text string").withColumn("subtree", F.lit("clash")).withColumn("n", F.lit(1))
-    got = boilerplate.template_lines(df, main, furniture, chains).collect()
-    assert {(r.record_id, r.line_no) for r in got} == {(f"p{i}", k) for i in range(12) for k in (1, 5, 6)}
-    assert boilerplate.template_lines(df.limit(0), main, furniture, chains).count() == 0
+PAGES = "table_name string, record_id string, host string, text string, failed boolean"
+
+
+def _template(pages, main, chains):
+    """{(record_id, line_no)} of the template lines."""
+    records, lines = boilerplate.judged(boilerplate.with_page_keys(pages), main, chains)
+    return {(r.record_id, r.line_no) for r in records.join(lines, "page").collect()}
+
 
+def _texts(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "text string")
 
-def _template(spark, chains, pages, main):
+
+def test_templates_are_found_and_body_is_kept(spark, chains):
     body = [f"The report {i} shows which records were changed. Changes take effect at the next run." for i in range(12)]
-    furniture = boilerplate.FurnitureClassifier.train(list(_samples().values()) + body)
-    df = spark.createDataFrame([("t", f"p{i}", "h", text) for i, text in enumerate(pages)], "table_name string, record_id string, host string, text string")
-    got = boilerplate.template_lines(df, spark.createDataFrame([(m,) for m in main], "text string"), furniture, chains).collect()
-    return {(int(r.record_id[1:]), r.line_no) for r in got}
+    pages = [("t", f"p{i}", "h", f"Home | Products | Guides | Support | Sign in\n\n{b}\nPrerequisites\nBack to top\n## © 2024 Knowledge Library. All rights reserved.", False) for i, b in enumerate(body)]
+    pages += [pages[0], ("t", "n", "h", None, False), ("t", "e", "h", "", False), ("t", "b", None, " \n", False), ("t", "long", "h", "word " * 20000, False)]
+    df = spark.createDataFrame(pages, PAGES).withColumn("subtree", F.lit("clash")).withColumn("n", F.lit(1)).withColumn("page", F.lit(2))
+    main = [_texts(spark, [*body, "Prerequisites", None])]
+    assert _template(df, main, chains) == {(f"p{i}", k) for i in range(12) for k in (1, 5, 6)}
+    assert _template(df.limit(0), main, chains) == set()
 
 
 def test_template_in_unknown_words(spark, chains):
     titles = ["ledger", "budget", "invoice", "supplier", "freight", "receipt", "payment", "project"]
-    pages = [f"Acasă | Produse | Ghiduri | Asistență\nAcasă > Bibliotecă > {t}\n{t} zeichen\nThe records were changed. Changes take effect at the next run.\nPrerequisites" for t in titles]
-    assert _template(spark, chains, pages, ["Prerequisites"]) == {(i, k) for i in range(8) for k in (1, 2)}
+    pages = [("t", t, "h", f"Qarel | Vodun | Stef\nQarel > Milotek > {t}\n{t} zeichen\nThe records were changed. Changes take effect at the next run.\nPrerequisites", False) for t in titles]
+    main = [_texts(spark, ["Prerequisites"]), _texts(spark, ["Who asked for it? Changes take effect at the next run."])]
+    assert _template(spark.createDataFrame(pages, PAGES), main, chains) == {(t, k) for t in titles for k in (1, 2)}
+
+
+def test_each_host_is_counted_by_itself(spark, chains):
+    pages = [("t", f"{h}{i}", h, f"Menu of {h}\nRecord {h * i} was changed.", False) for h in ("a", "b", "c") for i in range(1, 5)]
+    pages += [("t", f"d{i}", f"host{i}", f"Menu of d\nRecord {'d' * i} was changed.", False) for i in range(1, 9)]
+    assert _template(spark.createDataFrame(pages, PAGES), [_texts(spark, ["x"])], chains) == {(f"{h}{i}", 1) for h in "abc" for i in range(1, 5)}
 
 
 def test_template_counts_do_not_follow_the_size(spark, chains):
-    few = ["Back to top"] * 3 + [f"The report {'x' * (i % 7)} shows which records were changed." for i in range(40_000)]
-    assert _template(spark, chains, few, ["The records"]) == {(0, 1), (1, 1), (2, 1)}
-    small = ["Back to top"] * 4 + ["The records"]  # one of 1,000 main texts holds the line, 4 of 5 pages do
-    assert _template(spark, chains, small, ["Back to top"] + [f"The record {i}" for i in range(999)]) == {(i, 1) for i in range(4)}
+    other = [f"The report {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)} shows which records were changed." for i in range(40_000)]
+    few = [("t", str(i), "h", t, False) for i, t in enumerate(["Back to top"] * 3 + other)]
+    assert _template(spark.createDataFrame(few, PAGES), [_texts(spark, ["The records"])], chains) == {("0", 1), ("1", 1), ("2", 1)}
+    small = [("t", str(i), "h", t, False) for i, t in enumerate(["Back to top"] * 4 + ["The records"])]  # one of 1,000 main texts holds the line, 4 of 5 pages do
+    main = [_texts(spark, ["Back to top"] + [f"The record {i}" for i in range(999)])]
+    assert _template(spark.createDataFrame(small, PAGES), main, chains) == {(str(i), 1) for i in range(4)}
 
 
-def test_long_template_line(spark, chains):
+def test_long_lines_are_judged_alike(spark, chains):
     menu = "Home | Products | Guides | Support | Sign in | Search this site | Skip to main content | Previous | Next | Back to top | " * 5
-    text = "On this page: " + "the records were changed and the report shows who asked for it, " * 8
-    assert len(menu) > 400 and len(text) > 400
-    assert _template(spark, chains, [f"{menu}\n{text}"] * 4, ["The records"]) == {(i, 1) for i in range(4)}
+    prose = "the records were changed and the report shows who asked for it, " * 8
+    pages = [("t", str(i), "h", f"{menu}\nOn this page: {prose}{'abcd'[i]}\nOn this page: {'abcd'[i] * 3} · ledger", False) for i in range(4)]
+    assert len(menu) > 400 and len(prose) > 400
+    assert _template(spark.createDataFrame(pages, PAGES), [_texts(spark, [prose])], chains) == {(str(i), k) for i in range(4) for k in (1, 3)}
+
+
+def test_places_inside_main_text_and_codes_are_kept(spark, chains):
+    word = ["one", "two", "six", "ten"]
+    pages = [("t", w, "h", f"Skip to content\nRecord {w} was changed.\nLayout\nThe {w} record is drawn.\nTables: AB_{w}_1, CD_{w}_2\nLine {w} remains.\nBack to top", False) for w in word]
+    failed = [("t", f"f{i}", "h", "Timed out while reading", True) for i in range(5)]
+    df = spark.createDataFrame(pages + failed, PAGES)
+    assert _template(df, [_texts(spark, ["x"])], chains) == {(w, k) for w in word for k in (1, 7)}
+
+
+def test_hot_and_rare_subtrees_are_joined_alike(spark, chains, monkeypatch):
+    pages = [("t", str(i), "h", f"Menu\n{chr(97 + i % 26) * (1 + i // 26)} was changed\nFooter", False) for i in range(1200)]
+    df = spark.createDataFrame(pages, PAGES)
+    assert _template(df, [_texts(spark, ["x"])], chains) == {(str(i), k) for i in range(1200) for k in (1, 3)}
+
+
+def test_bodies(spark, chains, tables, monkeypatch):
+    monkeypatch.setattr(boilerplate, "trained_classifier", lambda *_: chains)
+    source = "struct<source_type: string, url: string, release: string>"
+    sections = [(f"s{i}", "functional_section", f"Menu\n{w} was changed", (None, "https://h.example/x", None)) for i, w in enumerate(("one", "two", "six"))]
+    sections += [("s0", "functional_section", "Menu", (None, "https://h.example/x", None)), ("n", "functional_section", None, None), ("f", "collection_error", "Menu", (None, "https://h.example/x", None))]
+    root = tables(
+        functional_section=spark.createDataFrame(sections, f"id string, node_type string, text string, source {source}"),
+        rest_operation=spark.createDataFrame([], f"id string, node_type string, description string, source {source}"),
+        documents=_texts(spark, ["text"]), entity_aliases=spark.createDataFrame([("text",)], "description string"),
+    )
+    got = {(r.record_id, r.body, r.n_removed) for r in boilerplate.main_body(spark, root).collect()}
+    assert got == {("s0", "one was changed", 1), ("s1", "two was changed", 1), ("s2", "six was changed", 1), ("s0", "", 1), ("n", None, 0), ("f", "Menu", 0)}
 
 
 # 6. encodings

@@ -254,6 +254,24 @@ def test_clean_text_stays(spark, chains):
     assert set(got) == {"1", "4"} and got["1"] == _samples()["pt"]
 
 
+def test_two_chains_in_one_record(chains):
+    one, two = ("utf-8", "cp1252"), ("utf-8", "cp850")
+    text = _samples()["pt"]
+    bad = f"{mojibake.garble(text, one)}\nA plain line.\n{mojibake.garble(text, two)}\n{text}"
+    fixed, found, lost = chains.restore(bad)
+    assert fixed == f"{text}\nA plain line.\n{text}\n{text}" and not lost
+    assert {"utf-8<-cp850"} < set(found) and len(found) == 2
+
+
+def test_short_japanese():
+    text = "この記録は変更されました。金額は四捨五入されます。日本語の設定を確認してください。"
+    judge = mojibake.ChainClassifier.train([*_samples().values(), text] * 2)
+    for chain in (("utf-8", "cp1252"), ("cp932", "cp1252"), ("euc_jp", "latin-1")):
+        for short in ("設定の確認", "日本語を確認"):  # one kana each
+            bad = mojibake.garble(short, chain)
+            assert bad is None or judge.restore(bad)[0] == short
+
+
 # 7. tokenizer
 
 

@@ -30,7 +30,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -48,13 +51,22 @@ LONG, OPENING = 6, 3
 HOT = 1e-4
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^>]*>|^\s*#+\s+|&copy;|&nbsp;|\]\([^)]*\)|^\s*[*+]\s+(?=\[)|\[")
-#: Identifiers: words with a digit, or joined by underscores.
-_CODE = re.compile(r"(?<!\w)(?=[\w-]*\d)(?=[\w-]*[^\W\d])\w+(?:[-_]\w+)*(?!\w)|(?<!\w)[^\W\d]+(?:_[^\W\d]+)+(?!\w)")
+#: Words with a digit, identifiers among them if they have a letter, too, and words joined by underscores.
+_COUNTED = re.compile(r"[\w-]*\d[\w-]*")
+_JOINED = re.compile(r"(?<!\w)[^\W\d]+(?:_[^\W\d]+)+(?!\w)")
+_LETTER = re.compile(r"[^\W\d_]")
 _NUMBER = re.compile(r"\d+")
-_ELEMENT = re.compile(r"\s+[|·>/]\s+|\s{2,}|[|·]|\s+←\s+|(?<=[。？])\s*|(?<=[.!?])\s+")
-_LABEL = re.compile(r"([^:?]{1,40})([:?])\s+(.*)")
+_DIGIT = re.compile(r"\d")
+_LINE_END = re.compile(r"\r\n?|\n")
+_QUESTION = re.compile(r"[^:?]{1,40}\?")
+_MARK = re.compile(r"[<#&\[\]*+]")
+#: Within a sentence; the ends of sentences set off elements, too.
+_ELEMENT = re.compile(r"\s+[|·>/←]\s+|\s{2,}|[|·]")
+_ENDS = (". ", "! ", "? ", "。", "？")
+_LABEL = re.compile(r"([^:?]{1,40}):\s+(.*)")
 _BULLET = re.compile(r"\s*([•»›▸►‣*–-]|\d+[.)])\s+([^#0:.!?。,;]*)")
-_WORD = re.compile(r"[^\W\d_]+")
+_NO_LETTER = re.compile(r"[\W\d_]+")
+_NO_SIGN = re.compile(r"[\W_]+")
 _OTHER_SCRIPT = re.compile("[Ͱ-ԯ]")
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
 _FOLD = str.maketrans(dict.fromkeys(INVISIBLE))
@@ -67,78 +79,129 @@ TREE, LABEL, OPEN = 0, 1, 2
 
 
 def plain(line: str) -> str:
-    """The line without markup, in one letter case, look-alike characters replaced."""
-    line = _MARKUP.sub(" ", line)
+    """The text in one letter case, look-alike characters replaced."""
     if line.isascii():
         return line.lower().strip()
     if _HIDDEN.search(line):
         line = line.translate(_FOLD)
-    line = unicodedata.normalize("NFKC", line)
+    if not unicodedata.is_normalized("NFKC", line):
+        line = unicodedata.normalize("NFKC", line)
     if _OTHER_SCRIPT.search(line) and _MIXED.search(line):
         line = " ".join(w.translate(_LATIN) if w.translate(_LATIN).isascii() or re.search("[A-Za-z]", w) else w for w in line.split(" "))
     return line.casefold().strip()
 
 
 def masked(text: str) -> str:
-    return _NUMBER.sub("0", _CODE.sub("#", text))
+    """The text with # for identifiers and 0 for numbers."""
+    if _DIGIT.search(text):
+        text = _COUNTED.sub(lambda m: "#" if _LETTER.search(m[0]) else _NUMBER.sub("0", m[0]), text)
+    return _JOINED.sub("#", text) if "_" in text else text
 
 
 def _letters(text: str) -> int:
-    return sum(map(len, _WORD.findall(text)))
-
-
-def _worded(text: str, raw: str) -> bool:
-    """Whether wording, not codes and numbers, makes up most of ``raw``."""
-    letters = _letters(text)
-    return letters > 0 and 2 * letters >= sum(map(str.isalnum, raw))
+    return len(_NO_LETTER.sub("", text))
 
 
 def _hash(kind: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}{text}".encode("utf-8", "replace")) - (1 << 63)
 
 
-def subtrees(line: str) -> list[tuple[int, int, int, float]]:
-    """(place, kind, hash, share of the letters of the line) of each subtree; the place is the element's number,
-    ``ROOT`` for the line itself, ``HEAD`` for its label or bullet."""
-    text = plain(line)
-    whole = masked(text)
-    letters = _letters(whole)
-    if not letters:
-        return []
-    found = [(ROOT, TREE, _hash("t", whole), 1.0)] if _worded(whole, text) else []
-    label = _LABEL.match(whole)
-    if label and _letters(label[1]) and (label[2] == "?" or _worded(label[3], text.partition(":")[2])):
-        found.append((HEAD, LABEL, _hash("b", label[1]), 1.0))
-    raw = [e for e in (x.strip(" |·<>/") for x in _ELEMENT.split(text)) if e]
-    for place, element in enumerate(raw):
-        part = masked(element)
-        share = _letters(part) / letters
-        if not share:
-            continue
-        if len(raw) > 1:
-            found.append((place, TREE, _hash("t", part), share))
-            label = _LABEL.match(part)
-            if label and label[2] == ":" and _letters(label[1]) and _worded(label[3], element.partition(":")[2]):
-                found.append((place, LABEL, _hash("b", label[1]), share))
-        bullet = _BULLET.fullmatch(part)
-        if bullet:
-            found.append((place if len(raw) > 1 else HEAD, LABEL, _hash("s", bullet[1]), share))
-        labelled = _LABEL.match(part)
-        words = (labelled[3] if labelled else part).split()
-        if len(words) >= LONG:
-            found.append((place, OPEN, _hash("o", " ".join(words[:OPENING])), share))
-    return found
-
-
-class _Cache(dict):
-    """The subtrees of the lines met last."""
-
-    def __missing__(self, line: str) -> list[tuple[int, int, int, float]]:
-        found = subtrees(line)
-        if len(line) <= 400 and len(self) < 50_000:  # only what is kept in memory, not what is judged
-            self[line] = found
+class _Element(NamedTuple):
+    """An element with what its subtrees need, each hash 0 if there is no such subtree."""
+
+    text: str
+    letters: int
+    others: int  # digits and letters of codes
+    whole: int
+    label: int
+    label_letters: int
+    labels_words: bool  # whether wording, not codes and numbers, makes up most of what follows the label
+    bullet: int
+    openings: tuple[int, ...]
+
+
+def _element(raw: str) -> _Element:
+    text = plain(raw).strip(" |·<>/")
+    part = masked(text)
+    letters = _letters(part)
+    others = len(_NO_SIGN.sub("", text)) - letters
+    label, bullet = _LABEL.match(part), _BULLET.fullmatch(part)
+    named = _letters(label[1]) if label else 0
+    words = part.split()
+    openings = [" ".join(words[:OPENING])] if len(words) >= LONG else []
+    if label and len(label[2].split()) >= 2 * LONG:
+        openings.append(" ".join(label[2].split()[:OPENING]))
+    behind = len(_NO_SIGN.sub("", text.partition(":")[2])) if label else 0
+    return _Element(
+        part, letters, others, _hash("t", part), _hash("b", label[1]) if named else 0, named, 0 < behind <= 2 * (letters - named),
+        _hash("s", bullet[1]) if bullet else 0, tuple(_hash("o", x) for x in openings),
+    )
+
+
+class _Subtrees(dict):
+    """The subtrees of lines. The elements of the chunks (sentences) met last are kept, digits counting as equal,
+    since chunks recur more than lines, and so are the subtrees of lines met last."""
+
+    def __init__(self):
+        super().__init__()
+        self.lines: dict[str, list[tuple[int, int, int, float]]] = {}
+
+    def __missing__(self, chunk: str) -> list[_Element]:
+        if len(self) >= 100_000:
+            self.clear()
+        found = self[chunk] = [e for e in map(_element, _ELEMENT.split(chunk)) if e.text]
         return found
 
+    def of(self, line: str) -> list[tuple[int, int, int, float]]:
+        """(place, kind, hash, share of the letters of the line) of each subtree; the place is the element's number,
+        ``ROOT`` for the line itself, ``HEAD`` for its label or bullet."""
+        found = self.lines.get(line)
+        if found is None:
+            if len(self.lines) >= 50_000:
+                self.lines.clear()
+            found = self.lines[line] = self._of(line)
+        return found
+
+    def _of(self, line: str) -> list[tuple[int, int, int, float]]:
+        if _DIGIT.search(line):
+            for digit in "123456789":
+                line = line.replace(digit, "0")
+        if _MARK.search(line):
+            line = _MARKUP.sub(" ", line)
+        for end in _ENDS:
+            if end in line:
+                line = line.replace(end, end + "\n")
+        parts = [e for chunk in line.split("\n") if chunk for e in self[chunk]]
+        letters = sum(e.letters for e in parts)
+        if not letters:
+            return []
+        first, several = parts[0], len(parts) > 1
+        others = sum(e.others for e in parts)
+        found = []
+        if letters >= others:
+            found.append((ROOT, TREE, _hash("t", "\n".join(e.text for e in parts)) if several else first.whole, 1.0))
+        if first.label and (letters - first.label_letters >= others if several else first.labels_words):
+            found.append((HEAD, LABEL, first.label, 1.0))
+        elif several and _QUESTION.fullmatch(first.text):
+            found.append((HEAD, LABEL, _hash("b", first.text[:-1]), 1.0))
+        for place, e in enumerate(parts):
+            if not e.letters:
+                continue
+            share = e.letters / letters
+            if several:
+                found.append((place, TREE, e.whole, share))
+                if e.labels_words:
+                    found.append((place, LABEL, e.label, share))
+            if e.bullet:
+                found.append((place if several else HEAD, LABEL, e.bullet, share))
+            for opening in e.openings:
+                found.append((place, OPEN, opening, share))
+        return found
+
+
+def subtrees(line: str) -> list[tuple[int, int, int, float]]:
+    return _Subtrees().of(line)
+
 
 def _places(texts: DataFrame, repair: ChainClassifier) -> DataFrame:
     """(page, host, line_no, nth, n_lines, place, kind, subtree, share, records): a row for each subtree of each
@@ -146,25 +209,33 @@ def _places(texts: DataFrame, repair: ChainClassifier) -> DataFrame:
     of copies on one row of each subtree of a page, 0 on others."""
     shared = texts.sparkSession.sparkContext.broadcast((repair.weights, repair.model))
     names = ["page", "host", "line_no", "nth", "n_lines", "place", "kind", "subtree", "share", "records"]
-    types = (pa.binary(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float32(), pa.int64())
 
     def run(batches):
-        fixer, known = ChainClassifier(*shared.value), _Cache()
+        fixer, known = ChainClassifier(*shared.value), _Subtrees()
         for batch in batches:
-            rows: tuple[list, ...] = tuple([] for _ in names)
-            for page, host, text, copies in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = text.split("\n")
+            lines: tuple[list, ...] = tuple([] for _ in range(5))  # text, line_no, nth, n_lines, subtrees
+            found: list[tuple[int, int, int, float]] = []
+            records: list[int] = []
+            for at, (text, copies) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                split = text.split("\n")
                 if not text.isascii():
                     fixed = fixer.restore(text)[0].split("\n")
-                    lines = fixed if len(fixed) == len(lines) else lines
-                kept = [(no, line) for no, line in enumerate(lines, 1) if line and not line.isspace()]
+                    split = fixed if len(fixed) == len(split) else split
+                kept = [(no, line) for no, line in enumerate(split, 1) if line and not line.isspace()]
                 seen: set[int] = set()
                 for nth, (no, line) in enumerate(kept):
-                    for place, kind, subtree, share in known[line]:
-                        for column, value in zip(rows, (page, host, no, nth, len(kept), place, kind, subtree, share, 0 if subtree in seen else copies)):
-                            column.append(value)
-                        seen.add(subtree)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(rows, types)], names=names)
+                    rows = known.of(line)
+                    for column, value in zip(lines, (at, no, nth, len(kept), len(rows))):
+                        column.append(value)
+                    for row in rows:
+                        records.append(0 if row[2] in seen else copies)
+                        seen.add(row[2])
+                    found += rows
+            text_at, line_no, nth, n_lines, n = (np.array(c, dtype=np.int32) for c in lines)
+            at = pa.array(np.repeat(text_at, n))
+            columns = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(np.repeat(x, n)) for x in (line_no, nth, n_lines))]
+            columns += [pa.array(c, type=t) for c, t in zip(zip(*found) if found else [[]] * 4, (pa.int32(), pa.int32(), pa.int64(), pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(records, type=pa.int64())], names=names)
 
     ddl = "page binary, host string, line_no int, nth int, n_lines int, place int, kind int, subtree bigint, share float, records bigint"
     return texts.select("page", "host", "text", "copies").mapInArrow(run, ddl)
@@ -173,12 +244,11 @@ def _places(texts: DataFrame, repair: ChainClassifier) -> DataFrame:
 def _usual(main_texts: list[DataFrame]) -> DataFrame:
     """(subtree, usual): the largest share of the texts of one of the tables ``main_texts`` (text) that hold a subtree."""
     def run(batches):
-        known = _Cache()
+        known = _Subtrees()
         for batch in batches:
-            counts: dict[int, int] = {}
+            counts: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                for subtree in {x[2] for line in re.split(r"\r\n?|\n", text) for x in known[line]}:
-                    counts[subtree] = counts.get(subtree, 0) + 1
+                counts.update({x[2] for line in _LINE_END.split(text) for x in known.of(line)})
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.int64()), pa.array(list(counts.values()), type=pa.int64())], names=["subtree", "n"])
 
     usual = None

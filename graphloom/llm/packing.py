@@ -168,11 +168,13 @@ def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     slots, _ = plan_containers(histogram, capacity)
     table = np.array(sorted(slots), dtype=np.int64).reshape(-1, 5)
     shared = spark.sparkContext.broadcast(table)
-    large = {s: -(-c // bucket_rows) for s, c in histogram.items() if c > bucket_rows}
-    buckets = F.lit(1)
-    for s, k in large.items():
-        buckets = F.when(F.col("size") == s, k).otherwise(buckets)
-    bucketed = items.withColumn("bucket", F.pmod(F.xxhash64("id", "piece_no"), buckets).cast("int"))
+    large = [(s, -(-c // bucket_rows)) for s, c in histogram.items() if c > bucket_rows]
+    if large:
+        cut = F.broadcast(spark.createDataFrame(large, "size int, buckets int"))  # at most `capacity` rows
+        items = items.join(cut, "size", "left")
+    else:
+        items = items.withColumn("buckets", F.lit(1))
+    bucketed = items.withColumn("bucket", F.pmod(F.xxhash64("id", "piece_no"), F.coalesce("buckets", F.lit(1))).cast("int")).drop("buckets")
     in_bucket = Window.partitionBy("size", "bucket").orderBy("id", "piece_no")
     offsets = bucketed.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("m")).withColumn(
         "offset", F.sum("m").over(Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m")

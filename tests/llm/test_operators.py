@@ -332,6 +332,15 @@ def test_pack_every_item_once(spark):
     assert packing.pack(df.limit(0), 10).count() == 0
 
 
+def test_pack_with_every_size_in_buckets(spark):
+    capacity = 2048
+    df = spark.range(3 * capacity).select(F.col("id").alias("doc_id"), (F.col("id") % capacity + 1).cast("int").alias("n_tokens"))
+    rows = packing.pack(df, capacity, bucket_rows=2).groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("n")).collect()
+    bound = 3 * sum(range(1, capacity + 1)) / capacity
+    assert sum(r.n for r in rows) == 3 * capacity and max(r.used for r in rows) <= capacity
+    assert bound <= len(rows) <= 1.01 * bound
+
+
 # 9. languages
 
 

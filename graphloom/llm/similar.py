@@ -2,14 +2,16 @@
 
 Unit vectors are turned by fast pseudo-rotations (three rounds of random signs and a Hadamard transform) and
 fall into the bucket of their nearest signed axis; every table also takes the second nearest (multiprobe).
-Pairs that share a bucket in any table are candidates, compared exactly by block products. Only pairs of
-one group (model, profile, dimensions) meet.
+Pairs that share a bucket in any table are candidates. Within a bucket they are compared by block products of
+one byte a dimension; the error of each rounded vector is known, so no pair of at least ``least`` is lost by that.
+The best ``SPARE`` * k of each query are compared exactly, in double precision. Only pairs of one group (model, profile, dimensions) meet.
 
-Scale: a bucket above ``bucket_rows`` rows is compared block against block in cells of a grid, so that all
-pairs that share it stay candidates and recall does not depend on the number of rows; a row of it is sent
-once for each block. The driver sees only counts of buckets above the limit, which is at least 1/4000 of
-all rows, so the plan has a bound that does not depend on the data. Exact copies are one representative,
-and are put back with at most k + 1 of them for each neighbour list.
+Scale: each vector is hashed and rounded once and written down; only the rounded form is sent to its buckets,
+the full vectors only for the pairs that are compared exactly. A bucket above ``bucket_rows`` rows is compared block against block in
+cells of a grid, so that all pairs that share it stay candidates, no cell grows with the data and recall does not depend on the number of
+rows; a row of it is sent once for each block. The list of such buckets has at most rows * tables * probes / ``bucket_rows`` entries
+(24 bytes for 1,000 rows with 10 tables and 2 probes). Exact copies are one representative, and are put back with at most k + 1 of them
+for each neighbour list.
 
 Defined cases: null, zero, non-finite vectors and those whose length is not ``dimensions`` are unusable and
 have no list; repeated rows of an id count once; equal similarities are ordered by id; a group with fewer
@@ -23,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.sources.tables import cut_lineage, read_table, spread
+from graphloom.sources.tables import cut_lineage, land, read_table, spread
 
 SEED = 20240229
+#: Candidates of each query, as a multiple of k, that are compared exactly.
+SPARE = 2
 
 
 def usable_vectors(df: DataFrame) -> DataFrame:
@@ -82,97 +86,83 @@ def _unit_rows(batch: pa.RecordBatch) -> dict[str, tuple[np.ndarray, np.ndarray]
     return out
 
 
-def _count_buckets(vectors: DataFrame, tables: int, probes: int, limit: int) -> dict:
-    """{(group, table, bucket): rows} of all buckets above ``limit`` rows."""
+def _coded(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
+    """(id, grp, asked, codes, packed): the buckets of each vector in all tables, the nearest first, and its unit vector
+    rounded to bytes behind the scale and the length of the error."""
     def run(batches):
         for batch in batches:
-            rows: dict[tuple, int] = {}
-            for group, (_, x) in _unit_rows(batch).items():
-                for table in range(tables):
-                    for c, n in zip(*np.unique(nearest_axes(x, table, probes), return_counts=True)):
-                        key = (group, table, int(c))
-                        rows[key] = rows.get(key, 0) + int(n)
-            names = ["grp", "tbl", "code", "n"]
-            columns = [*zip(*((*k, n) for k, n in rows.items()))] or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=names)
-
-    counts = vectors.select("grp", "embedding").mapInArrow(run, "grp string, tbl int, code bigint, n bigint")
-    hot = counts.groupBy("grp", "tbl", "code").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
-    return {(r["grp"], r["tbl"], r["code"]): r["n"] for r in hot.collect()}
+            order, codes, packed = [], [], []
+            for at, x in _unit_rows(batch).values():
+                order.append(at)
+                found = np.concatenate([nearest_axes(x, table, probes) for table in range(tables)], axis=1).astype(np.int32)
+                codes += list(found)
+                scale = np.abs(x).max(axis=1, keepdims=True) / 127
+                rounded = np.rint(x / scale)
+                error = np.linalg.norm(x - rounded * scale, axis=1, keepdims=True)
+                head = np.ascontiguousarray(np.concatenate([scale, error], axis=1).astype(np.float32)).view(np.uint8)
+                packed += [row.tobytes() for row in np.concatenate([head, rounded.astype(np.int8).view(np.uint8)], axis=1)]
+            at = pa.array(np.concatenate(order)) if order else pa.array([], type=pa.int64())
+            columns = [batch.column(n).take(at) for n in ("id", "grp", "asked")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(codes, type=pa.list_(pa.int32())), pa.array(packed, type=pa.binary())], names=["id", "grp", "asked", "codes", "packed"])
+
+    return vectors.select("id", "grp", "asked", "embedding").mapInArrow(run, "id bigint, grp string, asked boolean, codes array<int>, packed binary")
 
 
 def candidate_neighbours(vectors: DataFrame, k: int, tables: int, probes: int, least: float | None, queries=None, bucket_rows: int = 8192, query_probes: int | None = None) -> DataFrame:
-    """(a, b, similarity): for each query a its best candidates b of at least ``least``, k of each bucket it is in.
+    """(a, b, similarity): for each query a its best candidates b of at least ``least``, ``SPARE`` * k of them.
 
     ``vectors`` is (id, grp, embedding); ``queries`` is a condition on ``id``, all rows without it. Queries may
     look into more buckets (``query_probes``) than the rows are stored in (``probes``)."""
-    deepest = max(probes, query_probes or probes)
-    spark = vectors.sparkSession
-    limit = max(bucket_rows, vectors.count() // 4000)
-    hot = _count_buckets(vectors, tables, probes, limit)
-    shared = spark.sparkContext.broadcast((hot, limit))
-
-    def scatter(batches):
-        hot, limit = shared.value
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            asked = np.array(batch.column("asked").to_pylist(), dtype=bool)
-            out: dict[str, list] = {n: [] for n in ("grp", "bucket", "side", "id", "asked", "vector")}
-            for group, (at, x) in _unit_rows(batch).items():
-                packed = [v.tobytes() for v in x]
-                for table in range(tables):
-                    for probe, bucket in enumerate(nearest_axes(x, table, deepest).T):
-                        for row, code in enumerate(bucket.tolist()):
-                            if probe >= probes and not asked[at[row]]:
-                                continue
-                            name = f"{table}.{code}"
-                            n = hot.get((group, table, code), 0)
-                            i = int(ids[at[row]])
-                            blocks = -(-n // limit) if n else 1
-                            mine = (i * 0x9E3779B97F4A7C15 >> 17) % blocks
-                            for other in range(blocks):
-                                low, high = min(mine, other), max(mine, other)
-                                out["grp"].append(group)
-                                out["bucket"].append(name if blocks == 1 else f"{name}:{low}-{high}")
-                                out["side"].append(0 if mine == low else 1)
-                                out["id"].append(i)
-                                out["asked"].append(bool(asked[at[row]]))
-                                out["vector"].append(packed[row])
-            types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in zip(out, types)], names=list(out))
+    deepest, wanted = max(probes, query_probes or probes), SPARE * k
 
     def compare(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        side = table.column("side").to_numpy()
+        side = table.column("side").to_numpy(zero_copy_only=False).astype(bool)
         asked = table.column("asked").to_numpy(zero_copy_only=False).astype(bool)
-        x = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=np.float32).reshape(len(ids), -1)
+        packed = np.frombuffer(b"".join(table.column("packed").to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        scale, error = np.ascontiguousarray(packed[:, :8]).view(np.float32).T
+        x = packed[:, 8:].view(np.int8).astype(np.float32) * scale[:, None]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        grid = bool(side.any())
-        for rows, columns in ((np.flatnonzero(side == 0), np.flatnonzero(side == 1)), (np.flatnonzero(side == 1), np.flatnonzero(side == 0))) if grid else ((np.arange(len(ids)),) * 2,):
-            rows = rows[asked[rows]]
+        sides = ((~side, side), (side, ~side)) if side.any() else ((~side, ~side),)
+        for rows, columns in ((np.flatnonzero(a & asked), np.flatnonzero(b)) for a, b in sides):
             if not len(columns):
                 continue
             for start in range(0, len(rows), 512):
                 block = rows[start : start + 512]
                 s = x[block] @ x[columns].T
                 s[ids[block][:, None] == ids[columns][None, :]] = -2.0
-                if least is not None:
-                    a, b = np.nonzero(s >= least)
-                    if len(a) > k * len(block):
-                        keep = _best(s, k)
-                        good = np.take_along_axis(s, keep, axis=1) >= least
-                        a, b = np.repeat(np.arange(len(block)), keep.shape[1])[good.ravel()], keep[good]
-                else:
-                    keep = _best(s, k)
-                    good = np.take_along_axis(s, keep, axis=1) > -1.5
+                enough = -1.5 if least is None else least - 1e-5
+                good = s + (error[block][:, None] + error[columns][None, :]) >= enough if least is not None else s > enough
+                if good.sum() > wanted * len(block):
+                    keep = _best(s, wanted)
+                    good = np.take_along_axis(good, keep, axis=1)
                     a, b = np.repeat(np.arange(len(block)), keep.shape[1])[good.ravel()], keep[good]
+                else:
+                    a, b = np.nonzero(good)
                 found.append((ids[block[a]], ids[columns[b]], s[a, b]))
         a, b, s = (np.concatenate([f[i] for f in found]) if found else np.zeros(0) for i in range(3))
-        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "similarity": pa.array(s.astype(np.float32))})
-
-    marked = vectors.withColumn("asked", F.lit(True) if queries is None else queries)
-    scattered = marked.select("id", "grp", "asked", "embedding").mapInArrow(scatter, "grp string, bucket string, side int, id bigint, asked boolean, vector binary")
-    return scattered.groupBy("grp", "bucket").applyInArrow(compare, "a bigint, b bigint, similarity float")
+        return pa.table({"a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "near": pa.array(s.astype(np.float32))})
+
+    coded = land(_coded(vectors.withColumn("asked", F.lit(True) if queries is None else queries), tables, deepest), "p3-codes")
+    n_codes = F.size("codes") / tables  # at most `deepest`, fewer where vectors are short
+    entries = coded.select("id", F.xxhash64("grp").alias("grp"), "asked", "packed", n_codes.cast("int").alias("width"), F.posexplode("codes").alias("pos", "code")).where(F.col("asked") | (F.col("pos") % F.col("width") < probes))
+    entries = entries.withColumn("tbl", F.floor(F.col("pos") / F.col("width")).cast("int")).drop("pos", "width")
+    hot = entries.groupBy("grp", "tbl", "code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / bucket_rows).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = (
+        entries.join(F.broadcast(hot), ["grp", "tbl", "code"], "left").withColumn("blocks", blocks)
+        .select("grp", "tbl", "code", "id", "asked", "packed", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("grp", "tbl", "code", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("side"), "id", "asked", "packed")
+    )
+    pairs = cells.groupBy("grp", "tbl", "code", "low", "high").applyInArrow(compare, "a bigint, b bigint, near float")
+    by_query = Window.partitionBy("a").orderBy(F.desc("near"), "b")
+    pairs = pairs.groupBy("a", "b").agg(F.max("near").alias("near")).withColumn("nth", F.row_number().over(by_query)).where(F.col("nth") <= wanted).select("a", "b")
+    one, two = (vectors.select(F.col("id").alias(n), F.col("embedding").cast("array<double>").alias(f"v{n}")) for n in "ab")
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda total, p: total + p)
+    cosine = dot("va", "vb") / (F.sqrt(dot("va", "va")) * F.sqrt(dot("vb", "vb")))
+    exact = pairs.join(one, "a").join(two, "b").select("a", "b", F.least(F.lit(1.0), cosine).alias("similarity"))
+    return exact if least is None else exact.where(F.col("similarity") >= least - 1e-7)  # vectors are stored in single precision
 
 
 def _best(s: np.ndarray, k: int) -> np.ndarray:
@@ -190,13 +180,12 @@ def neighbours(vectors: DataFrame, k: int = 10, tables: int = 6, probes: int = 2
     representatives = cut_lineage(representatives.select(F.col("copy.grp").alias("grp"), "copy", F.col("rep").alias("id"), "copies", "embedding", *(["wanted"] if queries is not None else [])))
     asked = F.col("wanted") if queries is not None else None
     near = candidate_neighbours(spread(representatives), k, tables, probes, least, asked, query_probes=query_probes)
-    near = near.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("rank") <= k).select("a", "b", "similarity")
     several = representatives.where("copies > 1").select("copy", F.col("id").alias("rep"))
     members = firsts.join(several, "copy").select("rep", "id", "nth")  # the first copies only, k + 1 of each
     # who asks: every copy of a representative; who answers: the first copies of a neighbour
     answers = near.join(members.withColumnRenamed("rep", "b"), "b", "left").select("a", F.coalesce("id", "b").alias("b"), "similarity")
-    own = members.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).cast("float").alias("similarity"))
+    own = members.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
     offers = answers.unionByName(own)
     everyone = keyed.join(several, "copy").where(queries if queries is not None else F.lit(True)).select("rep", "id")
     expanded = offers.join(everyone.withColumnRenamed("rep", "a"), "a", "left").select(F.coalesce("id", "a").alias("a"), "b", "similarity").where(F.col("a") != F.col("b"))

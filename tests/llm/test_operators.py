@@ -132,6 +132,14 @@ def test_hot_buckets_keep_all_candidates(spark):
     assert len(lists[0]) == 30 and lists[0] == lists[1]
 
 
+def test_many_nearly_equal_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = (np.ones(16) + 1e-4 * rng.normal(size=(3000, 16))).astype(np.float32)
+    vectors = similar.usable_vectors(_vectors(spark, [(i, "m", "p", 16, [float(v) for v in r]) for i, r in enumerate(x)]))
+    near = similar.candidate_neighbours(vectors, 3, 1, 1, 0.9, bucket_rows=256).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least")).collect()
+    assert len(near) == 3000 and all(r.n == similar.SPARE * 3 and r.least > 0.999 for r in near)
+
+
 # 4. boilerplate
 
 

@@ -176,8 +176,10 @@ def neighbours(vectors: DataFrame, k: int = 10, tables: int = 6, probes: int = 2
     keyed = vectors.withColumn("copy", copy_key)
     by_copy = Window.partitionBy("copy").orderBy("id")
     firsts = keyed.select("copy", "id").withColumn("nth", F.row_number().over(by_copy)).where(F.col("nth") <= k + 1)  # limited before the shuffle
-    representatives = keyed.groupBy("copy").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"), *([F.max(queries).alias("wanted")] if queries is not None else []))
-    representatives = cut_lineage(representatives.select(F.col("copy.grp").alias("grp"), "copy", F.col("rep").alias("id"), "copies", "embedding", *(["wanted"] if queries is not None else [])))
+    # vectors stay where their id is; only hashes are grouped
+    wanted = [F.max(queries).alias("wanted")] if queries is not None else []
+    copies = keyed.groupBy("copy").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), *wanted).drop("copy")
+    representatives = cut_lineage(keyed.join(copies.withColumnRenamed("rep", "id"), "id").withColumn("grp", F.col("copy.grp")))
     asked = F.col("wanted") if queries is not None else None
     near = candidate_neighbours(spread(representatives), k, tables, probes, least, asked, query_probes=query_probes)
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("rank") <= k).select("a", "b", "similarity")

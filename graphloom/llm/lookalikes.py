@@ -6,6 +6,10 @@ ligature, no-break and font variants, and accents) with its look-alike letter, a
 character of each base with its marks. In between, combining marks are ordered by their class. Then the
 strings are rebuilt. Characters that differ visibly (superscripts, fractions, circled digits) stay.
 
+The form is a key for comparison: look-alike letters are Latin in it. ``in_own_letters`` writes it back in the script of
+each word, so Russian and Greek texts come out whole. A starter takes its first three marks along into composition, further marks
+stay behind it in their order, which is the same for every spelling of a cluster.
+
 Only texts that can change at all are exploded: a text made of self-stable characters (each maps to
 itself and none combines) is its own form, which the JVM decides by one lookup for each character. Distinct
 texts are hashed once; the explosion, the joins, the ordering and the rebuilding all keep that
@@ -27,13 +31,16 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.tables import cut_lineage, read_table
 
-# Letters of other scripts with the Latin letter that looks the same.
+# Letters of other scripts with the Latin letter that looks the same: Cyrillic, Greek, Armenian, phonetic, Cherokee, Lisu.
 LOOK_ALIKES = dict(
     zip(
-        "АВЕЅІЈКМНОРСТУХЬаеорсухѕіјһӏԁԛԝՏոսΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳᴄᴏꓐꓓꓔꓖꓙꓚ",
-        "ABESIJKMHOPCTYXbaeopcyxsijhldqwSnuABEZHIKMNOPTYXovcjcoBDTGJC",
+        "АВЕЅІЈКМНОРСТУХҮԌԚԜѴаеорсухѕіјһӏԁԛԝѵ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ" "ՏոսօցՕ" "ᴄᴏɡᴠᴡᴢᴜ" "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏃᏙᏚᏞᏟᏢᏦᏴ" "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ",
+        "ABESIJKMHOPCTYXYGQWVaeopcyxsijhldqwv" "ABEZHIKMNOPTYXovcj" "SnuogO" "cogvwzu" "DRTAJEWMHYGZVSLCPKB" "BPDTGKJCZFMNLSRVHWXYAEIOU",
     )
 )
+# Of the scripts that texts are written in, the letters behind those Latin letters.
+_OWN = {"Cyrillic": ("АВЕЅІЈКМНОРСТУХаеорсухѕіј", "ABESIJKMHOPCTYXaeopcyxsij"), "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧον", "ABEZHIKMNOPTYXov")}
+_RANGES = {"Cyrillic": "\u0400-\u052f", "Greek": "\u0370-\u03ff\u1f00-\u1fff", "Latin": "A-Za-z\u00c0-\u024f\u1e00-\u1eff"}
 _KEPT_TAGS = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>", "<compat> 0020", "<compat> 0028")
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
 _BLANKS = r"[\t\x0B\f\x1C-\x1F   -   　]"
@@ -125,6 +132,39 @@ def one_form(texts: DataFrame) -> DataFrame:
     return clusters.groupBy("key").agg(pieces.alias("pieces")).select("key", _plain_spaces(F.array_join(F.col("pieces")["piece"], "")).alias("form"))
 
 
+@lru_cache(maxsize=None)
+def _own_letters(script: str) -> tuple[str, str]:
+    """(letters of the script, their Latin look-alikes), plain and with marks."""
+    letters, latin = map(list, _OWN[script])
+    for cp in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", chr(cp))
+        alike = unicodedata.normalize("NFC", "".join([LOOK_ALIKES.get(base, base), *marks]))
+        if marks and base in _OWN[script][0] and len(alike) == 1 and alike not in latin:
+            letters.append(chr(cp))
+            latin.append(alike)
+    return "".join(letters), "".join(latin)
+
+
+def in_own_letters(form: Column) -> Column:
+    """The form with its letters in the script of each word: a word with letters that only Cyrillic or Greek has is
+    written in that script; a word of letters that look the same in all follows the script of most other letters of its text.
+    It depends on the form alone, so equal forms stay equal."""
+    shared = "".join(sorted({*_own_letters("Cyrillic")[1], *_own_letters("Greek")[1]}))
+    count = {name: F.length(F.regexp_replace(form, f"[^{span}]|[{shared}]", "")) for name, span in _RANGES.items()}
+    words = F.split(form, r"(?<=[^\p{L}\p{M}])(?=[\p{L}\p{M}])|(?<=[\p{L}\p{M}])(?=[^\p{L}\p{M}])")
+
+    def own(word: Column) -> Column:
+        out = F.lit(None).cast("string")
+        latin_only = word.rlike(f"(?![{shared}])[{_RANGES['Latin']}]")
+        for name, other in (("Greek", "Cyrillic"), ("Cyrillic", "Greek")):
+            letters, latin = _own_letters(name)
+            suits = ~word.rlike(f"[{_RANGES[other]}]") & ~latin_only & (word.rlike(f"[{_RANGES[name]}]") | (word.rlike(f"^[{latin}]+$") & (count[name] > count["Latin"]) & (count[name] >= count[other])))
+            out = F.when(suits, F.translate(word, latin, letters)).otherwise(out)
+        return F.coalesce(out, word)
+
+    return F.when(form.rlike(f"[{_RANGES['Cyrillic']}{_RANGES['Greek']}]"), F.array_join(F.transform(words, own), "")).otherwise(form)
+
+
 def catalog_texts(spark, root: str) -> DataFrame:
     sections, columns = read_table(spark, root, "functional_section"), read_table(spark, root, "physical_column")
     return sections.select(F.lit("functional_section").alias("table_name"), F.col("id").alias("record_id"), "text").unionByName(
@@ -133,10 +173,11 @@ def catalog_texts(spark, root: str) -> DataFrame:
 
 
 def normalized(spark, root: str) -> DataFrame:
-    """Each record with its text in the one form."""
+    """Each record with its text in the one form, in the letters of its own script, and the hash of the form for comparisons."""
     records = catalog_texts(spark, root)
     keys = records.select("table_name", "record_id", text_key(F.col("text")).alias("key")).distinct()
-    return keys.join(one_form(records), "key", "left").select("table_name", "record_id", F.col("form").alias("text"))
+    forms = one_form(records).select("key", in_own_letters(F.col("form")).alias("text"), F.sha2("form", 256).alias("form_hash"))
+    return keys.join(forms, "key", "left").select("table_name", "record_id", "text", "form_hash")
 
 
 def look_alike_pairs(records: DataFrame) -> DataFrame:
@@ -158,5 +199,22 @@ def look_alike_pairs(records: DataFrame) -> DataFrame:
     return both.select("table_name", F.least("one", "record_id").alias("id_a"), F.greatest("one", "record_id").alias("id_b")).distinct()
 
 
+def look_alike_classes(records: DataFrame) -> DataFrame:
+    """(table_name, record_id, class_id, n_strings, n_records): the records whose non-blank text looks like that of another
+    record and differs as a string, one row for each; members of a class of any size, without pairs."""
+    texts = records.where(F.col("text").rlike(r"(?U)\S"))
+    forms = one_form(texts).where(F.col("form").rlike(r"(?U)\S")).select("key", text_key(F.col("form")).alias("form"))
+    members = texts.select("table_name", "record_id", text_key(F.col("text")).alias("key")).distinct()
+    sized = members.groupBy("table_name", "key").agg(F.count(F.lit(1)).alias("n"))
+    strings = cut_lineage(sized.join(forms, "key"))
+    classes = strings.groupBy("table_name", "form").agg(F.count(F.lit(1)).alias("n_strings"), F.sum("n").alias("n_records")).where(F.col("n_strings") > 1)
+    shared = strings.select("table_name", "key", "form").join(classes, ["table_name", "form"])
+    return members.join(shared, ["table_name", "key"]).select("table_name", "record_id", F.lower(F.hex("form")).alias("class_id"), "n_strings", "n_records").distinct()
+
+
+def classes(spark, root: str) -> DataFrame:
+    return look_alike_classes(catalog_texts(spark, root))
+
+
 def found(spark, root: str) -> DataFrame:
     return look_alike_pairs(catalog_texts(spark, root))

@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "p1_found": lookalikes.found,
         "p1_normalized": lookalikes.normalized,
+        "p1_classes": lookalikes.classes,
         "p2_found": splitting.found,
         "p2_pieces": splitting.catalog_pieces,
         "p3_found": similar.found,

@@ -43,6 +43,22 @@ def test_pairs(spark):
     assert lookalikes.look_alike_pairs(spark.createDataFrame([], TEXT)).count() == 0
 
 
+def test_texts_come_out_in_their_own_letters(spark):
+    same = ["Россия и Москва: оса, СССР", "ΑΘΗΝΑ και Νέα Όψη", "copy ATM", "Ёжик — 5 кг", "ACTA", "日本 сорт"]
+    texts = {t: t for t in same} | {"Pоccия и Mосквa: oca, CCСP": same[0], "сорy АТМ": "copy ATM", "АСТА": "ACTA", "АΘΗNA και Nέα Όψη": same[1]}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    keys = {bytes(r.key): r.text for r in df.select("text", lookalikes.text_key(F.col("text")).alias("key")).collect()}
+    got = {keys[bytes(r.key)]: r.text for r in lookalikes.one_form(df).select("key", lookalikes.in_own_letters(F.col("form")).alias("text")).collect()}
+    assert got == texts
+
+
+def test_classes(spark):
+    rows = [("t", "a", "copy"), ("t", "b", "сору"), ("t", "c", "copy"), ("t", "c", "copy"), ("u", "d", "ｃopy"), ("t", "e", "Copy"), ("t", "f", None), ("t", "g", " "), ("u", "h", "alone"), ("u", "i", "alone")]
+    got = lookalikes.look_alike_classes(spark.createDataFrame(rows, TEXT).withColumn("n", F.lit(1))).collect()
+    assert {(r.table_name, r.record_id, r.n_strings, r.n_records) for r in got} == {("t", x, 2, 3) for x in "abc"} and len({r.class_id for r in got}) == 1
+    assert lookalikes.look_alike_classes(spark.createDataFrame([], TEXT)).count() == 0
+
+
 # 2. splitting
 
 

@@ -417,7 +417,7 @@ def children_prefilter(spark, root):
 def _results(spark, root):
     n = catalog_graph.nodes(spark, root).where("node_type IN ('physical_table', 'business_entity', 'rest_resource', 'validated_rule')")
     number = F.length("id") * 37 % 101
-    return n.select(F.element_at("modules", 1).alias("query_id"), "id", "title", (number / 101.0 + F.length("title") / 10.0).alias("score"), (F.length("id") * 53 % 97 / 97.0).alias("semantic"), context.evidence_group(F.col("node_type"), F.col("source_type")).alias("evidence_group"))
+    return n.select(F.element_at("modules", 1).alias("query_id"), "id", "title", "node_type", "source_type", (number / 101.0 + F.length("title") / 10.0).alias("score"), (F.length("id") * 53 % 97 / 97.0).alias("semantic"), context.evidence_group(F.col("node_type"), F.col("source_type")).alias("evidence_group"))
 
 
 @query
@@ -427,10 +427,37 @@ def semantic_rerank(spark, root):
 
 @query
 def context_selection(spark, root):
-    r = context.rerank(_results(spark, root)).withColumn("summary", F.repeat(F.lit("x"), (F.length("id") * 7).cast("int")))
+    found = _results(spark, root)
+    r = context.rerank(found).withColumn("summary", F.repeat(F.lit("x"), (F.length("id") * 7).cast("int"))).join(found.select("query_id", "id", "node_type", "source_type"), ["query_id", "id"])
     return context.select_context(r, 16, 4000)
 
 
+def _semantic(nodes, query: str, dimensions: int = 64):
+    """(id, semantic): cosine of the offline encoder's vectors of node texts and of the query."""
+    encode = vector.hashing_encoder(dimensions)
+    asked = nodes.sparkSession.range(1).select(encode(F.lit(query)).alias("v")).first()["v"]
+    return nodes.select("id", vector.cosine(encode(F.concat_ws("\n", "title", "qualified_name", "search_text")), vector.literal_vector(list(asked))).alias("semantic"))
+
+
+@query
+def context_hybrid(spark, root):
+    """A context of at most 6,000 characters for one query: hybrid search, semantic rerank, summaries, rendering."""
+    asked = "ledger periods of the budget version"
+    n, e = catalog_graph.graph(spark, root)
+    hits = cut_lineage(lexical.hybrid_search(n.withColumn("keywords", T.node_keywords()), e, asked, context.over_fetch(20)))
+    nodes = n.join(hits.select("id"), "id", "left_semi")
+    results = hits.select("id", "title", F.col("total_score").alias("score")).join(nodes.select("id", "node_type", "source_type"), "id").join(_semantic(nodes, asked), "id").withColumn("query_id", F.lit(0))
+    c = context.build_context(results, nodes.select("id", F.col("search_text").alias("text")), asked, 16, 6000)
+    return c.select("query_id", _long("n_items"), _long("characters"), F.array_join("ids", ",").alias("ids"), F.md5("context").alias("h"))
+
+
+@query
+def texts_selected_relevant(spark, root):
+    """Texts of at most 500 characters as they are, longer ones summarized for one query."""
+    out = context.select_relevant(_documents(spark, root), "ledger periods of the budget version")
+    return out.select(F.col("id").alias("doc_id"), _long("n_chars", F.length("summary")), F.md5("summary").alias("h"))
+
+
 @query
 def context_rendering(spark, root):
     """Sections of each guide rendered as one context, in order of their ids."""

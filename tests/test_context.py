@@ -92,3 +92,36 @@ def test_summary_segments_by_relevance_and_redundancy(spark):
     assert rank[1] == 1 and rank[0] != 1 and sorted(rank.values()) == [1, 2, 3, 4]
     kept = C.fit_budget(C.rank_segments(s, "ledger periods of the budget version"), 60).first()["summary"]
     assert kept.startswith(first)
+
+
+def test_shares_against_the_definition():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(1, 8))
+        weights, room, amount = rng.random(n) * 10, rng.integers(0, 50, n), int(rng.integers(0, 200))
+        got = C._fill(weights, room, amount)
+        assert got.sum() == min(amount, room.sum()) and (got >= 0).all() and (got <= room).all()
+        open_ = np.flatnonzero(got < room)
+        levels = got[open_] / np.maximum(weights[open_], 1e-6)
+        full = got[got >= room] / np.maximum(weights[got >= room], 1e-6)
+        if len(open_) and len(full):  # nobody that is full has more for its weight than those still open, but for rounding
+            assert (got[open_] + 1 >= (full.max() * weights[open_]).astype(int) - 1).all() or levels.min() + 2 / weights[open_].min() >= full.max()
+
+
+def test_context_keeps_the_budget(spark):
+    texts = [(f"n{i}", f"The record {i} of the ledger is changed by the owner. " * (1 + i)) for i in range(30)]
+    rows = [(q, f"n{i}", "physical_table" if i % 3 else "validated_rule", "data_dictionary", f"title {i}", float(40 - i), 0.1 * (i % 7)) for q in ("a", "b") for i in range(30)]
+    results = spark.createDataFrame(rows, "query_id string, id string, node_type string, source_type string, title string, score double, semantic double")
+    for most in (150, 900, 4000):
+        got = C.build_context(results, spark.createDataFrame(texts, "id string, text string"), "the ledger", 8, most).collect()
+        assert {r.query_id for r in got} == {"a", "b"}
+        for r in got:
+            assert r.characters == len(r.context) <= most and 1 <= r.n_items <= 8 and len(set(r.ids)) == r.n_items
+    assert C.build_context(results.limit(0), spark.createDataFrame(texts, "id string, text string"), "x").count() == 0
+
+
+def test_relevant_texts(spark):
+    t = spark.createDataFrame([(1, "short text"), (2, "The ledger is closed by the owner. " * 3 + "Another sentence about freight is here. " * 40), (3, None)], "id long, text string")
+    got = {r.id: r.summary for r in C.select_relevant(t, "ledger", 120).collect()}
+    assert got[1] == "short text" and "ledger" in got[2] and len(got[2]) <= 120 and set(got) == {1, 2}
+    assert C.over_fetch(4) == 16 and C.over_fetch(20) == 60

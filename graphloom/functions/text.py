@@ -40,6 +40,10 @@ def normalize_space(column: Column | str) -> Column:
     return F.trim(F.regexp_replace(text_of(column), r"(?U)\s+", " "))
 
 
+# Ligatures and signs of several characters that stand in prose.
+LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆ™№℠½¼¾…Ĳĳŉ"
+
+
 @lru_cache(maxsize=1)
 def _accent_table() -> tuple[str, str, str]:
     """(characters with a single plain form, their plain forms, combining marks), by the Unicode rule."""
@@ -64,13 +68,17 @@ def _strip_accents_udf(values: pd.Series) -> pd.Series:
 
 
 def strip_accents(column: Column | str, exact: bool = False) -> Column:
-    """Accents and compatibility forms removed. ``exact`` also takes apart ligatures and the like, by an
-    Arrow UDF; without it the expression stays in the JVM."""
+    """Accents and compatibility forms removed, ``LIGATURES`` taken apart. ``exact`` takes apart every character of
+    several, by an Arrow UDF; without it the expression stays in the JVM."""
     text = text_of(column)
     if exact:
         return _strip_accents_udf(text)
     source, plain, marks = _accent_table()
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, source + marks, plain)).otherwise(text)
+    apart = text
+    for ligature in LIGATURES:
+        apart = F.replace(apart, F.lit(ligature), F.lit(unicodedata.normalize("NFKD", ligature)))
+    apart = F.when(text.rlike(f"[{LIGATURES}]"), apart).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(apart, source + marks, plain)).otherwise(text)
 
 
 def normalize_text(column: Column | str) -> Column:

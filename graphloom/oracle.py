@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from graphloom.functions.text import STOPWORDS
 from graphloom.operators.catalog import ANALYTICS_MARKERS, AUDIT_COLUMNS, SECURITY_MARKERS
 from graphloom.operators.graph import EDGE_WEIGHTS, NODE_LAYERS
@@ -25,80 +28,36 @@ _REFERENCES = """
 """
 
 
-def _list(values) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
-
-
-def _space(c: str) -> str:
-    return rf"trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g'))"
-
-
-def _normal(c: str) -> str:
-    return _space(f"lower(strip_accents(coalesce({c}, '')))")
+@lru_cache(maxsize=1)
+def _compatible() -> str:
+    """Rows (character, replacement) of all characters that compatibility decomposition changes; NFC of the replaced text is NFKC."""
+    rows = []
+    for cp in range(0x80, 0x30000):
+        ch = chr(cp)
+        if not 0xD800 <= cp < 0xE000 and not 0xAC00 <= cp < 0xD7A4:
+            flat = unicodedata.normalize("NFKD", ch)
+            if flat != unicodedata.normalize("NFD", ch):
+                rows.append(f"({_quoted(ch)}, {_quoted(flat)})")
+    return ", ".join(rows)
 
 
-def _tokens(c: str) -> str:
-    """The search tokens of a text as a list."""
-    spaced = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')"
-    parts = f"string_split(lower({spaced}), ' ')"
-    word = f"list_concat([lower(w)], list_concat(CASE WHEN len({parts}) > 1 THEN {parts} ELSE [] END, CASE WHEN contains(w, '_') THEN list_filter(string_split(lower(w), '_'), lambda p: p <> '') ELSE [] END))"
-    return f"list_filter(flatten(list_transform(regexp_extract_all(strip_accents(coalesce({c}, '')), '[A-Za-z0-9_]+'), lambda w: {word})), lambda t: length(t) > 1 AND t NOT IN ({_list(STOPWORDS)}))"
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-def _case(column: str, values: dict, other: str) -> str:
-    return "CASE " + column + "".join(f" WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
+def _nfkc(name: str, source: str, key: str, text: str) -> str:
+    """Common table expressions ending in ``name`` (key, text): the NFKC of an expression over ``source``; only texts beyond ASCII are taken apart."""
+    return rf"""{name}_in AS (SELECT {key}, {text} AS text FROM {source}), {name}_flat(ch, flat) AS (VALUES {_compatible()}),
+    {name}_pieces AS (SELECT {key}, unnest(regexp_extract_all(text, '(?s).')) AS ch, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS place FROM {name}_in WHERE regexp_matches(text, '[^\x00-\x7F]')),
+    {name}_out AS (SELECT {key}, nfc_normalize(string_agg(coalesce(flat, ch), '' ORDER BY place)) AS text FROM {name}_pieces LEFT JOIN {name}_flat USING (ch) GROUP BY 1),
+    {name} AS (SELECT i.{key}, coalesce(o.text, i.text, '') AS text FROM {name}_in i LEFT JOIN {name}_out o USING ({key}))"""
 
 
-_SLUG = r"coalesce(nullif(regexp_replace(regexp_replace({0}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'item')"
-_SCORE = "CASE lower(trim({0})) WHEN 'very_high' THEN 1.0 WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.7 WHEN 'low' THEN 0.45 WHEN 'unknown' THEN 0.3 ELSE 0.6 END"
-
-
-def _catalog() -> str:
-    """Nodes and edges of the catalog tables as common table expressions."""
-    key = lambda c: f"upper(trim({c}))"
-    w = EDGE_WEIGHTS
-    return f"""
-    nodes AS (
-        SELECT DISTINCT id, 'physical_table' AS node_type, table_name AS title, table_name AS name, NULL::VARCHAR AS qualified_name, table_name AS object_name, concat_ws(' ', table_name, description) AS search_text, module_id, []::VARCHAR[] AS aliases, 0.6 AS conf, 'data_dictionary' AS source_type FROM physical_table
-        UNION ALL SELECT DISTINCT id, 'physical_column', concat_ws('.', table_name, name), name, concat_ws('.', table_name, name), table_name, concat_ws(' ', table_name, name, description), module_id, [], 0.6, 'data_dictionary' FROM physical_column
-        UNION ALL SELECT DISTINCT id, 'rest_resource', title, name, NULL, NULL, concat_ws(' ', title, description), module_id, [], {_SCORE.format('confidence')}, source.source_type FROM rest_resource
-        UNION ALL SELECT DISTINCT id, 'rest_operation', title, NULL, NULL, NULL, concat_ws(' ', title, method, endpoint_path, description), module_id, [], {_SCORE.format('confidence')}, source.source_type FROM rest_operation
-        UNION ALL SELECT DISTINCT 'validated_rule:' || id, 'validated_rule', name, name, NULL, NULL, concat_ws(' ', name, description), module_id, [], {_SCORE.format('confidence')}, 'validated_rule' FROM validated_rules
-        UNION ALL SELECT DISTINCT 'business_entity:' || entity_id, 'business_entity', name, name, NULL, NULL, concat_ws(' ', name, description), module_id, coalesce(aliases, []), 0.6, 'entity_map' FROM entity_aliases
-        UNION ALL SELECT DISTINCT id, 'functional_section', coalesce(title, ''), NULL, NULL, NULL, concat_ws(' ', title, text), module_id, [], {_SCORE.format('confidence')}, source.source_type FROM functional_section WHERE coalesce(node_type, '') <> 'collection_error'
-    ), t AS (SELECT DISTINCT id, table_name FROM physical_table), c AS (SELECT DISTINCT id, table_name, name FROM physical_column),
-    r AS (SELECT DISTINCT id, name, parent_resource FROM rest_resource), o AS (SELECT DISTINCT id, resource_name FROM rest_operation),
-    edges AS (
-        SELECT DISTINCT * FROM (
-        SELECT t.id AS source, c.id AS target, 'contains_column' AS type, {w['contains_column']}::DOUBLE AS weight FROM t JOIN c USING (table_name)
-        UNION ALL SELECT r.id, o.id, 'has_operation', {w['has_operation']}::DOUBLE FROM r JOIN o ON {key('r.name')} = {key('o.resource_name')}
-        UNION ALL SELECT p.id, r.id, 'parent_of', {w['parent_of']}::DOUBLE FROM r JOIN r p ON {key('r.parent_resource')} = {key('p.name')} WHERE p.id <> r.id
-        UNION ALL SELECT 'validated_rule:' || x.id, t.id, 'uses_table', 1.0::DOUBLE FROM (SELECT id, unnest(tables) AS v FROM validated_rules) x JOIN t ON {key('x.v')} = {key('t.table_name')} WHERE trim(x.v) <> ''
-        UNION ALL SELECT 'validated_rule:' || x.id, c.id, 'uses_column', 1.0::DOUBLE FROM (SELECT id, unnest(columns) AS v FROM validated_rules) x JOIN c ON {key('x.v')} = {key("concat_ws('.', c.table_name, c.name)")} WHERE trim(x.v) <> ''
-        UNION ALL SELECT 'business_entity:' || x.entity_id, t.id, 'mapped_to_entity', 1.0::DOUBLE FROM (SELECT entity_id, unnest(tables) AS v FROM entity_aliases) x JOIN t ON {key('x.v')} = {key('t.table_name')} WHERE trim(x.v) <> ''
-        UNION ALL SELECT 'business_entity:' || x.entity_id, r.id, 'mapped_to_entity', 1.0::DOUBLE FROM (SELECT entity_id, unnest(rest_resources) AS v FROM entity_aliases) x JOIN r ON {key('x.v')} = {key('r.name')} WHERE trim(x.v) <> ''
-        UNION ALL SELECT 'business_entity:' || x.entity_id, 'validated_rule:' || v.id, 'mapped_to_entity', 1.0::DOUBLE FROM (SELECT entity_id, unnest(validated_rules) AS v FROM entity_aliases) x JOIN validated_rules v ON {key('x.v')} = {key('v.id')} WHERE trim(x.v) <> ''
-        UNION ALL SELECT x.id, t.id, 'mentions_table', 0.8::DOUBLE FROM (SELECT id, unnest(table_mentions) AS v FROM functional_section WHERE coalesce(node_type, '') <> 'collection_error') x JOIN t ON {key('x.v')} = {key('t.table_name')} WHERE trim(x.v) <> ''
-        )
-    ), ids AS (SELECT DISTINCT id FROM nodes), whole AS (SELECT * FROM edges WHERE source IN (SELECT id FROM ids) AND target IN (SELECT id FROM ids)),
-    near AS (SELECT a, b, max(weight) AS weight FROM (SELECT source AS a, target AS b, weight FROM edges UNION ALL SELECT target, source, weight FROM edges) GROUP BY 1, 2)
-    """
-
-
-_PAIRS = """
-    pairs AS (SELECT DISTINCT string_split(l, '.')[1] AS table_name, string_split(l, '.')[2] AS column_name, string_split(r, '.')[1] AS target_table, string_split(r, '.')[2] AS target_column
-        FROM (SELECT upper(trim(j."left")) AS l, upper(trim(j."right")) AS r FROM (SELECT unnest(joins) AS j FROM validated_rules))
-        WHERE l IS NOT NULL AND r IS NOT NULL AND r <> '' AND len(string_split(l, '.')) = 2 AND len(string_split(r, '.')) = 2)
-"""
-
-
-def _bm25() -> str:
-    return f"""
-    d AS (SELECT doc_id AS id, {_tokens('text')} AS toks FROM documents), stats AS (SELECT greatest(count(*), 1) AS n, greatest(avg(len(toks)), 1.0) AS avgdl FROM d),
-    p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(toks) AS dl, unnest(toks) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-    q AS (SELECT query_id, term, count(*) AS qn FROM (SELECT sample_id AS query_id, unnest({_tokens('text')}) AS term FROM lang_samples) GROUP BY ALL),
-    scored AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * qn * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM q JOIN df USING (term) JOIN p USING (term), stats GROUP BY 1, 2)
-    """
+def _semantic_documents() -> str:
+    """Common table expressions ending in semantic_documents (doc_id, s): the semantic text of each document."""
+    removed = r"[\x{FEFF}\x{200B}\x{200C}\x{200D}\x{2060}]"
+    return rf"""{_nfkc('composed', 'documents', 'doc_id', 'text')},
+    semantic_documents AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '{removed}', '', 'g'), '\s+', ' ', 'g')) AS s FROM composed)"""
 
 
 def _list(values) -> str:
@@ -161,80 +120,44 @@ def _catalog() -> str:
     """
 
 
-_PAIRS = """
-    pairs AS (SELECT DISTINCT string_split(l, '.')[1] AS table_name, string_split(l, '.')[2] AS column_name, string_split(r, '.')[1] AS target_table, string_split(r, '.')[2] AS target_column
-        FROM (SELECT upper(trim(j."left")) AS l, upper(trim(j."right")) AS r FROM (SELECT unnest(joins) AS j FROM validated_rules))
-        WHERE l IS NOT NULL AND r IS NOT NULL AND r <> '' AND len(string_split(l, '.')) = 2 AND len(string_split(r, '.')) = 2)
-"""
-
-
-def _bm25() -> str:
-    return f"""
-    d AS (SELECT doc_id AS id, {_tokens('text')} AS toks FROM documents), stats AS (SELECT greatest(count(*), 1) AS n, greatest(avg(len(toks)), 1.0) AS avgdl FROM d),
-    p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(toks) AS dl, unnest(toks) AS term FROM d) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-    q AS (SELECT query_id, term, count(*) AS qn FROM (SELECT sample_id AS query_id, unnest({_tokens('text')}) AS term FROM lang_samples) GROUP BY ALL),
-    scored AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * qn * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM q JOIN df USING (term) JOIN p USING (term), stats GROUP BY 1, 2)
-    """
-
-
-def _list(values) -> str:
-    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
-
-
-def _space(c: str) -> str:
-    return rf"trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g'))"
-
-
-def _normal(c: str) -> str:
-    return _space(f"lower(strip_accents(coalesce({c}, '')))")
-
-
-def _tokens(c: str) -> str:
-    """The search tokens of a text as a list."""
-    spaced = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')"
-    parts = f"string_split(lower({spaced}), ' ')"
-    word = f"list_concat([lower(w)], list_concat(CASE WHEN len({parts}) > 1 THEN {parts} ELSE [] END, CASE WHEN contains(w, '_') THEN list_filter(string_split(lower(w), '_'), lambda p: p <> '') ELSE [] END))"
-    return f"list_filter(flatten(list_transform(regexp_extract_all(strip_accents(coalesce({c}, '')), '[A-Za-z0-9_]+'), lambda w: {word})), lambda t: length(t) > 1 AND t NOT IN ({_list(STOPWORDS)}))"
-
-
-def _case(column: str, values: dict, other: str) -> str:
-    return "CASE " + column + "".join(f" WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {other} END"
-
-
-_SLUG = r"coalesce(nullif(regexp_replace(regexp_replace({0}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'item')"
-_SCORE = "CASE lower(trim({0})) WHEN 'very_high' THEN 1.0 WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.7 WHEN 'low' THEN 0.45 WHEN 'unknown' THEN 0.3 ELSE 0.6 END"
-
-
-def _catalog() -> str:
-    """Nodes and edges of the catalog tables as common table expressions."""
-    key = lambda c: f"upper(trim({c}))"
-    w = EDGE_WEIGHTS
+def _scored(queries: list[tuple[int, str]]) -> str:
+    """Common table expressions from ``nodes`` to ``keyed``: keyword and title score, penalty and factor of every node for every query."""
+    rows = ", ".join(f"({i}, '{_quoted(x)[1:-1]}')" for i, x in queries)
+    names = f"list_filter(list_transform(list_concat([name, qualified_name], aliases), lambda a: {_normal('a')}), lambda a: a <> '')"
+    boost = _case("node_type", TYPE_BOOSTS, "1.0")
     return f"""
-    nodes AS (
-        SELECT DISTINCT id, 'physical_table' AS node_type, table_name AS title, table_name AS name, NULL::VARCHAR AS qualified_name, table_name AS object_name, concat_ws(' ', table_name, description) AS search_text, module_id, []::VARCHAR[] AS aliases, 0.6 AS conf, 'data_dictionary' AS source_type FROM physical_table
-        UNION ALL SELECT DISTINCT id, 'physical_column', concat_ws('.', table_name, name), name, concat_ws('.', table_name, name), table_name, concat_ws(' ', table_name, name, description), module_id, [], 0.6, 'data_dictionary' FROM physical_column
-        UNION ALL SELECT DISTINCT id, 'rest_resource', title, name, NULL, NULL, concat_ws(' ', title, description), module_id, [], {_SCORE.format('confidence')}, source.source_type FROM rest_resource
-        UNION ALL SELECT DISTINCT id, 'rest_operation', title, NULL, NULL, NULL, concat_ws(' ', title, method, endpoint_path, description), module_id, [], {_SCORE.format('confidence')}, source.source_type FROM rest_operation
-        UNION ALL SELECT DISTINCT 'validated_rule:' || id, 'validated_rule', name, name, NULL, NULL, concat_ws(' ', name, description), module_id, [], {_SCORE.format('confidence')}, 'validated_rule' FROM validated_rules
-        UNION ALL SELECT DISTINCT 'business_entity:' || entity_id, 'business_entity', name, name, NULL, NULL, concat_ws(' ', name, description), module_id, coalesce(aliases, []), 0.6, 'entity_map' FROM entity_aliases
-        UNION ALL SELECT DISTINCT id, 'functional_section', coalesce(title, ''), NULL, NULL, NULL, concat_ws(' ', title, text), module_id, [], {_SCORE.format('confidence')}, source.source_type FROM functional_section WHERE coalesce(node_type, '') <> 'collection_error'
-    ), t AS (SELECT DISTINCT id, table_name FROM physical_table), c AS (SELECT DISTINCT id, table_name, name FROM physical_column),
-    r AS (SELECT DISTINCT id, name, parent_resource FROM rest_resource), o AS (SELECT DISTINCT id, resource_name FROM rest_operation),
-    edges AS (
-        SELECT DISTINCT * FROM (
-        SELECT t.id AS source, c.id AS target, 'contains_column' AS type, {w['contains_column']}::DOUBLE AS weight FROM t JOIN c USING (table_name)
-        UNION ALL SELECT r.id, o.id, 'has_operation', {w['has_operation']}::DOUBLE FROM r JOIN o ON {key('r.name')} = {key('o.resource_name')}
-        UNION ALL SELECT p.id, r.id, 'parent_of', {w['parent_of']}::DOUBLE FROM r JOIN r p ON {key('r.parent_resource')} = {key('p.name')} WHERE p.id <> r.id
-        UNION ALL SELECT 'validated_rule:' || x.id, t.id, 'uses_table', 1.0::DOUBLE FROM (SELECT id, unnest(tables) AS v FROM validated_rules) x JOIN t ON {key('x.v')} = {key('t.table_name')} WHERE trim(x.v) <> ''
-        UNION ALL SELECT 'validated_rule:' || x.id, c.id, 'uses_column', 1.0::DOUBLE FROM (SELECT id, unnest(columns) AS v FROM validated_rules) x JOIN c ON {key('x.v')} = {key("concat_ws('.', c.table_name, c.name)")} WHERE trim(x.v) <> ''
-        UNION ALL SELECT 'business_entity:' || x.entity_id, t.id, 'mapped_to_entity', 1.0::DOUBLE FROM (SELECT entity_id, unnest(tables) AS v FROM entity_aliases) x JOIN t ON {key('x.v')} = {key('t.table_name')} WHERE trim(x.v) <> ''
-        UNION ALL SELECT 'business_entity:' || x.entity_id, r.id, 'mapped_to_entity', 1.0::DOUBLE FROM (SELECT entity_id, unnest(rest_resources) AS v FROM entity_aliases) x JOIN r ON {key('x.v')} = {key('r.name')} WHERE trim(x.v) <> ''
-        UNION ALL SELECT 'business_entity:' || x.entity_id, 'validated_rule:' || v.id, 'mapped_to_entity', 1.0::DOUBLE FROM (SELECT entity_id, unnest(validated_rules) AS v FROM entity_aliases) x JOIN validated_rules v ON {key('x.v')} = {key('v.id')} WHERE trim(x.v) <> ''
-        UNION ALL SELECT x.id, t.id, 'mentions_table', 0.8::DOUBLE FROM (SELECT id, unnest(table_mentions) AS v FROM functional_section WHERE coalesce(node_type, '') <> 'collection_error') x JOIN t ON {key('x.v')} = {key('t.table_name')} WHERE trim(x.v) <> ''
-        )
-    ), ids AS (SELECT DISTINCT id FROM nodes), whole AS (SELECT * FROM edges WHERE source IN (SELECT id FROM ids) AND target IN (SELECT id FROM ids)),
-    near AS (SELECT a, b, max(weight) AS weight FROM (SELECT source AS a, target AS b, weight FROM edges UNION ALL SELECT target, source, weight FROM edges) GROUP BY 1, 2)
-    """
+    qs AS (SELECT query_id, {_normal('text')} AS query, {_tokens('text')} AS qt FROM (VALUES {rows}) AS v(query_id, text)),
+    {_nfkc('searched', 'nodes', 'id', "coalesce(nullif(search_text, ''), title)")},
+    kwc AS (SELECT id, token, count(*) AS n FROM (SELECT id, unnest({_tokens('text')}) AS token FROM searched) GROUP BY ALL),
+    kw AS (SELECT id, list(token) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, token) AS k FROM kwc) WHERE k <= 30 GROUP BY 1),
+    plain AS (SELECT n.*, coalesce(keywords, []) AS keywords, {names} AS names, {_normal('title')} AS nt, {_normal('qualified_name')} AS nq, {_normal('name')} AS nn, list_distinct({_tokens('title')}) AS tt, upper(coalesce(object_name, '')) AS ob FROM nodes n LEFT JOIN kw USING (id)),
+    keyed AS (SELECT *, len(list_intersect(dq, keywords)) + 2.5::DOUBLE * len(list_filter(names, lambda a: contains(query, a))) + 1.2::DOUBLE * len(list_filter(names, lambda a: contains(a, query))) AS keyword,
+        CASE WHEN nt = '' THEN 0.0 WHEN nt = query OR (nq <> '' AND nq = query) OR (nn <> '' AND nn = query) THEN 30.0 WHEN starts_with(nt, query || '.') OR starts_with(nt, query || ' ') THEN 2.5 WHEN contains(nt, query) THEN 2.0 WHEN contains(query, nt) THEN 3.0
+            WHEN len(dq) > 0 THEN 1.5::DOUBLE * len(list_intersect(dq, tt)) / len(dq) ELSE 0.0 END::DOUBLE AS title_score,
+        CASE WHEN node_type NOT IN ('physical_table', 'physical_column') OR (ob <> '' AND contains(query, {_normal('ob')})) OR len(list_intersect(qt, [{_list(AUXILIARY_TERMS)}])) > 0 THEN 1.0 WHEN list_contains(string_split(ob, '_'), 'INTERFACE') OR regexp_matches(ob, '_(INT|GT|TMP|TEMP|STG)$') THEN 0.35
+            WHEN list_contains(string_split(ob, '_'), 'DRAFT') THEN 0.45 WHEN len(list_intersect(string_split(ob, '_'), ['ARCHIVE', 'HISTORY', 'HIST'])) > 0 THEN 0.55 ELSE 1.0 END::DOUBLE AS penalty,
+        greatest(0.35, coalesce(conf, 0.6))::DOUBLE * {boost}::DOUBLE AS factor FROM plain, (SELECT *, list_distinct(qt) AS dq FROM qs))"""
+
+
+def _direct(queries: list[tuple[int, str]]) -> str:
+    """``_scored`` and BM25 over all nodes, ending in direct (query_id, id, direct)."""
+    text = "concat_ws(' ', title, qualified_name, name, search_text, array_to_string(aliases, ' '))"
+    return f"""{_scored(queries)},
+    {_nfkc('wholes', 'nodes', 'id', text)},
+    dt AS (SELECT id, {_tokens('text')} AS toks FROM wholes), st AS (SELECT greatest(count(*), 1) AS n, greatest(avg(len(toks)), 1.0) AS avgdl FROM dt),
+    po AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(toks) AS dl, unnest(toks) AS term FROM dt) GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
+    qn AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, unnest(qt) AS term FROM qs) GROUP BY ALL),
+    bm AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * qn * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm25 FROM qn JOIN dfs USING (term) JOIN po USING (term), st GROUP BY 1, 2),
+    direct AS (SELECT query_id, id, (0.58::DOUBLE * bm25 + 0.27::DOUBLE * keyword + 0.15::DOUBLE * title_score) * factor * penalty AS direct FROM bm JOIN keyed USING (query_id, id) WHERE (0.58::DOUBLE * bm25 + 0.27::DOUBLE * keyword + 0.15::DOUBLE * title_score) * factor * penalty > 0)"""
+
+
+def _hybrid(query: str, limit: int) -> str:
+    near = "near2 AS (SELECT a, b, max(weight) AS weight FROM (SELECT source AS a, target AS b, weight FROM whole UNION ALL SELECT target, source, weight FROM whole) GROUP BY 1, 2)"
+    return f"""WITH {_catalog()}, {_direct([(0, query)])}, {near}, sd AS (SELECT id, direct FROM direct ORDER BY direct DESC, id LIMIT 12),
+        g1 AS (SELECT b AS id, max(direct * 0.68::DOUBLE * weight) AS score FROM sd JOIN near2 ON id = a GROUP BY 1), g2 AS (SELECT b AS id, max(score * 0.68::DOUBLE * weight) AS score FROM g1 JOIN near2 ON id = a GROUP BY 1),
+        gs AS (SELECT id, max(score) AS graph FROM (SELECT * FROM g1 UNION ALL SELECT * FROM g2) GROUP BY 1),
+        tot AS (SELECT k.id, title, nt, query, coalesce(direct, 0.0) AS direct, coalesce(graph, 0.0) AS graph, round(coalesce(direct, 0.0) + 0.42::DOUBLE * coalesce(graph, 0.0) * penalty, 6) AS total FROM keyed k LEFT JOIN direct d ON d.id = k.id LEFT JOIN gs ON gs.id = k.id)
+        SELECT id, title, round(direct, 6) AS direct_score, round(graph, 6) AS graph_score, total AS total_score FROM tot WHERE total > 0 ORDER BY (nt <> query), total DESC, title, id LIMIT {limit}"""
 
 
 _PAIRS = """
@@ -268,10 +191,9 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT query_id, b, 0.85 + seed_score, 'bridge' FROM sd JOIN ends ON a = id WHERE node_type = 'business_entity' AND type IN ('mapped_to_entity', 'uses_table', 'uses_column')
             UNION ALL SELECT query_id, b, 0.90 + seed_score, 'bridge' FROM sd JOIN ends ON a = id WHERE node_type = 'validated_rule' AND type IN ('uses_table', 'uses_column')),
         rt AS (SELECT query_id, node, score, reason FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY score DESC, reason) AS k FROM found) WHERE k = 1)"""
-    documents_old = "(SELECT doc_id AS id, sha256({0}) AS h FROM documents WHERE doc_id % 10 <> 0)"
-    documents_new = "(SELECT doc_id AS id, sha256({0}) AS h FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') || ' changed' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0))"
-    semantic = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x{FEFF}\x{200B}\x{200C}\x{200D}\x{2060}]', '', 'g'), '\s+', ' ', 'g'))"
-    old, new = documents_old.format(semantic), documents_new.format(semantic)
+    semantic = _semantic_documents()
+    states = f"""WITH {semantic}, o AS (SELECT doc_id AS id, sha256(s) AS h FROM semantic_documents WHERE doc_id % 10 <> 0),
+        n AS (SELECT doc_id AS id, sha256(CASE WHEN doc_id % 7 = 0 THEN trim(s || ' changed') ELSE s END) AS h FROM semantic_documents WHERE doc_id % 11 <> 0)"""
     page = _normal("concat_ws(' ', title, text, url)")
     raw = _space("concat_ws(' ', title, text, url)")
     address = f"translate({_normal('url')}, '-_', '  ')"
@@ -296,8 +218,8 @@ def oracle_sql() -> dict[str, str]:
         "text_mentions": r"SELECT id, h, array_to_string(m, ',') AS tables FROM (SELECT DISTINCT id, md5(text) AS h, list_sort(list_distinct(regexp_extract_all(regexp_replace(text, '[^\P{L}\x00-\x7F]', 'x', 'g'), '\b[A-Z][A-Z0-9$#]{1,15}_[A-Z0-9_$#]{2,}\b'))) AS m FROM functional_section WHERE text IS NOT NULL) WHERE len(m) > 0",
         "text_documented_references": r"""SELECT id, upper(regexp_extract(t, p, 1)) AS table_name, upper(regexp_extract(t, p, 2)) AS column_name FROM (SELECT DISTINCT id, 'The value references to ' || j."right" || ' always.' AS t, '(?i)\breferences?(?:\s+to)?\s+([A-Z][A-Z0-9_$#]*_[A-Z0-9_$#]+)\.([A-Z][A-Z0-9_$#]*)\b' AS p FROM (SELECT id, unnest(joins) AS j FROM validated_rules)) WHERE regexp_matches(t, p)""",
         "text_confidence_score": f"SELECT confidence, max({_SCORE.format('confidence')})::DOUBLE AS score, count(*) AS n FROM rest_operation GROUP BY 1",
-        "text_semantic_normalize": f"SELECT doc_id, md5({semantic}) AS h FROM documents",
-        "text_sha256_dedupe": f"SELECT count(*) AS n_segments, count(DISTINCT sha256({semantic})) AS n_unique, count(*) - count(DISTINCT sha256({semantic})) AS n_deduplicated FROM documents",
+        "text_semantic_normalize": f"WITH {semantic} SELECT doc_id, md5(s) AS h FROM semantic_documents",
+        "text_sha256_dedupe": f"WITH {semantic} SELECT count(*) AS n_segments, count(DISTINCT sha256(s)) AS n_unique, count(*) - count(DISTINCT sha256(s)) AS n_deduplicated FROM semantic_documents",
         "text_keywords_top30": f"SELECT sample_id, coalesce(string_agg(token, ' ' ORDER BY n DESC, token), '') AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, token) AS k FROM (SELECT s.sample_id, x.token, count(x.token) AS n FROM lang_samples s LEFT JOIN (SELECT sample_id, unnest({tok('text')}) AS token FROM lang_samples) x USING (sample_id) GROUP BY 1, 2)) WHERE k <= 30 GROUP BY 1",
         "text_truncate_summary": f"SELECT doc_id, md5(CASE WHEN length(s) <= 500 THEN s ELSE rtrim(left(s, 499)) || '…' END) AS h FROM (SELECT doc_id, {_space('text')} AS s FROM documents)",
         "page_classifier": f"""SELECT doc_id, CASE WHEN {said("' ' || n", SECURITY_MARKERS)} OR contains(u, '_JOB') OR contains(u, '_DUTY') OR ends_with(t, ' duty') OR contains(n, 'transaction analysis duty') THEN 'security'
@@ -369,19 +291,53 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(*) AS n_vectors, count(*) FILTER (e IS NULL) AS n_null, count(*) FILTER (e IS NOT NULL AND len(e) <> d) AS n_wrong_size, count(*) FILTER (e IS NOT NULL AND NOT finite) AS n_not_finite, count(*) FILTER (e IS NOT NULL AND finite AND abs(sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])) - 1) > 1e-3) AS n_not_unit FROM f""",
         "federated_seeds": f"WITH {cat}, {entity}, {seeded} SELECT query_id, id, seed_rank, round(seed_score, 6) AS seed_score FROM sd",
         "federated_routes": f"WITH {cat}, {entity}, {seeded}, {routed} SELECT query_id, node, round(score, 6) AS score, reason FROM rt",
-        "corpus_snapshot_diff": f"SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'removed' WHEN o.h = n.h THEN 'reused' ELSE 'changed' END AS status FROM {old} o FULL JOIN {new} n ON o.id = n.id",
-        "corpus_unreferenced_texts": f"SELECT DISTINCT h AS text_hash FROM {old} WHERE h NOT IN (SELECT h FROM {new})",
+        "corpus_snapshot_diff": f"{states} SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'removed' WHEN o.h = n.h THEN 'reused' ELSE 'changed' END AS status FROM o FULL JOIN n ON o.id = n.id",
+        "corpus_unreferenced_texts": f"{states} SELECT DISTINCT h AS text_hash FROM o WHERE h NOT IN (SELECT h FROM n)",
         "corpus_upsert": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1",
         "embedding_pending": "SELECT DISTINCT normalized_text_hash AS text_hash FROM semantic_embeddings WHERE normalized_text_hash NOT IN (SELECT normalized_text_hash FROM semantic_embeddings WHERE model_name = 'kb-encoder-base' AND embedding_profile_version = 'profile-2' AND embedding IS NOT NULL)",
         "embedding_reuse": "SELECT count(*) AS n, min(dimensions)::BIGINT AS least, max(dimensions)::BIGINT AS most, min(dimensions) = max(dimensions) AS consistent FROM semantic_embeddings WHERE model_name = 'kb-encoder-base' AND embedding_profile_version = 'profile-2'",
         "run_latest_by_status": "SELECT signature, run_id, status FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY CASE status WHEN 'running' THEN 1 WHEN 'interrupted' THEN 2 WHEN 'failed' THEN 3 ELSE 4 END, ts DESC, run_id) AS k FROM (SELECT user_id AS signature, event_id AS run_id, ['completed', 'failed', 'interrupted', 'running'][event_id % 4 + 1] AS status, ts FROM events)) WHERE k = 1",
-        "stream_corpus_refresh": f"SELECT DISTINCT sha256({semantic}) AS text_hash FROM documents WHERE {semantic} <> ''",
+        "stream_corpus_refresh": f"WITH {semantic} SELECT DISTINCT sha256(s) AS text_hash FROM semantic_documents WHERE s <> ''",
         "check_duplicates": "WITH d AS (SELECT id FROM physical_column GROUP BY 1 HAVING count(*) > 1) SELECT (SELECT count(*) FROM d) AS n_duplicates, (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM d ORDER BY id LIMIT 10)) AS sample",
         "check_orphans": f"WITH {cat}, n AS (SELECT id FROM nodes WHERE node_type <> 'rest_resource') SELECT DISTINCT source, target, type FROM edges WHERE source NOT IN (SELECT id FROM n) OR target NOT IN (SELECT id FROM n)",
         "check_environment_catalog": """WITH n AS (SELECT lower(trim(name)) AS name FROM rest_resource), w AS (SELECT lower(trim(v)) AS name FROM (SELECT unnest(rest_resources) AS v FROM entity_aliases)), m AS (
             SELECT 'ENVIRONMENT_RESOURCE_DUPLICATES' AS code, (SELECT count(*) FROM (SELECT name FROM n WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS v, 'ERROR' AS bad UNION ALL SELECT 'ENVIRONMENT_MODULE_UNKNOWN_RESOURCES', (SELECT count(*) FROM w WHERE name IS NULL OR name NOT IN (SELECT name FROM n WHERE name IS NOT NULL)), 'ERROR' UNION ALL SELECT 'ENVIRONMENT_MODULES_MISSING', (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM entity_aliases), 'WARNING')
             SELECT CASE WHEN v <> 0 THEN bad ELSE 'OK' END AS status, code, v::VARCHAR AS value FROM m""",
         "check_mojibake": r"SELECT id, count(*) AS n FROM (SELECT DISTINCT id, text FROM functional_section) WHERE regexp_matches(text, '[├┬\x{FFFD}]|Ã[\x{80}-\x{BF}]') GROUP BY 1",
+        "layer_signature": "SELECT g, sha256('[' || string_agg('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}', ',' ORDER BY n_nationkey) || ']') AS signature FROM (SELECT n_regionkey AS g, n_nationkey, n_name FROM nation) GROUP BY 1",
+        "check_vectors": """WITH v AS (SELECT vector_id AS id, any_value(embedding) AS e, any_value(dimensions) AS d FROM semantic_embeddings GROUP BY 1)
+            SELECT CASE WHEN (SELECT count(*) FROM v WHERE e IS NULL OR len(e) <> d) > 0 THEN 'ERROR' ELSE 'OK' END AS status, 'INDEX_SEMANTIC_VECTOR_SHAPE' AS code UNION ALL SELECT 'OK', 'INDEX_SEMANTIC_ROOT_COVERAGE' UNION ALL SELECT 'OK', 'INDEX_SEMANTIC_UNKNOWN_IDS'""",
+        "check_graph": f"""WITH {cat}, m AS (SELECT 'GRAPH_INVALID_NODES' AS code, 'GRAPH_INVALID_NODES' AS fine, (SELECT count(*) FROM nodes WHERE coalesce(id, '') = '' OR node_type IS NULL) AS v, 'ERROR' AS bad
+            UNION ALL SELECT 'GRAPH_DUPLICATE_NODE_IDS', 'GRAPH_UNIQUE_NODE_IDS', (SELECT count(*) FROM (SELECT id FROM nodes GROUP BY 1 HAVING count(*) > 1)), 'ERROR' UNION ALL SELECT 'GRAPH_INVALID_EDGES', 'GRAPH_INVALID_EDGES', (SELECT count(*) FROM whole WHERE source IS NULL OR target IS NULL OR type IS NULL), 'ERROR'
+            UNION ALL SELECT 'GRAPH_ORPHAN_EDGES', 'GRAPH_NO_ORPHAN_EDGES', (SELECT count(*) FROM whole WHERE source NOT IN (SELECT id FROM ids) OR target NOT IN (SELECT id FROM ids)), 'ERROR'
+            UNION ALL SELECT 'GRAPH_FORBIDDEN_EDGES', 'GRAPH_NO_FORBIDDEN_EDGES', (SELECT count(*) FROM whole WHERE type IN ('mentions_entity', 'related_by_alias', 'incoming_foreign_key_from')), 'ERROR'
+            UNION ALL SELECT 'GRAPH_DUPLICATE_EDGES', 'GRAPH_DUPLICATE_EDGES', (SELECT count(*) FROM (SELECT 1 FROM whole GROUP BY source, target, type HAVING count(*) > 1)), 'WARNING'
+            UNION ALL SELECT 'GRAPH_PHYSICAL_STUBS', 'GRAPH_PHYSICAL_STUBS', (SELECT count(*) FROM nodes WHERE node_type = 'physical_table_stub'), 'WARNING' UNION ALL SELECT 'GRAPH_COUNTS', 'GRAPH_COUNTS', 0, 'ERROR')
+            SELECT 'all' AS subject, CASE WHEN v <> 0 THEN bad ELSE 'OK' END AS status, CASE WHEN v <> 0 THEN code ELSE fine END AS code FROM m""",
+        "index_rebuild_decisions": "SELECT * FROM (VALUES ('business', 'skip'), ('physical', 'rebuild'), ('security', 'drop'), ('service', 'rebuild')) AS d(graph_layer, action)",
+        "keyword_scores": f"WITH {cat}, {_scored([(0, 'delivery schedule and the stock count')])} SELECT id, round(keyword, 4)::DOUBLE AS score FROM keyed WHERE node_type = 'business_entity' AND keyword > 0",
+        "direct_scores": f"""WITH {cat}, {_direct([(1, 'rate types'), (2, 'stock count of the site directory')])}
+            SELECT query_id, id, score, rank FROM (SELECT query_id, id, round(direct, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(direct, 5) DESC, id) AS rank FROM direct) WHERE rank <= 50""",
+        "hybrid_search": _hybrid("ledger periods of the budget version", 20),
+        "federated_fallback": """WITH r AS (SELECT DISTINCT id, name FROM rest_resource), x AS (SELECT q, id, round(length(name) / 40.0, 4) AS sim FROM r, (VALUES ('prc'), ('pay'), ('tax')) AS v(q))
+            SELECT q AS query_id, id AS node, round(0.70 + 0.20 * sim, 6)::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC NULLS LAST, id) AS k FROM x) WHERE k <= 3""",
+        "federated_candidates": f"""WITH {cat}, {entity}, {seeded}, {routed}, sim AS (SELECT q AS query_id, id AS child, round(length(title) / 60.0, 4)::DOUBLE AS similarity, title FROM nodes, (VALUES ('prc'), ('pay'), ('tax')) AS v(q) WHERE node_type IN ('physical_column', 'rest_operation')),
+            typed AS (SELECT rt.*, node_type FROM rt JOIN nodes ON nodes.id = rt.node), holds AS (SELECT source AS tbl, target AS col FROM edges WHERE type = 'contains_column'),
+            explicit AS (SELECT DISTINCT query_id, tbl AS node FROM typed JOIN holds ON col = node WHERE node_type = 'physical_column'),
+            tables AS (SELECT query_id, node FROM typed WHERE node_type = 'physical_table'), bare AS (SELECT * FROM tables EXCEPT SELECT * FROM explicit),
+            cols AS (SELECT b.query_id, col, similarity, row_number() OVER (PARTITION BY b.query_id, b.node ORDER BY similarity DESC NULLS LAST, title, col) AS k FROM bare b JOIN holds ON tbl = node LEFT JOIN sim ON sim.query_id = b.query_id AND sim.child = col),
+            reach AS (SELECT * FROM tables UNION SELECT * FROM explicit),
+            ops AS (SELECT t.query_id, t.node, e.target AS op, similarity, title, row_number() OVER (PARTITION BY t.query_id, t.node ORDER BY similarity DESC NULLS LAST, title, e.target) AS k FROM typed t JOIN edges e ON e.source = t.node AND e.type = 'has_operation' LEFT JOIN sim ON sim.query_id = t.query_id AND sim.child = e.target WHERE t.node_type = 'rest_resource'),
+            every AS (SELECT query_id, node, score, reason, CASE WHEN reason = 'seed' THEN 0 ELSE 1 END AS priority FROM rt
+                UNION ALL SELECT query_id, node, 0.95, 'bridge', 2 FROM typed WHERE node_type IN ('physical_table', 'physical_column') UNION ALL SELECT query_id, node, 0.90, 'parent_table', 3 FROM explicit
+                UNION ALL SELECT query_id, col, 0.70 + 0.20 * coalesce(similarity, 0.0), 'semantic_column', 3 FROM cols WHERE k <= 5
+                UNION ALL SELECT DISTINCT query_id, e.target, 0.82, 'foreign_key', 3 FROM reach JOIN edges e ON e.source = node AND e.type = 'foreign_key_to'
+                UNION ALL SELECT query_id, op, 0.65 + 0.20 * coalesce(similarity, 0.0), 'semantic_operation', 3 FROM ops WHERE k <= 3),
+            once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node ORDER BY priority, score DESC, reason) AS k FROM every) WHERE k = 1)
+            SELECT query_id, node, round(score, 6)::DOUBLE AS score, reason, priority::BIGINT AS priority, row_number() OVER (PARTITION BY query_id ORDER BY priority, score DESC, node) AS rank FROM once""",
+        "vector_block_scan": """WITH q AS (SELECT row_number() OVER (ORDER BY label) - 1 AS query_no, v FROM (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY 1)),
+            s AS (SELECT query_no, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM q, embeddings)
+            SELECT query_no, id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY round(score, 6) DESC, id) AS rank FROM s) WHERE rank <= 5""",
         "p5_found": _REFERENCES + "SELECT DISTINCT table_name, record_id, field_name, ref_value FROM judged WHERE status <> 'valid'",
         "p5_report": _REFERENCES + "SELECT table_name, field_name, strftime(judged.at, '%Y-%m') AS month, status, count(*) AS n_refs FROM judged WHERE status <> 'valid' GROUP BY ALL",
     }

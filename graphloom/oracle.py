@@ -92,20 +92,25 @@ def _catalog() -> str:
     """Nodes and edges of the catalog tables as common table expressions."""
     key = lambda c: f"upper(trim({c}))"
     w = EDGE_WEIGHTS
+    live = lambda name: f"(SELECT * FROM (SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) = 1) WHERE deleted_at IS NULL)"
     return f"""
+    live_table AS {live('physical_table')}, live_column AS {live('physical_column')}, live_resource AS {live('rest_resource')},
+    keys AS (SELECT DISTINCT l[1] AS source_table, r[1] AS target_table FROM (SELECT string_split(upper(trim(j."left")), '.') AS l, string_split(upper(trim(j."right")), '.') AS r FROM (SELECT unnest(joins) AS j FROM validated_rules)) WHERE len(l) = 2 AND len(r) = 2),
     nodes AS (
-        SELECT DISTINCT id, 'physical_table' AS node_type, table_name AS title, table_name AS name, NULL::VARCHAR AS qualified_name, table_name AS object_name, concat_ws(' ', table_name, description) AS search_text, module_id, []::VARCHAR[] AS aliases, 0.6 AS conf, 'data_dictionary' AS source_type FROM physical_table
-        UNION ALL SELECT DISTINCT id, 'physical_column', concat_ws('.', table_name, name), name, concat_ws('.', table_name, name), table_name, concat_ws(' ', table_name, name, description), module_id, [], 0.6, 'data_dictionary' FROM physical_column
-        UNION ALL SELECT DISTINCT id, 'rest_resource', title, name, NULL, NULL, concat_ws(' ', title, description), module_id, [], {_SCORE.format('confidence')}, source.source_type FROM rest_resource
+        SELECT DISTINCT 'physical_table:' || target_table AS id, 'physical_table_stub' AS node_type, target_table AS title, target_table AS name, NULL::VARCHAR AS qualified_name, target_table AS object_name, target_table AS search_text, NULL::VARCHAR AS module_id, []::VARCHAR[] AS aliases, 0.3 AS conf, 'data_dictionary' AS source_type FROM keys WHERE target_table NOT IN (SELECT upper(table_name) FROM live_table WHERE table_name IS NOT NULL)
+        UNION ALL SELECT DISTINCT id, 'physical_table' AS node_type, table_name AS title, table_name AS name, NULL::VARCHAR AS qualified_name, table_name AS object_name, concat_ws(' ', table_name, description) AS search_text, module_id, []::VARCHAR[] AS aliases, 0.6 AS conf, 'data_dictionary' AS source_type FROM live_table
+        UNION ALL SELECT DISTINCT id, 'physical_column', concat_ws('.', table_name, name), name, concat_ws('.', table_name, name), table_name, concat_ws(' ', table_name, name, description), module_id, [], 0.6, 'data_dictionary' FROM live_column
+        UNION ALL SELECT DISTINCT id, 'rest_resource', title, name, NULL, NULL, concat_ws(' ', title, description), module_id, [], {_SCORE.format('confidence')}, source.source_type FROM live_resource
         UNION ALL SELECT DISTINCT id, 'rest_operation', title, NULL, NULL, NULL, concat_ws(' ', title, method, endpoint_path, description), module_id, [], {_SCORE.format('confidence')}, source.source_type FROM rest_operation
         UNION ALL SELECT DISTINCT 'validated_rule:' || id, 'validated_rule', name, name, NULL, NULL, concat_ws(' ', name, description), module_id, [], {_SCORE.format('confidence')}, 'validated_rule' FROM validated_rules
         UNION ALL SELECT DISTINCT 'business_entity:' || entity_id, 'business_entity', name, name, NULL, NULL, concat_ws(' ', name, description), module_id, coalesce(aliases, []), 0.6, 'entity_map' FROM entity_aliases
         UNION ALL SELECT DISTINCT id, 'functional_section', coalesce(title, ''), NULL, NULL, NULL, concat_ws(' ', title, text), module_id, [], {_SCORE.format('confidence')}, source.source_type FROM functional_section WHERE coalesce(node_type, '') <> 'collection_error'
-    ), t AS (SELECT DISTINCT id, table_name FROM physical_table), c AS (SELECT DISTINCT id, table_name, name FROM physical_column),
-    r AS (SELECT DISTINCT id, name, parent_resource FROM rest_resource), o AS (SELECT DISTINCT id, resource_name FROM rest_operation),
+    ), t AS (SELECT DISTINCT id, table_name FROM live_table), c AS (SELECT DISTINCT id, table_name, name FROM live_column),
+    r AS (SELECT DISTINCT id, name, parent_resource FROM live_resource), o AS (SELECT DISTINCT id, resource_name FROM rest_operation),
     edges AS (
         SELECT DISTINCT * FROM (
-        SELECT t.id AS source, c.id AS target, 'contains_column' AS type, {w['contains_column']}::DOUBLE AS weight FROM t JOIN c USING (table_name)
+        SELECT 'physical_table:' || source_table AS source, 'physical_table:' || target_table AS target, 'foreign_key_to' AS type, 1.0::DOUBLE AS weight FROM keys
+        UNION ALL SELECT t.id AS source, c.id AS target, 'contains_column' AS type, {w['contains_column']}::DOUBLE AS weight FROM t JOIN c USING (table_name)
         UNION ALL SELECT r.id, o.id, 'has_operation', {w['has_operation']}::DOUBLE FROM r JOIN o ON {key('r.name')} = {key('o.resource_name')}
         UNION ALL SELECT p.id, r.id, 'parent_of', {w['parent_of']}::DOUBLE FROM r JOIN r p ON {key('r.parent_resource')} = {key('p.name')} WHERE p.id <> r.id
         UNION ALL SELECT 'validated_rule:' || x.id, t.id, 'uses_table', 1.0::DOUBLE FROM (SELECT id, unnest(tables) AS v FROM validated_rules) x JOIN t ON {key('x.v')} = {key('t.table_name')} WHERE trim(x.v) <> ''
@@ -265,7 +270,7 @@ def oracle_sql() -> dict[str, str]:
         "alias_contains": f"WITH a AS (SELECT DISTINCT alias_id, trim(regexp_replace({_normal('alias')}, '[^a-z0-9]+', ' ', 'g')) AS alias FROM (SELECT entity_id AS alias_id, unnest(aliases) AS alias FROM entity_aliases)), x AS (SELECT DISTINCT id, trim(regexp_replace({_normal('description')}, '[^a-z0-9]+', ' ', 'g')) AS text FROM validated_rules WHERE description IS NOT NULL) SELECT alias_id, id, count(*) AS n, round(least(0.9, 0.55 + 0.08 * count(*)), 6)::DOUBLE AS weight FROM a JOIN x ON contains(' ' || text || ' ', ' ' || alias || ' ') WHERE length(alias) >= 4 GROUP BY 1, 2",
         "graph_layer_split": f"WITH {cat} SELECT {_case('s.node_type', {k: repr(v) for k, v in NODE_LAYERS.items()}, 'NULL')} AS graph_layer, type, count(*) AS n FROM whole w JOIN nodes s ON s.id = w.source JOIN nodes d ON d.id = w.target WHERE {_case('s.node_type', {k: repr(v) for k, v in NODE_LAYERS.items()}, 'NULL')} = {_case('d.node_type', {k: repr(v) for k, v in NODE_LAYERS.items()}, 'NULL')} GROUP BY 1, 2",
         "graph_master": f"WITH {cat}, core AS (SELECT id FROM nodes WHERE node_type IN ('business_entity', 'business_attribute', 'validated_rule')) SELECT DISTINCT source, target, type FROM whole WHERE type IN ('has_attribute', 'mapped_to_entity', 'mapped_to_attribute', 'uses_table', 'uses_column', 'environment_variant_of') AND (source IN (SELECT id FROM core) OR target IN (SELECT id FROM core))",
-        "graph_stats": f"WITH {cat} SELECT 'node_type' AS kind, node_type AS name, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge_type', type, count(*) FROM whole GROUP BY 2 UNION ALL SELECT 'module', module_id, count(*) FROM nodes GROUP BY 2 UNION ALL SELECT 'layer', {_case('node_type', {k: repr(v) for k, v in NODE_LAYERS.items()}, 'NULL')}, count(*) FROM nodes GROUP BY 2",
+        "graph_stats": f"WITH {cat} SELECT 'node_type' AS kind, node_type AS name, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge_type', type, count(*) FROM whole GROUP BY 2 UNION ALL SELECT 'module', module_id, count(*) FROM nodes WHERE node_type <> 'physical_table_stub' GROUP BY 2 UNION ALL SELECT 'layer', {_case('node_type', {k: repr(v) for k, v in NODE_LAYERS.items()}, 'NULL')}, count(*) FROM nodes GROUP BY 2",
         "graph_adjacency_degree": f"WITH {cat} SELECT from_id, count(*) AS degree, round(sum(weight), 4) AS total FROM (SELECT source AS from_id, weight FROM edges UNION ALL SELECT target, weight FROM edges) GROUP BY 1",
         "graph_expand_1hop": f"WITH {cat}, {seeds}, {hop1} SELECT node, round(score, 6) AS score FROM h1",
         "graph_expand_2hop": f"WITH {cat}, {seeds}, {hop1}, {hop2} SELECT node, round(max(score), 6) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1",
@@ -276,7 +281,7 @@ def oracle_sql() -> dict[str, str]:
         "title_scores": f"""WITH {cat} SELECT id, score FROM (SELECT id, round(CASE WHEN t = '' THEN 0.0 WHEN t = {q1} OR q = {q1} OR n = {q1} THEN 30.0 WHEN starts_with(t, {q1} || '.') OR starts_with(t, {q1} || ' ') THEN 2.5 WHEN contains(t, {q1}) THEN 2.0 WHEN contains({q1}, t) THEN 3.0
             ELSE 1.5 * len(list_intersect(tk, ['ledger', 'periods'])) / 2 END, 6)::DOUBLE AS score FROM (SELECT id, {_normal('title')} AS t, {_normal('qualified_name')} AS q, {_normal('name')} AS n, list_distinct({tok('title')}) AS tk FROM nodes)) WHERE score > 0""",
         "auxiliary_penalties": f"SELECT DISTINCT table_name, CASE WHEN list_contains(p, 'INTERFACE') OR regexp_matches(table_name, '_(INT|GT|TMP|TEMP|STG)$') THEN 0.35 WHEN list_contains(p, 'DRAFT') THEN 0.45 WHEN len(list_intersect(p, ['ARCHIVE', 'HISTORY', 'HIST'])) > 0 THEN 0.55 ELSE 1.0 END::DOUBLE AS penalty FROM (SELECT table_name, string_split(upper(table_name), '_') AS p FROM physical_table)",
-        "evidence_groups": f"WITH {cat} SELECT CASE WHEN node_type = 'validated_rule' THEN 'validated_rules' WHEN node_type = 'physical_column' THEN 'physical_columns' WHEN node_type = 'physical_table' THEN 'physical_tables' WHEN node_type = 'business_entity' THEN 'business_context' WHEN starts_with(node_type, 'rest_') THEN 'service' ELSE 'functional_documentation' END AS evidence_group, count(*) AS n FROM nodes GROUP BY 1",
+        "evidence_groups": f"WITH {cat} SELECT CASE WHEN node_type = 'validated_rule' THEN 'validated_rules' WHEN node_type = 'physical_column' THEN 'physical_columns' WHEN node_type IN ('physical_table', 'physical_table_stub') THEN 'physical_tables' WHEN node_type = 'business_entity' THEN 'business_context' WHEN starts_with(node_type, 'rest_') THEN 'service' ELSE 'functional_documentation' END AS evidence_group, count(*) AS n FROM nodes GROUP BY 1",
         "children_prefilter": f"WITH {cat}, op AS (SELECT DISTINCT id, title, description AS d FROM rest_operation) SELECT source, id, rank FROM (SELECT source, op.id, row_number() OVER (PARTITION BY source ORDER BY (m IS NULL), m DESC NULLS LAST, title, op.id) AS rank FROM (SELECT DISTINCT source, target FROM edges WHERE type = 'has_operation') e JOIN (SELECT *, CASE WHEN contains(lower(d), 'approval history') THEN length(d) END AS m FROM op) op ON op.id = e.target) WHERE rank <= 4",
         "semantic_rerank": f"""WITH {cat}, {results}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, title, id) AS search_rank, max(score) OVER w AS top, min(semantic) OVER w AS lo, max(semantic) OVER w AS hi FROM res WINDOW w AS (PARTITION BY query_id)),
             b AS (SELECT *, round(0.72 * CASE WHEN hi - lo > 1e-6 THEN (semantic - lo) / (hi - lo) ELSE 1.0 END + 0.28 * CASE WHEN top > 0 THEN sqrt(greatest(score, 0.0) / top) ELSE 0.0 END, 6) AS ctx FROM a),
@@ -314,7 +319,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'GRAPH_DUPLICATE_EDGES', 'GRAPH_DUPLICATE_EDGES', (SELECT count(*) FROM (SELECT 1 FROM whole GROUP BY source, target, type HAVING count(*) > 1)), 'WARNING'
             UNION ALL SELECT 'GRAPH_PHYSICAL_STUBS', 'GRAPH_PHYSICAL_STUBS', (SELECT count(*) FROM nodes WHERE node_type = 'physical_table_stub'), 'WARNING' UNION ALL SELECT 'GRAPH_COUNTS', 'GRAPH_COUNTS', 0, 'ERROR')
             SELECT 'all' AS subject, CASE WHEN v <> 0 THEN bad ELSE 'OK' END AS status, CASE WHEN v <> 0 THEN code ELSE fine END AS code FROM m""",
-        "index_rebuild_decisions": "SELECT * FROM (VALUES ('business', 'skip'), ('physical', 'rebuild'), ('security', 'drop'), ('service', 'rebuild')) AS d(graph_layer, action)",
+        "index_rebuild_decisions": f"WITH {cat} SELECT DISTINCT graph_layer, CASE WHEN graph_layer = 'business' THEN 'skip' ELSE 'rebuild' END AS action FROM (SELECT {_case('node_type', {k: repr(v) for k, v in NODE_LAYERS.items()}, 'NULL')} AS graph_layer FROM nodes) UNION ALL SELECT 'security', 'drop'",
         "keyword_scores": f"WITH {cat}, {_scored([(0, 'delivery schedule and the stock count')])} SELECT id, round(keyword, 4)::DOUBLE AS score FROM keyed WHERE node_type = 'business_entity' AND keyword > 0",
         "direct_scores": f"""WITH {cat}, {_direct([(1, 'rate types'), (2, 'stock count of the site directory')])}
             SELECT query_id, id, score, rank FROM (SELECT query_id, id, round(direct, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(direct, 5) DESC, id) AS rank FROM direct) WHERE rank <= 50""",

@@ -229,3 +229,19 @@ def safe_filename(column: Column) -> Column:
 
 def header_name(column: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(column)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC as an ISO string of seconds."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def json_hash(*columns: Column) -> Column:
+    """SHA-256 of a row as JSON, its keys in order of name."""
+    named = sorted(columns, key=lambda c: c._jc.toString())
+    return F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}), 256)
+
+
+def file_hash(content: Column) -> Column:
+    """SHA-256 of the content of a file, as ``binaryFile`` reads it."""
+    return F.sha2(content, 256)

@@ -56,8 +56,9 @@ def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
 def duplicate_sample(df: DataFrame, key: str, size: int = 10) -> DataFrame:
     """One row: how many keys repeat, and the first of them in order."""
     twice = repeated(df, [key])
-    first = twice.select(key).orderBy(key).limit(size).agg(F.array_sort(F.collect_list(key)).alias("sample"))
-    return twice.agg(F.count(F.lit(1)).alias("n_duplicates")).join(first)
+    first = twice.orderBy(key).limit(size).select(F.lit(0).cast("bigint").alias("n"), F.col(key).cast("string").alias("key"))
+    counted = twice.groupBy().agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(None).cast("string").alias("key"))
+    return counted.unionByName(first).agg(F.sum("n").alias("n_duplicates"), F.array_sort(F.collect_list("key")).alias("sample"))
 
 
 def validate_graph(nodes: DataFrame, edges: DataFrame, layer: str, expected_nodes: int | None = None, expected_edges: int | None = None) -> DataFrame:
@@ -179,3 +180,24 @@ def _installed(name: str) -> bool:
     except importlib.metadata.PackageNotFoundError:
         return False
     return True
+
+
+def validate_module(spark: SparkSession, module: dict, folder: str) -> DataFrame:
+    """The definition of a module: required fields, a configured source, the files it names."""
+    v, name = "module", str(module.get("id") or folder)
+    filled = lambda x: any(filled(y) for y in (x.values() if isinstance(x, dict) else x)) if isinstance(x, (dict, list, tuple)) else bool(str(x or "").strip())
+    parts = [row(spark, v, name, OK if filled(module.get(f)) else ERROR, f"MODULE_{f.upper()}", f"{f} is {'given' if filled(module.get(f)) else 'missing'}") for f in ("id", "name")]
+    sources = filled(module.get("sources"))
+    parts.append(row(spark, v, name, OK if sources else WARNING, "MODULE_SOURCES", "configured" if sources else "no source configured"))
+    files = {f: True for f in module.get("files") or []}
+    return union([*parts, validate_files(spark, folder, files, "MODULE_FILE")] if files else parts)
+
+
+def validate_bundle(nodes: DataFrame, edges: DataFrame, layers: list[str]) -> DataFrame:
+    """The checks of every layer (``graph_layer`` of nodes and edges), codes with the layer as prefix, and layers nobody expects."""
+    parts = []
+    for layer in layers:
+        checked = validate_graph(nodes.where(F.col("graph_layer") == layer), edges.where(F.col("graph_layer") == layer), layer)
+        parts.append(checked.withColumn("code", F.concat(F.lit(f"{layer.upper()}_"), "code")))
+    parts.append(check(nodes, "bundle", "layers", F.count_if(F.col("graph_layer").isNull() | ~F.col("graph_layer").isin(*layers)), "nodes_of_unknown_layers", "BUNDLE_UNKNOWN_LAYERS"))
+    return union(parts)

@@ -90,3 +90,48 @@ def signature(files: DataFrame, group: list[str]) -> DataFrame:
 def dedup_counters(docs: DataFrame, text: Column) -> DataFrame:
     """One row: segments, distinct texts and how many repetitions they save."""
     return docs.agg(F.count(F.lit(1)).alias("n_segments"), F.count_distinct(text_hash(text)).alias("n_unique")).withColumn("n_deduplicated", F.col("n_segments") - F.col("n_unique"))
+
+
+def reuse_by_content(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with their stored vector, rows that must be computed): vectors are taken over where layer, node and content hash, or
+    whatever ``keys`` name, are the same. A key that is stored several times gives its vector once."""
+    once = stored.where(F.col("embedding").isNotNull()).groupBy(*keys).agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding"))
+    return wanted.join(once, keys), wanted.join(once.select(*keys), keys, "left_anti")
+
+
+def eligible_counts(nodes: DataFrame, types: dict[str, list[str]]) -> DataFrame:
+    """(graph_layer, node_type, n, n_without_text) of the nodes that are embedded."""
+    return eligible_nodes(nodes, types).groupBy("graph_layer", "node_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.trim("search_text"), F.lit("")) == "").alias("n_without_text")
+    )
+
+
+def next_chunk(texts: DataFrame, after: str, size: int, key: str = "text_hash") -> DataFrame:
+    """The next ``size`` texts behind a key, in its order: resumable work in deterministic chunks."""
+    return texts.where(F.col(key) > after).orderBy(key).limit(size)
+
+
+# States of a run and what may follow each.
+RUN_STATES = {"running": ("running", "interrupted", "failed", "completed"), "interrupted": ("running", "failed"), "failed": ("running",), "completed": ()}
+
+
+def run_states(log: DataFrame) -> DataFrame:
+    """(run_id, status, n_steps, n_invalid, updated_at): the state of each run after its log (run_id, seq, status, at) of bounded length.
+
+    The log is append-only; a step that may not follow the state before is counted and ignored."""
+    allowed = F.create_map(*[x for state, after in RUN_STATES.items() for x in (F.lit(state), F.array(*[F.lit(a) for a in after]).cast("array<string>"))])
+    steps = F.array_sort(F.collect_list(F.struct("seq", "status", "at")))
+    start = F.struct(F.lit(None).cast("string").alias("status"), F.lit(0).cast("bigint").alias("n_invalid"), F.lit(None).cast("timestamp").alias("updated_at"))
+
+    def follow(state: Column, step: Column) -> Column:
+        valid = F.when(state["status"].isNull(), step["status"] == "running").otherwise(F.coalesce(F.array_contains(F.element_at(allowed, state["status"]), step["status"]), F.lit(False)))
+        moved = F.struct(step["status"].alias("status"), state["n_invalid"].alias("n_invalid"), step["at"].cast("timestamp").alias("updated_at"))
+        return F.when(valid, moved).otherwise(F.struct(state["status"].alias("status"), (state["n_invalid"] + 1).alias("n_invalid"), state["updated_at"].alias("updated_at")))
+
+    folded = log.groupBy("run_id").agg(steps.alias("steps")).withColumn("s", F.aggregate("steps", start, follow))
+    return folded.select("run_id", "s.status", F.size("steps").cast("bigint").alias("n_steps"), "s.n_invalid", "s.updated_at")
+
+
+def collection_stats(rows: DataFrame, kind: Column) -> DataFrame:
+    """(kind, n, n_errors) of collected rows; errors are rows of type ``collection_error``."""
+    return rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("node_type") == "collection_error").alias("n_errors"))

@@ -99,3 +99,13 @@ def merge_candidates(parts: list[DataFrame]) -> DataFrame:
     best = Window.partitionBy("query_id", "node").orderBy("priority", F.desc("score"), "reason")
     once = every.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") == 1).drop("_rank")
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("priority", F.desc("score"), "node")))
+
+
+def expand_analytics(routed: DataFrame, edges: DataFrame, similarity: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, node, score, reason) in the analytics layer: routed subject areas, and of each its most similar questions.
+
+    Questions point to their subject by ``answered_by``; ``similarity`` (query_id, node, similarity, title)."""
+    subjects = routed.join(nodes.where(F.col("node_type") == "subject_area").select(F.col("id").alias("node")), "node", "left_semi").select("query_id", "node").distinct()
+    direct = subjects.select("query_id", "node", F.lit(0.95).alias("score"), F.lit("bridge").alias("reason"))
+    asked = edges.where(F.col("type") == "answered_by").select(F.col("target").alias("source"), F.col("source").alias("target"), "type")
+    return direct.unionByName(expand_children(subjects, asked, similarity, "answered_by", QUESTIONS_EACH, 0.65, "semantic_question"))

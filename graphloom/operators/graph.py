@@ -192,3 +192,46 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         count(nodes.select(F.explode("modules").alias("m")), "module", F.col("m")), count(nodes, "layer", node_layer(F.col("node_type"))).where("name IS NOT NULL"),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def nodes_by_id(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of the asked ids (id)."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def linked_nodes(nodes: DataFrame, edges: DataFrame, ids: DataFrame, edge_type: str, parents: bool = False) -> DataFrame:
+    """(origin, node columns): what edges of one type lead to from ``ids`` (id), children or parents."""
+    here, there = ("target", "source") if parents else ("source", "target")
+    step = edges.where(F.col("type") == edge_type).select(F.col(here).alias("origin"), F.col(there).alias("id"))
+    return step.join(ids.select(F.col("id").alias("origin")).distinct(), "origin", "left_semi").join(nodes, "id")
+
+
+def project_modules(resources: DataFrame, projection: DataFrame) -> DataFrame:
+    """``resources`` (id, name, modules) with the modules that ``projection`` (name, module_id) gives to their name, beside their own."""
+    given = projection.where(F.col("module_id").isNotNull()).groupBy(F.lower(F.trim("name")).alias("key")).agg(F.array_sort(F.collect_set("module_id")).alias("given"))
+    own = F.coalesce("modules", F.array().cast("array<string>"))
+    joined = resources.withColumn("key", F.lower(F.trim("name"))).join(given, "key", "left")
+    return joined.withColumn("modules", F.array_sort(F.array_distinct(F.concat(own, F.coalesce("given", F.array().cast("array<string>")))))).drop("key", "given")
+
+
+def variant_edges(documented: DataFrame, environment: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, environment nodes with inherited modules): documented resources (id, name, modules) and those of an environment (id, name)
+    of the same normalized name."""
+    key = normalize_text("name").alias("key")
+    named = documented.select(F.col("id").alias("source"), "modules", key).where(F.col("key") != "")
+    found = environment.select("id", "name", key).join(named, "key", "left")
+    edges = found.where(F.col("source").isNotNull()).select("source", F.col("id").alias("target"), F.lit("environment_variant_of").alias("type"), edge_weight(F.lit("environment_variant_of")).alias("weight")).distinct()
+    modules = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("modules", F.array().cast("array<string>"))))))
+    return edges, found.groupBy("id", "name").agg(modules.alias("modules"))
+
+
+def answered_edges(questions: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Edges from questions (id, subject) to the subject areas (id, name) that answer them, by normalized name."""
+    asked = questions.select(F.col("id").alias("source"), normalize_text("subject").alias("key")).where(F.col("key") != "")
+    named = subjects.select(F.col("id").alias("target"), normalize_text("name").alias("key")).where(F.col("key") != "")
+    return asked.join(named, "key").select("source", "target", F.lit("answered_by").alias("type"), edge_weight(F.lit("answered_by")).alias("weight")).distinct()
+
+
+def without_legacy(edges: DataFrame) -> DataFrame:
+    """Edges without the types that earlier graphs held."""
+    return edges.where(~F.col("type").isin(*EXCLUDED_EDGES))

@@ -50,7 +50,7 @@ def build_index(nodes: DataFrame, edges: DataFrame, path: str, model: str = "non
         changed = nodes.where(keep)
         posted = postings(changed.select("id", "title", "search_text"), text).join(changed.select("id", "graph_layer"), "id")
         for name, df in (("nodes", changed), ("edges", edges.where(keep)), ("postings", posted)):
-            df.repartition("graph_layer").sortWithinPartitions(*[c for c in ("term", "id", "source") if c in df.columns][:1]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_layer").parquet(f"{path}/{name}")
+            df.repartition(F.col("graph_layer"), F.col(next(c for c in ("term", "id", "source") if c in df.columns))).sortWithinPartitions("graph_layer", next(c for c in ("term", "id", "source") if c in df.columns)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_layer").parquet(f"{path}/{name}")
     rows = [{**r.asDict(), "schema_version": SCHEMA_VERSION, "model": model} for r in current.collect()]
     _write_json(spark, f"{path}/manifest.json", rows)
     return decisions
@@ -83,3 +83,19 @@ def stale_layers(nodes: DataFrame, edges: DataFrame, path: str, model: str = "no
 def indexed_layer(spark: SparkSession, path: str, name: str, layers: list[str]) -> DataFrame:
     """An index table with only the partitions of the asked layers."""
     return spark.read.parquet(os.path.join(path, name)).where(F.col("graph_layer").isin(*layers))
+
+
+def refresh_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """(table, graph_layer, n_files, bytes): statistics of the files of an index as they lie, written beside the manifest;
+    no content is read or rebuilt."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    stats = files.select(F.regexp_extract("path", r"/([^/]+)/graph_layer=", 1).alias("table"), F.regexp_extract("path", r"graph_layer=([^/]+)/", 1).alias("graph_layer"), "length")
+    rows = stats.groupBy("table", "graph_layer").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("bytes"))
+    _write_json(spark, f"{path}/metadata.json", [r.asDict() for r in rows.orderBy("table", "graph_layer").collect()])  # tables times layers
+    return rows
+
+
+def write_vectors(vectors: DataFrame, nodes: DataFrame, path: str) -> None:
+    """Vectors (id, segment_index, embedding) of indexed nodes, partitioned by layer, roots (segment 0) and segments in one table."""
+    placed = vectors.join(nodes.select("id", "graph_layer"), "id")
+    placed.withColumn("kind", F.when(F.col("segment_index") == 0, "root").otherwise("segment")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_layer").parquet(f"{path}/vectors")

@@ -187,3 +187,13 @@ def alias_contains_join(aliases: DataFrame, texts: DataFrame, least: int = 4) ->
     rarest = alias_words.join(frequency, "word", "left").groupBy("alias_id", "alias").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
     pairs = rarest.join(needed, "word").join(t, "id").where(F.contains(F.concat(F.lit(" "), "text", F.lit(" ")), F.concat(F.lit(" "), "alias", F.lit(" "))))
     return pairs.groupBy("alias_id", "id").agg(F.count(F.lit(1)).alias("n")).withColumn("weight", F.least(F.lit(0.9), 0.55 + 0.08 * F.col("n")))
+
+
+def module_bridge(nodes: DataFrame) -> DataFrame:
+    """(module_id, id): one row for each module of each node, for filters by semi-join."""
+    return nodes.select(F.explode("modules").alias("module_id"), "id").where(F.col("module_id").isNotNull()).distinct()
+
+
+def in_modules(nodes: DataFrame, bridge: DataFrame, modules: list[str]) -> DataFrame:
+    """Nodes of any of the modules, by the bridge table."""
+    return nodes.join(bridge.where(F.col("module_id").isin(*modules)).select("id").distinct(), "id", "left_semi")

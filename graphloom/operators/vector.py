@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -103,3 +104,44 @@ def _hashed(text: str, dimensions: int) -> list[float]:
         v[h % dimensions] += 1.0 if h >> 63 else -1.0
     n = np.linalg.norm(v)
     return (v / n if n else v).astype(np.float32).tolist()
+
+
+@dataclass(frozen=True)
+class ModelProfile:
+    """How texts are given to an encoder, and the shape of its vectors."""
+
+    name: str
+    dimensions: int
+    query_format: str = "{text}"
+    passage_format: str = "{text}"
+
+    def _format(self, pattern: str, text: Column) -> Column:
+        before, _, after = pattern.partition("{text}")
+        return F.concat(F.lit(before), F.coalesce(text, F.lit("")), F.lit(after))
+
+    def as_query(self, text: Column) -> Column:
+        return self._format(self.query_format, text)
+
+    def as_passage(self, text: Column) -> Column:
+        return self._format(self.passage_format, text)
+
+    def usable(self, v: Column) -> Column:
+        """Whether a vector has the shape of the profile and only finite numbers."""
+        return F.coalesce((F.size(v) == self.dimensions) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
+# Sizes and prefixes of the two profiles.
+PROFILES = {
+    "base": ModelProfile("base", 768, "query: {text}", "passage: {text}"),
+    "large": ModelProfile("large", 1024, "Instruct: Given a search query, retrieve relevant passages that answer the query\nQuery: {text}"),
+}
+
+
+def joined_vectors(vectors: DataFrame, nodes: DataFrame, layers: list[str] | None = None, node_types: list[str] | None = None, modules: list[str] | None = None) -> DataFrame:
+    """Vectors (id, embedding) of the nodes that the filters keep, with what ranking needs of the node."""
+    keep = nodes
+    for column, values in (("graph_layer", layers), ("node_type", node_types)):
+        keep = keep.where(F.col(column).isin(*values)) if values else keep
+    if modules:
+        keep = keep.where(F.coalesce(F.arrays_overlap("modules", F.array(*[F.lit(m) for m in modules])), F.lit(False)))
+    return vectors.select("id", "embedding").join(keep.select("id", "node_type", "title"), "id")

@@ -6,6 +6,7 @@ import unicodedata
 from functools import lru_cache
 
 from graphloom.functions.text import STOPWORDS
+from graphloom.operators.documents import SEARCH_FIELDS
 from graphloom.operators.catalog import ANALYTICS_MARKERS, AUDIT_COLUMNS, SECURITY_MARKERS
 from graphloom.operators.graph import EDGE_WEIGHTS, NODE_LAYERS
 from graphloom.operators.lexical import AUXILIARY_TERMS, TYPE_BOOSTS
@@ -65,7 +66,8 @@ def _list(values) -> str:
 
 
 def _space(c: str) -> str:
-    return rf"trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g'))"
+    blank = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+    return f"trim(regexp_replace(coalesce({c}, ''), '{blank}', ' ', 'g'))"
 
 
 def _normal(c: str) -> str:
@@ -172,6 +174,12 @@ _PAIRS = """
 """
 
 
+def _distinct_text(fields: list[str], separator: str = "' '") -> str:
+    """Non-blank fields in order, each text once, joined."""
+    values = f"list_filter([{', '.join(fields)}], lambda v: v IS NOT NULL AND trim(v) <> '')"
+    return f"array_to_string(list_filter({values}, lambda v, i: list_position({values}, v) = i), {separator})"
+
+
 def _bm25() -> str:
     return f"""
     d AS (SELECT doc_id AS id, {_tokens('text')} AS toks FROM documents), stats AS (SELECT greatest(count(*), 1) AS n, greatest(avg(len(toks)), 1.0) AS avgdl FROM d),
@@ -343,6 +351,49 @@ def oracle_sql() -> dict[str, str]:
         "vector_block_scan": """WITH q AS (SELECT row_number() OVER (ORDER BY label) - 1 AS query_no, v FROM (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY 1)),
             s AS (SELECT query_no, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]) AS score FROM q, embeddings)
             SELECT query_no, id, round(score, 4) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_no ORDER BY round(score, 6) DESC, id) AS rank FROM s) WHERE rank <= 5""",
+        "node_search_texts": " UNION ALL ".join(
+            f"SELECT DISTINCT '{t}' AS node_type, {key} AS id, md5({_space(_distinct_text(list(SEARCH_FIELDS[t])))}) AS h FROM {table}" + (" WHERE coalesce(node_type, '') <> 'collection_error'" if t == "functional_section" else "")
+            for table, t, key in (("rest_resource", "rest_resource", "id"), ("rest_operation", "rest_operation", "id"), ("validated_rules", "validated_rule", "id"), ("entity_aliases", "business_entity", "entity_id"), ("functional_section", "functional_section", "id"))
+        ),
+        "node_semantic_texts": f"WITH {cat} SELECT id, md5({_distinct_text(['title', 'qualified_name', 'search_text'], 'chr(10)')}) AS h FROM nodes",
+        "operation_texts": "SELECT DISTINCT id, md5(concat_ws(chr(10), nullif(title, ''), nullif(concat_ws(' ', method, endpoint_path), ''), nullif(left(description, 1200), ''))) AS h FROM rest_operation",
+        "summary_sources": f"SELECT DISTINCT id, md5({_distinct_text(['text', 'search_text', 'title'], 'chr(10)')}) AS h FROM functional_section",
+        "table_evidence": f"""WITH {cat}, f AS (SELECT source AS id, array_to_string(list_sort(list(DISTINCT target))[1:6], ',') AS targets FROM edges WHERE type = 'foreign_key_to' GROUP BY 1)
+            SELECT l.id, array_to_string(primary_key, ',') AS primary_key, CASE WHEN len(coalesce(primary_key, [])) > 0 THEN 'One row for each combination of ' || array_to_string(primary_key, ', ') || '.' END AS grain, coalesce(targets, '') AS targets FROM live_table l LEFT JOIN f ON f.id = l.id""",
+        "profile_texts": "SELECT sample_id, 'base' AS profile, md5('query: ' || coalesce(text, '')) AS as_query, md5('passage: ' || coalesce(text, '')) AS as_passage FROM lang_samples UNION ALL SELECT sample_id, 'large', md5('Instruct: Given a search query, retrieve relevant passages that answer the query' || chr(10) || 'Query: ' || coalesce(text, '')), md5(coalesce(text, '')) FROM lang_samples",
+        "canonical_json_hash": """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS h FROM nation""",
+        "configured_sources": "SELECT module_id, bool_or(len(list_filter(list_concat(coalesce(tables, []), coalesce(rest_resources, [])), lambda v: v IS NOT NULL AND trim(v) <> '')) > 0) AS configured FROM entity_aliases GROUP BY 1",
+        "nodes_of_modules": f"WITH {cat} SELECT id, node_type FROM nodes WHERE module_id IN ('prc', 'tax')",
+        "nodes_fetched": f"WITH {cat}, {seeds} SELECT id, node_type, title FROM nodes WHERE id IN (SELECT id FROM seeds)",
+        "resource_children": f"WITH {cat}, rr AS (SELECT id FROM nodes WHERE node_type = 'rest_resource') SELECT source AS origin, target AS id, 'child' AS kind FROM whole WHERE type = 'has_operation' AND source IN (SELECT id FROM rr) UNION ALL SELECT target, source, 'parent' FROM whole WHERE type = 'parent_of' AND target IN (SELECT id FROM rr)",
+        "module_projection": f"""WITH {cat}, g AS (SELECT lower(trim(v)) AS k, list(DISTINCT module_id) FILTER (module_id IS NOT NULL) AS given FROM (SELECT unnest(rest_resources) AS v, module_id FROM entity_aliases) WHERE trim(v) <> '' GROUP BY 1)
+            SELECT id, array_to_string(list_sort(list_distinct(list_concat(CASE WHEN module_id IS NULL THEN [] ELSE [module_id] END, coalesce(given, [])))), ',') AS modules FROM live_resource LEFT JOIN g ON k = lower(trim(name))""",
+        "environment_variants": f"WITH {cat}, en AS (SELECT DISTINCT lower(trim(resource_name)) AS name FROM rest_operation WHERE resource_name IS NOT NULL) SELECT DISTINCT l.id AS source, 'environment_resource:' || en.name AS target, 'environment_variant_of' AS type, 1.0::DOUBLE AS weight FROM en JOIN live_resource l ON {_normal('l.name')} = {_normal('en.name')} WHERE {_normal('l.name')} <> ''",
+        "question_subjects": f"SELECT DISTINCT 'business_question:' || entity_id AS source, 'subject_area:' || {_normal('v')} AS target, 'answered_by' AS type, 1.0::DOUBLE AS weight FROM (SELECT entity_id, unnest(subject_areas) AS v FROM entity_aliases) WHERE trim(v) <> '' AND {_normal('v')} <> ''",
+        "federated_analytics": f"""WITH qs AS (SELECT DISTINCT 'business_question:' || entity_id AS q, name, 'subject_area:' || {_normal('v')} AS s FROM (SELECT entity_id, name, unnest(subject_areas) AS v FROM entity_aliases) WHERE trim(v) <> '')
+            SELECT DISTINCT s AS node, 0.95::DOUBLE AS score, 'bridge' AS reason FROM qs UNION ALL SELECT q, round(0.65 + 0.20 * coalesce(round(length(name) / 40.0, 4), 0.0), 6)::DOUBLE, 'semantic_question' FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY round(length(name) / 40.0, 4) DESC NULLS LAST, name, q) AS k FROM qs) WHERE k <= 2""",
+        "graph_migrated_edges": f"WITH {cat} SELECT type, count(*) AS n FROM edges WHERE type NOT IN ('mentions_table', 'mentions_entity', 'related_by_alias', 'incoming_foreign_key_from') GROUP BY 1",
+        "vectors_reused_by_content": """WITH v AS (SELECT vector_id, any_value(model_name) AS m, any_value(normalized_text_hash) AS h, any_value(dimensions) AS d, any_value(embedding_profile_version) AS p, any_value(embedding) AS e FROM semantic_embeddings GROUP BY 1), s AS (SELECT DISTINCT m, h, d FROM v WHERE p <> 'profile-2' AND e IS NOT NULL)
+            SELECT vector_id, CASE WHEN s.h IS NULL THEN 'pending' ELSE 'reused' END AS status FROM v LEFT JOIN s ON v.m = s.m AND v.h = s.h AND v.d = s.d WHERE p = 'profile-2'""",
+        "eligible_node_counts": f"WITH {cat} SELECT {_case('node_type', {k: repr(v) for k, v in NODE_LAYERS.items()}, 'NULL')} AS graph_layer, node_type, count(*) AS n, count(*) FILTER (trim(coalesce(search_text, '')) = '') AS n_without_text FROM nodes WHERE node_type IN ('physical_table', 'physical_column', 'rest_resource', 'rest_operation', 'business_entity', 'validated_rule') GROUP BY 1, 2",
+        "collection_counts": "SELECT module_id AS kind, count(*) AS n, count(*) FILTER (node_type = 'collection_error') AS n_errors FROM functional_section GROUP BY 1",
+        "run_log_states": """WITH RECURSIVE l AS (SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n, ['running', 'interrupted', 'failed', 'completed'][event_id % 4 + 1] AS st FROM events),
+            f AS (SELECT run_id, k, n, CASE WHEN st = 'running' THEN st END AS status, CASE WHEN st = 'running' THEN 0 ELSE 1 END AS bad FROM l WHERE k = 1
+            UNION ALL SELECT l.run_id, l.k, l.n, CASE WHEN ok THEN st ELSE status END, bad + CASE WHEN ok THEN 0 ELSE 1 END FROM (SELECT l.*, f.status, f.bad, CASE WHEN f.status IS NULL THEN l.st = 'running' WHEN f.status = 'running' THEN true WHEN f.status = 'interrupted' THEN l.st IN ('running', 'failed') WHEN f.status = 'failed' THEN l.st = 'running' ELSE false END AS ok FROM f JOIN l ON l.run_id = f.run_id AND l.k = f.k + 1) l)
+            SELECT run_id, status, n::BIGINT AS n_steps, bad::BIGINT AS n_invalid FROM f WHERE k = n""",
+        "text_chunk": f"WITH {semantic} SELECT DISTINCT sha256(s) AS text_hash FROM semantic_documents WHERE sha256(s) > '8' ORDER BY 1 LIMIT 100",
+        "index_metadata": f"WITH {cat}, la AS (SELECT id, {_case('node_type', {k: repr(v) for k, v in NODE_LAYERS.items()}, 'NULL')} AS g FROM nodes) SELECT DISTINCT tb AS \"table\", g AS graph_layer FROM (SELECT unnest(['nodes', 'postings']) AS tb, g FROM la UNION ALL SELECT 'edges', a.g FROM whole JOIN la a ON a.id = source JOIN la b ON b.id = target WHERE a.g = b.g)",
+        "semantic_join": f"WITH {cat} SELECT n.id, n.title, len(e.embedding)::BIGINT AS size FROM nodes n JOIN embeddings e ON e.vec_id = (length(n.id) * 37 + length(n.title)) % 100 WHERE n.node_type = 'business_entity' AND n.module_id IN ('prc', 'tax')",
+        "check_bundle": f"WITH {cat}, ly AS (SELECT unnest(['business', 'physical', 'service', 'analytics']) AS g), la AS (SELECT id, node_type, {_case('node_type', {k: repr(v) for k, v in NODE_LAYERS.items()}, 'NULL')} AS g FROM nodes), el AS (SELECT w.source, w.target, w.type, a.g FROM whole w JOIN la a ON a.id = source JOIN la b ON b.id = target WHERE a.g = b.g AND w.type NOT IN ('mentions_entity', 'related_by_alias', 'incoming_foreign_key_from'))"
+            + """, m AS (SELECT g, 'GRAPH_INVALID_NODES' AS code, 'GRAPH_INVALID_NODES' AS fine, (SELECT count(*) FROM la WHERE la.g = ly.g AND coalesce(id, '') = '') AS v, 'ERROR' AS bad FROM ly
+            UNION ALL SELECT g, 'GRAPH_DUPLICATE_NODE_IDS', 'GRAPH_UNIQUE_NODE_IDS', (SELECT count(*) - count(DISTINCT id) FROM la WHERE la.g = ly.g), 'ERROR' FROM ly UNION ALL SELECT g, 'GRAPH_INVALID_EDGES', 'GRAPH_INVALID_EDGES', (SELECT count(*) FROM el WHERE el.g = ly.g AND type IS NULL), 'ERROR' FROM ly
+            UNION ALL SELECT g, 'GRAPH_ORPHAN_EDGES', 'GRAPH_NO_ORPHAN_EDGES', (SELECT count(*) FROM el WHERE el.g = ly.g AND source NOT IN (SELECT id FROM la)), 'ERROR' FROM ly UNION ALL SELECT g, 'GRAPH_FORBIDDEN_EDGES', 'GRAPH_NO_FORBIDDEN_EDGES', (SELECT count(*) FROM el WHERE el.g = ly.g AND type = 'mentions_entity'), 'ERROR' FROM ly
+            UNION ALL SELECT g, 'GRAPH_DUPLICATE_EDGES', 'GRAPH_DUPLICATE_EDGES', (SELECT count(*) FROM (SELECT 1 FROM el WHERE el.g = ly.g GROUP BY source, target, type HAVING count(*) > 1)), 'WARNING' FROM ly UNION ALL SELECT g, 'GRAPH_PHYSICAL_STUBS', 'GRAPH_PHYSICAL_STUBS', (SELECT count(*) FROM la WHERE la.g = ly.g AND node_type = 'physical_table_stub'), 'WARNING' FROM ly
+            UNION ALL SELECT g, 'GRAPH_NODE_LAYER_MISMATCH', 'GRAPH_NODE_LAYER_MISMATCH', 0, 'ERROR' FROM ly UNION ALL SELECT g, 'GRAPH_COUNTS', 'GRAPH_COUNTS', 0, 'ERROR' FROM ly)
+            SELECT g AS subject, CASE WHEN v <> 0 THEN bad ELSE 'OK' END AS status, upper(g) || '_' || CASE WHEN v <> 0 THEN code ELSE fine END AS code FROM m UNION ALL SELECT 'layers', 'OK', 'BUNDLE_UNKNOWN_LAYERS'""",
+        "physical_object_columns": f"WITH {cat} SELECT DISTINCT upper(trim(l.table_name)) AS table_name, upper(trim(c.name)) AS name, nullif(trim(c.datatype), '') AS datatype FROM live_column c JOIN (SELECT DISTINCT table_name FROM live_table) l ON l.table_name = c.table_name WHERE c.position IS NOT NULL AND coalesce(trim(c.name), '') <> ''",
+        "physical_manifest": f"WITH {cat} SELECT upper(trim(l.table_name)) AS table_name, (SELECT count(*) FROM live_column c WHERE c.table_name = l.table_name AND c.position IS NOT NULL AND coalesce(trim(c.name), '') <> '') AS n_columns, nullif(array_to_string(l.primary_key, ','), '') AS primary_key FROM live_table l WHERE l.table_name IN (SELECT table_name FROM live_column WHERE position IS NOT NULL)",
+        "pages_to_fetch": "SELECT DISTINCT url, sha256(url) AS key FROM documents WHERE url IS NOT NULL AND url NOT IN (SELECT source.url FROM functional_section WHERE source.url IS NOT NULL)",
         "p5_found": _REFERENCES + "SELECT DISTINCT table_name, record_id, field_name, ref_value FROM judged WHERE status <> 'valid'",
         "p5_report": _REFERENCES + "SELECT table_name, field_name, strftime(judged.at, '%Y-%m') AS month, status, count(*) AS n_refs FROM judged WHERE status <> 'valid' GROUP BY ALL",
     }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
-from graphloom.operators import catalog, checks, context, corpus, federated, graph, index, lexical, references, rules, vector
+from graphloom.operators import catalog, checks, context, corpus, documents, federated, graph, index, lexical, references, rules, vector
 from graphloom.plans import catalog_graph
-from graphloom.sources import files, html
+from graphloom.sources import files, html, pages
 from graphloom.sources.tables import cut_lineage, read_table, shared_dir, spread
 
 QUERIES: dict = {}
@@ -743,5 +745,244 @@ def p5_report(spark, root):
     return references.orphan_report(spark, root)
 
 
+# documents of nodes
+
+
+def _typed(spark, root):
+    """Tables of the catalog with their node type and id."""
+    for name, node_type, key in (("rest_resource", "rest_resource", "id"), ("rest_operation", "rest_operation", "id"), ("validated_rules", "validated_rule", "id"), ("entity_aliases", "business_entity", "entity_id"), ("functional_section", "functional_section", "id")):
+        yield node_type, files.without_errors(read_table(spark, root, name)) if name == "functional_section" else read_table(spark, root, name), key
+
+
+@query
+def node_search_texts(spark, root):
+    """Search texts made anew from the fields of each type, as a migration of the graph does."""
+    parts = [documents.with_search_text(df, t).select(F.lit(t).alias("node_type"), F.col(key).alias("id"), F.md5("search_text").alias("h")).distinct() for t, df, key in _typed(spark, root)]
+    return functools.reduce(lambda x, y: x.unionByName(y), parts)
+
+
+@query
+def node_semantic_texts(spark, root):
+    n = catalog_graph.nodes(spark, root)
+    return n.select("id", F.md5(documents.semantic_text(n)).alias("h"))
+
+
+@query
+def operation_texts(spark, root):
+    o = read_table(spark, root, "rest_operation").select("id", "title", "method", "endpoint_path", "description").distinct()
+    return o.select("id", F.md5(documents.operation_text(o)).alias("h"))
+
+
+@query
+def summary_sources(spark, root):
+    o = read_table(spark, root, "functional_section").select("id", "text", "search_text", "title").distinct()
+    return o.select("id", F.md5(documents.summary_source(o)).alias("h"))
+
+
+@query
+def table_evidence(spark, root):
+    t = catalog_graph.live(spark, root, "physical_table").select("id", "primary_key", catalog.result_grain(F.col("primary_key"))["description"].alias("grain"))
+    e = documents.table_evidence(t, catalog_graph.edges(spark, root))
+    return e.select("id", F.array_join("primary_key", ",").alias("primary_key"), "grain", F.array_join("references", ",").alias("targets"))
+
+
+@query
+def profile_texts(spark, root):
+    """Texts of the sample queries as the two model profiles take them."""
+    q = read_table(spark, root, "lang_samples")
+    parts = [q.select("sample_id", F.lit(k).alias("profile"), F.md5(p.as_query(F.col("text"))).alias("as_query"), F.md5(p.as_passage(F.col("text"))).alias("as_passage")) for k, p in sorted(vector.PROFILES.items())]
+    return functools.reduce(lambda x, y: x.unionByName(y), parts)
+
+
+@query
+def canonical_json_hash(spark, root):
+    """Hashes of rows as JSON with sorted keys."""
+    n = read_table(spark, root, "nation")
+    return n.select("n_nationkey", T.json_hash(F.col("n_regionkey"), F.col("n_name"), F.col("n_nationkey")).alias("h"))
+
+
+@query
+def configured_sources(spark, root):
+    e = read_table(spark, root, "entity_aliases").groupBy("module_id").agg(F.max(documents.configured(F.col("tables")) | documents.configured(F.col("rest_resources"))).alias("configured"))
+    return e
+
+
+# joins of the graph
+
+
+@query
+def nodes_of_modules(spark, root):
+    """Nodes of two modules by the bridge table."""
+    n = catalog_graph.nodes(spark, root)
+    return lexical.in_modules(n, lexical.module_bridge(n), ["prc", "tax"]).select("id", "node_type")
+
+
+@query
+def nodes_fetched(spark, root):
+    return graph.nodes_by_id(catalog_graph.nodes(spark, root), _seeds(spark, root)).select("id", "node_type", "title")
+
+
+@query
+def resource_children(spark, root):
+    n, e = catalog_graph.graph(spark, root)
+    resources = n.where("node_type = 'rest_resource'").select("id")
+    down = graph.linked_nodes(n, e, resources, "has_operation").select("origin", "id", F.lit("child").alias("kind"))
+    return down.unionByName(graph.linked_nodes(n, e, resources, "parent_of", parents=True).select("origin", "id", F.lit("parent").alias("kind")))
+
+
+@query
+def module_projection(spark, root):
+    """Modules of the resources, with those of the entities that name them."""
+    r = catalog_graph.live(spark, root, "rest_resource").select("id", "name", F.array_compact(F.array("module_id")).alias("modules"))
+    p = read_table(spark, root, "entity_aliases").select(F.explode("rest_resources").alias("name"), "module_id").where("trim(name) <> ''")
+    return graph.project_modules(r, p).select("id", F.array_join("modules", ",").alias("modules"))
+
+
+def _environment(spark, root):
+    """Resources of an environment: the names that operations give."""
+    o = read_table(spark, root, "rest_operation").where("resource_name IS NOT NULL").select(F.lower(F.trim("resource_name")).alias("name")).distinct()
+    return o.select(F.concat(F.lit("environment_resource:"), "name").alias("id"), "name")
+
+
+@query
+def environment_variants(spark, root):
+    documented = catalog_graph.live(spark, root, "rest_resource").select("id", "name", F.array("module_id").alias("modules"))
+    e, _ = graph.variant_edges(documented, _environment(spark, root))
+    return e
+
+
+def _analytics(spark, root):
+    """(subject areas, questions, edges): the subject areas of the entities, and a question of each entity to each of its areas."""
+    e = read_table(spark, root, "entity_aliases").select("entity_id", "name", F.explode("subject_areas").alias("subject")).where("trim(subject) <> ''").distinct()
+    subjects = e.select(F.concat(F.lit("subject_area:"), T.normalize_text("subject")).alias("id"), T.normalize_text("subject").alias("name")).distinct()
+    questions = e.select(F.concat(F.lit("business_question:"), "entity_id").alias("id"), "name", "subject")
+    return subjects, questions, graph.answered_edges(questions, subjects)
+
+
+@query
+def question_subjects(spark, root):
+    return _analytics(spark, root)[2]
+
+
+@query
+def federated_analytics(spark, root):
+    """For each subject area the two questions that a score, made from the length of their names, puts first."""
+    subjects, questions, e = _analytics(spark, root)
+    nodes = subjects.select("id", F.lit("subject_area").alias("node_type"))
+    similarity = questions.select(F.lit("q").alias("query_id"), F.col("id").alias("node"), F.round(F.length("name") / 40.0, 4).alias("similarity"), F.col("name").alias("title")).distinct()
+    out = federated.expand_analytics(subjects.select(F.lit("q").alias("query_id"), F.col("id").alias("node")), e, similarity, nodes)
+    return out.select("node", F.round("score", 6).alias("score"), "reason")
+
+
+@query
+def graph_migrated_edges(spark, root):
+    """Edges with legacy types among them, and without."""
+    e = catalog_graph.edges(spark, root).withColumn("type", F.when(F.col("type") == "mentions_table", "mentions_entity").otherwise(F.col("type")))
+    return graph.without_legacy(e).groupBy("type").agg(_long("n", F.count(F.lit(1))))
+
+
+# corpus state
+
+
+@query
+def vectors_reused_by_content(spark, root):
+    """Vectors of one profile taken over for the texts of the other, by model, hash and dimensions."""
+    v = read_table(spark, root, "semantic_embeddings").select("vector_id", "model_name", F.col("normalized_text_hash").alias("content_hash"), "dimensions", "embedding_profile_version", "embedding").dropDuplicates(["vector_id"])
+    keys = ["model_name", "content_hash", "dimensions"]
+    wanted = v.where("embedding_profile_version = 'profile-2'").select("vector_id", *keys)
+    reused, rest = corpus.reuse_by_content(wanted, v.where("embedding_profile_version <> 'profile-2'").select(*keys, "embedding"), keys)
+    return reused.select("vector_id", F.lit("reused").alias("status")).unionByName(rest.select("vector_id", F.lit("pending").alias("status")))
+
+
+@query
+def eligible_node_counts(spark, root):
+    n = catalog_graph.nodes(spark, root).withColumn("graph_layer", graph.node_layer(F.col("node_type")))
+    c = corpus.eligible_counts(n, {"physical": ["physical_table", "physical_column"], "service": ["rest_resource", "rest_operation"], "business": ["business_entity", "validated_rule"]})
+    return c.select("graph_layer", "node_type", _long("n"), _long("n_without_text"))
+
+
+@query
+def collection_counts(spark, root):
+    s = read_table(spark, root, "functional_section")
+    return corpus.collection_stats(s, F.col("module_id")).select("kind", _long("n"), _long("n_errors"))
+
+
+@query
+def run_log_states(spark, root):
+    """The events of each user as the log of a run."""
+    e = read_table(spark, root, "events")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("running", "interrupted", "failed", "completed")]), (F.col("event_id") % 4 + 1).cast("int"))
+    log = e.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), status.alias("status"), F.col("ts").alias("at"))
+    return corpus.run_states(log).select("run_id", "status", "n_steps", "n_invalid")
+
+
+@query
+def text_chunk(spark, root):
+    """The first 100 texts behind a key, as a resumed run takes them."""
+    t = corpus.distinct_texts(read_table(spark, root, "documents"), F.col("text"))
+    return corpus.next_chunk(t.select("text_hash"), "8", 100)
+
+
+@query
+def index_metadata(spark, root):
+    """Tables and layers of an index as its files lie."""
+    import uuid
+
+    n, e = _layered(spark, root)
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.build_index(cut_lineage(n.select("id", "node_type", "title", "search_text", "modules", "graph_layer")), cut_lineage(e.select("source", "target", "type", "weight", "graph_layer")), path)
+    return index.refresh_metadata(spark, path).select("table", "graph_layer")
+
+
+@query
+def semantic_join(spark, root):
+    """Vectors of the embeddings table joined to nodes, filtered by layer and module."""
+    n = catalog_graph.nodes(spark, root).withColumn("graph_layer", graph.node_layer(F.col("node_type")))
+    t = n.where("node_type = 'business_entity'").select("id", "node_type", "title", "modules", "graph_layer")
+    v = read_table(spark, root, "embeddings").join(t.select("id", ((F.length("id") * 37 + F.length("title")) % 100).cast("bigint").alias("vec_id")), "vec_id").select("id", "embedding")
+    return vector.joined_vectors(v, t, ["business"], None, ["prc", "tax"]).select("id", "title", _long("size", F.size("embedding")))
+
+
+@query
+def check_bundle(spark, root):
+    n, e = _layered(spark, root)
+    return checks.validate_bundle(n, e, ["business", "physical", "service", "analytics"]).select("subject", "status", "code")
+
+
+# pages
+
+
+def _object_pages(spark, root):
+    """Object pages of the live tables and columns."""
+    c = catalog_graph.live(spark, root, "physical_column")
+    cell = lambda x: F.concat(F.lit("<td>"), F.replace(F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</td>"))
+    rows = c.select("table_name", "position", F.concat(F.lit("<tr>"), cell(F.col("name")), cell(F.col("datatype")), F.lit("</tr>")).alias("row"), "name").where("position IS NOT NULL")
+    listed = rows.groupBy("table_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "name", "row"))), lambda x: x["row"]), "").alias("rows"))
+    t = catalog_graph.live(spark, root, "physical_table").select("table_name", F.coalesce(F.array_join("primary_key", ", "), F.lit("")).alias("pk")).distinct().join(listed, "table_name")
+    page = F.concat(F.lit("<html><h1>"), "table_name", F.lit("</h1><p>Object type: TABLE</p><h2>Primary Key</h2><table><tr><th>Name</th><th>Columns</th></tr><tr><td>PK</td><td>"), "pk", F.lit("</td></tr></table><h2>Columns</h2><table><tr><th>Name</th><th>Datatype</th></tr>"), "rows", F.lit("</table></html>"))
+    return t.select(F.concat(F.lit("https://docs.kb.example/"), "table_name", F.lit(".html")).alias("url"), page.alias("html"))
+
+
+@query
+def physical_object_columns(spark, root):
+    """Columns read back from object pages."""
+    _, c, _ = pages.physical_objects(_object_pages(spark, root))
+    return c.select("table_name", "name", "datatype").distinct()
+
+
+@query
+def physical_manifest(spark, root):
+    t, c, _ = pages.physical_objects(_object_pages(spark, root))
+    m = pages.physical_manifest(t, c)
+    return m.select("table_name", _long("n_columns"), F.array_join(F.from_json("document", "primary_key array<string>")["primary_key"], ",").alias("primary_key"))
+
+
+@query
+def pages_to_fetch(spark, root):
+    """Addresses of the documents that the landed pages, those of the sections, do not hold."""
+    landed = read_table(spark, root, "functional_section").select(F.col("source.url").alias("url")).where("url IS NOT NULL").distinct().withColumn("key", pages.url_key(F.col("url"))).withColumn("error", F.lit(None).cast("string"))
+    return pages.missing_pages(read_table(spark, root, "documents").select("url"), landed).select("url", "key")
+
+
 def queries() -> dict:
     return dict(QUERIES)

@@ -34,4 +34,4 @@ def without_errors(df: DataFrame, node_type: str = "node_type") -> DataFrame:
 
 def write_layers(df: DataFrame, path: str, layer: str = "graph_layer") -> None:
     """One directory for each layer; only the written layers are replaced."""
-    df.repartition(layer).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(layer).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(layer).parquet(path)

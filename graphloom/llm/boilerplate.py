@@ -48,6 +48,8 @@ BODY_SHARE = 0.05
 ALONE = 0.5
 COVER = 0.5
 LONG, OPENING = 6, 3
+#: What each part of an identifier and a number count for, when wording is compared with them.
+CODE_LENGTH, NUMBER_LENGTH = 6, 2
 HOT = 1e-4
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^>]*>|^\s*#+\s+|&copy;|&nbsp;|\]\([^)]*\)|^\s*[*+]\s+(?=\[)|\[")
@@ -66,7 +68,6 @@ _ENDS = (". ", "! ", "? ", "。", "？")
 _LABEL = re.compile(r"([^:?]{1,40}):\s+(.*)")
 _BULLET = re.compile(r"\s*([•»›▸►‣*–-]|\d+[.)])\s+([^#0:.!?。,;]*)")
 _NO_LETTER = re.compile(r"[\W\d_]+")
-_NO_SIGN = re.compile(r"[\W_]+")
 _OTHER_SCRIPT = re.compile("[Ͱ-ԯ]")
 _HIDDEN = re.compile(f"[{INVISIBLE}]")
 _FOLD = str.maketrans(dict.fromkeys(INVISIBLE))
@@ -92,10 +93,15 @@ def plain(line: str) -> str:
 
 
 def masked(text: str) -> str:
-    """The text with # for identifiers and 0 for numbers."""
+    """The text with # for each part of an identifier and 0 for numbers."""
     if _DIGIT.search(text):
-        text = _COUNTED.sub(lambda m: "#" if _LETTER.search(m[0]) else _NUMBER.sub("0", m[0]), text)
-    return _JOINED.sub("#", text) if "_" in text else text
+        text = _COUNTED.sub(lambda m: "#" * (1 + m[0].count("_")) if _LETTER.search(m[0]) else _NUMBER.sub("0", m[0]), text)
+    return _JOINED.sub(lambda m: "#" * (1 + m[0].count("_")), text) if "_" in text else text
+
+
+def _others(text: str) -> int:
+    """About how many letters and digits stand behind the marks of identifiers and numbers."""
+    return CODE_LENGTH * text.count("#") + NUMBER_LENGTH * text.count("0")
 
 
 def _letters(text: str) -> int:
@@ -111,7 +117,7 @@ class _Element(NamedTuple):
 
     text: str
     letters: int
-    others: int  # digits and letters of codes
+    others: int  # what its identifiers and numbers count for
     whole: int
     label: int
     label_letters: int
@@ -119,32 +125,46 @@ class _Element(NamedTuple):
     bullet: int
     openings: tuple[int, ...]
 
+    def hashes(self) -> set[int]:
+        """All its subtrees that main text may hold."""
+        question = _hash("b", self.text[:-1]) if _QUESTION.fullmatch(self.text) else 0
+        return {self.whole, self.label, self.bullet, question, *self.openings} - {0} if self.letters else set()
+
 
 def _element(raw: str) -> _Element:
-    text = plain(raw).strip(" |·<>/")
-    part = masked(text)
-    letters = _letters(part)
-    others = len(_NO_SIGN.sub("", text)) - letters
+    part = plain(raw).strip(" |·<>/")
+    letters, others = _letters(part), _others(part)
     label, bullet = _LABEL.match(part), _BULLET.fullmatch(part)
     named = _letters(label[1]) if label else 0
     words = part.split()
     openings = [" ".join(words[:OPENING])] if len(words) >= LONG else []
     if label and len(label[2].split()) >= 2 * LONG:
         openings.append(" ".join(label[2].split()[:OPENING]))
-    behind = len(_NO_SIGN.sub("", text.partition(":")[2])) if label else 0
     return _Element(
-        part, letters, others, _hash("t", part), _hash("b", label[1]) if named else 0, named, 0 < behind <= 2 * (letters - named),
+        part, letters, others, _hash("t", part), _hash("b", label[1]) if named else 0, named, bool(label) and letters > named and letters - named >= _others(label[2]),
         _hash("s", bullet[1]) if bullet else 0, tuple(_hash("o", x) for x in openings),
     )
 
 
+def _chunks(line: str) -> list[str]:
+    """The sentences of a line without markup, codes and numbers."""
+    if _MARK.search(line):
+        line = _MARKUP.sub(" ", line)
+    line = masked(line)
+    for end in _ENDS:
+        if end in line:
+            line = line.replace(end, end + "\n")
+    return [chunk for chunk in line.split("\n") if chunk]
+
+
 class _Subtrees(dict):
-    """The subtrees of lines. The elements of the chunks (sentences) met last are kept, digits counting as equal,
-    since chunks recur more than lines, and so are the subtrees of lines met last."""
+    """The subtrees of lines. The elements of the chunks (sentences) met last are kept, since chunks without their codes recur
+    more than lines, and so are the subtrees of lines met last."""
 
     def __init__(self):
         super().__init__()
         self.lines: dict[str, list[tuple[int, int, int, float]]] = {}
+        self.held: dict[str, set[int]] = {}
 
     def __missing__(self, chunk: str) -> list[_Element]:
         if len(self) >= 100_000:
@@ -162,24 +182,29 @@ class _Subtrees(dict):
             found = self.lines[line] = self._of(line)
         return found
 
+    def held_by(self, text: str) -> set[int]:
+        """The subtrees of all lines of a text."""
+        found: set[int] = set()
+        for line in _LINE_END.split(text):
+            for chunk in _chunks(line):
+                hashes = self.held.get(chunk)
+                if hashes is None:
+                    if len(self.held) >= 100_000:
+                        self.held.clear()
+                    hashes = self.held[chunk] = {h for e in map(_element, _ELEMENT.split(chunk)) if e.text for h in e.hashes()}
+                found |= hashes
+        return found
+
     def _of(self, line: str) -> list[tuple[int, int, int, float]]:
-        if _DIGIT.search(line):
-            for digit in "123456789":
-                line = line.replace(digit, "0")
-        if _MARK.search(line):
-            line = _MARKUP.sub(" ", line)
-        for end in _ENDS:
-            if end in line:
-                line = line.replace(end, end + "\n")
-        parts = [e for chunk in line.split("\n") if chunk for e in self[chunk]]
+        parts = [e for chunk in _chunks(line) for e in self[chunk]]
         letters = sum(e.letters for e in parts)
         if not letters:
             return []
         first, several = parts[0], len(parts) > 1
         others = sum(e.others for e in parts)
         found = []
-        if letters >= others:
-            found.append((ROOT, TREE, _hash("t", "\n".join(e.text for e in parts)) if several else first.whole, 1.0))
+        if letters >= others and not several:  # a line of several elements recurs only where they do
+            found.append((ROOT, TREE, first.whole, 1.0))
         if first.label and (letters - first.label_letters >= others if several else first.labels_words):
             found.append((HEAD, LABEL, first.label, 1.0))
         elif several and _QUESTION.fullmatch(first.text):
@@ -248,7 +273,7 @@ def _usual(main_texts: list[DataFrame]) -> DataFrame:
         for batch in batches:
             counts: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                counts.update({x[2] for line in _LINE_END.split(text) for x in known.of(line)})
+                counts.update(known.held_by(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.int64()), pa.array(list(counts.values()), type=pa.int64())], names=["subtree", "n"])
 
     usual = None

@@ -1,6 +1,6 @@
 """One consistent form for texts that look the same.
 
-Texts are exploded to positioned code points; two small fixed tables, built by rule from the Unicode
+Texts are exploded to positioned code points (a run of plain ASCII is one piece but for its last character); two small fixed tables, built by rule from the Unicode
 character database, are broadcast-joined: the decomposition of each character (full-width, half-width,
 ligature, no-break and font variants, and accents) with its look-alike letter, and the composed
 character of each base with its marks. In between, combining marks are ordered by their class. Then the
@@ -105,7 +105,9 @@ def one_form(texts: DataFrame) -> DataFrame:
     foreign = F.regexp_replace("text", r"[\x00-\x7F]+", "")
     changes = F.col("text").rlike(r"[^\x00-\x7F]") & (F.length(F.translate(foreign, changing, "")) < F.length(foreign))
     # a text that cannot change is one piece; the empty piece before others stands for texts of invisible characters only
-    pieces = F.when(changes, F.concat(F.array(F.lit("")), F.split("text", ""))).otherwise(F.array("text"))
+    # and so are plain characters up to the last one before another, which may have marks
+    points = F.regexp_extract_all("text", F.lit(r"(?s)[\x00-\x7F]+(?=[\x00-\x7F])|."), F.lit(0))
+    pieces = F.when(changes, F.concat(F.array(F.lit("")), points)).otherwise(F.array("text"))
     points = (
         distinct.select("key", F.posexplode(pieces).alias("pos", "ch"))
         .join(mapping, "ch", "left")

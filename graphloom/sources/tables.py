@@ -39,13 +39,17 @@ def bounded_sample(df: DataFrame, key: str, rows: int, total: int | None = None)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only where it is unset (a local session, tests) a temporary folder of this machine is taken.
+    Only where it is unset in a local session (tests) a temporary folder of this machine is taken; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="graphloom-")
+        if current.isDefined():
+            return current.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="graphloom-")
     return named
 
 
@@ -58,6 +62,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_LANDED: list[str] = []
+
+
+def release_landed(spark: SparkSession) -> int:
+    """Deletes the tables that ``land`` wrote in this process; for when the frames that read them are no longer used.
+
+    Checkpoints are removed by Spark itself where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    n = 0
+    while _LANDED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_LANDED.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def land(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Writes ``df`` as Parquet below the shared folder and reads it back (columnar, prunable)."""
     spark = df.sparkSession
@@ -66,4 +84,5 @@ def land(df: DataFrame, label: str, partition_by: list[str] | None = None) -> Da
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _LANDED.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -148,3 +148,15 @@ def test_values(spark, tmp_path):
     assert spark.read.format("binaryFile").load(str(tmp_path / "f.bin")).select((T.file_hash(F.col("content")) == F.sha2(F.lit("x"), 256)).alias("same")).first()["same"]
     with pytest.raises(Exception):
         spark.range(1).select(T.file_hash(F.col("nothing"))).collect()
+
+
+def test_landed_tables_are_released(spark):
+    import os
+
+    from graphloom.sources import tables as S
+
+    S.release_landed(spark)
+    df = S.land(spark.range(3), "test")
+    path = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    assert df.count() == 3 and os.path.isdir(path)
+    assert S.release_landed(spark) == 1 and not os.path.exists(path)

@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.tables import read_table
 
+#: Windows that are indexed at a time, and the least size of a piece as a share of the limit where a boundary allows it.
+BLOCKS, LEAST_SHARE = 32, 0.5
+
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』）]*")
 _CLAUSE = re.compile(r"[;:,]\s+|[、，；：]")
 _BLANK = re.compile(r"\s+")
@@ -37,7 +40,7 @@ _GLUE = re.compile(r"[̀-゙゚ͯ︀-️‍\U0001f3fb-\U0001f3ff]|(?<=‍).", re
 
 def boundary_strengths(text: str) -> np.ndarray:
     """Strength of a cut before each position 0..len: 0 never unless forced, 1 inside a word, up to 6."""
-    strength = np.ones(len(text) + 1, dtype=np.int64)
+    strength = np.ones(len(text) + 1, dtype=np.int8)
     if not text.isascii():
         strength[[m.start() for m in _GLUE.finditer(text)]] = 0
     for pattern, level in _LEVELS:
@@ -50,7 +53,7 @@ class RightmostMaximum:
 
     def __init__(self, strength: np.ndarray, widest: int):
         self.width = len(strength) + 1
-        level = strength * self.width + np.arange(len(strength))
+        level = strength.astype(np.int64) * self.width + np.arange(len(strength))
         self.table = [level]
         step = 1
         while 2 * step <= min(widest, len(strength)):
@@ -65,22 +68,40 @@ class RightmostMaximum:
         return best % self.width, best // self.width
 
 
-def split_spans(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Start and end of each piece."""
+class BlockedMaximum:
+    """``RightmostMaximum`` over a few windows at a time, for queries that move to the right: a byte for each character of
+    the text, and the index of ``BLOCKS`` windows."""
+
+    def __init__(self, strength: np.ndarray, widest: int):
+        self.strength, self.widest = strength, widest
+        self.base, self.index = 0, RightmostMaximum(strength[: (BLOCKS + 1) * widest], widest)
+
+    def __call__(self, low: int, high: int) -> tuple[int, int]:
+        if high - self.base >= (BLOCKS + 1) * self.widest:
+            self.base = max(0, high - self.widest)  # a later window of the same piece may start further left
+            self.index = RightmostMaximum(self.strength[self.base : self.base + (BLOCKS + 1) * self.widest], self.widest)
+        position, strength = self.index(low - self.base, high - self.base)
+        return position + self.base, strength
+
+
+def split_spans(text: str, limit: int, overlap: int, least_share: float = LEAST_SHARE) -> list[tuple[int, int]]:
+    """Start and end of each piece. Cuts are looked for from ``least_share`` of the limit on, so that pieces do not get
+    small; only where there is no natural boundary, the whole permissible window counts."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be below the limit")
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    best = RightmostMaximum(boundary_strengths(text), limit)
+    best = BlockedMaximum(boundary_strengths(text), limit)
+    first = max(1, -int(-limit * least_share // 1))
     spans, start = [], 0
     while n - start > limit:
         low, high = start + overlap + 1, start + limit
-        cut, strength = best(max(low, start + (limit + 1) // 2), high)
+        cut, strength = best(max(low, start + first), high)
         if strength < 2:
             cut, strength = best(low, high)
         if strength < 2:
-            cut = best(max(low, start + (limit + 1) // 2), high)[0]
+            cut = best(max(low, start + first), high)[0]
         spans.append((start, cut))
         start = cut - overlap
     spans.append((start, n))

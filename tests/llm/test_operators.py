@@ -83,6 +83,23 @@ def test_strongest_cut_is_taken_rightmost():
             assert best(low, high) == (high - int(window[::-1].argmax()), window.max())
 
 
+def test_long_texts_are_indexed_in_blocks(monkeypatch):
+    plain = "".join("x" if i % 97 else "é" for i in range(9000)) + " word, word. " * 400 + "y" * 4000
+    blocked = splitting.split_spans(plain, 60, 7)
+    with monkeypatch.context() as m:
+        m.setattr(splitting, "BlockedMaximum", splitting.RightmostMaximum)
+        assert splitting.split_spans(plain, 60, 7) == blocked
+    text = "".join("ab cd. ef\n"[(i * 7) % 10] for i in range(30_000))
+    strength = splitting.boundary_strengths(text)
+    whole, blocked = splitting.RightmostMaximum(strength, 50), splitting.BlockedMaximum(strength, 50)
+    at = 0
+    while at + 50 < len(text):
+        window = (at + 1 + at % 13, at + 50)
+        assert whole(*window) == blocked(*window)
+        at += 37
+    assert splitting.split_spans("aaaa. bbbbb cccc dddd", 20, 0, least_share=0.0)[0][1] == 6  # the strongest in the whole window
+
+
 def test_split_cases(spark):
     t = spark.createDataFrame([("a", "1", "f", "x" * 25, "extra"), ("a", "1", "f", "x" * 25, "extra"), ("a", "2", "f", "", "e"), ("a", "3", "f", None, "e"), ("b", "4", "f", "y" * 99, "e")], "table_name string, record_id string, field_name string, text string, max_size string")
     limits = spark.createDataFrame([("a", "f", 10, 3)], "table_name string, field_name string, max_size int, overlap_size int")

@@ -47,7 +47,6 @@ def _exit_code(rows: DataFrame) -> int:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = _parser().parse_args(argv)
-    from graphloom.functions import text as T
     from graphloom.operators import checks, corpus, federated, graph, index, lexical, vector
     from graphloom.plans import catalog_graph
     from graphloom.queries import queries
@@ -72,12 +71,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         write_layers(e, f"{a.out}/edges")
     elif a.command == "search":
         n, e = catalog_graph.graph(spark, a.root)
-        n = n.withColumn("keywords", T.node_keywords())
         lexical.hybrid_search(n, e, a.text, a.limit, a.hops, split(a.node_types), split(a.modules)).show(a.limit, truncate=80)
     elif a.command == "search-federated":
         n, e = catalog_graph.graph(spark, a.root)
         q = spark.createDataFrame([("0", a.text)], "query_id string, text string")
-        core = n.where(F.col("node_type").isin(*graph.CORE_TYPES)).withColumn("keywords", T.node_keywords())
+        core = n.where(F.col("node_type").isin(*graph.CORE_TYPES))
         scores = lexical.direct_scores(core, q).select("query_id", "id", "node_type", "title", F.col("direct_score").alias("score"))
         routed = federated.routes(federated.master_seeds(scores), e)
         similarity = n.select(F.lit("0").alias("query_id"), F.col("id").alias("node"), F.lit(None).cast("double").alias("similarity"), "title")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import normalize_text, tokenize
+from graphloom.functions.text import node_keywords, normalize_text, tokenize
 from graphloom.operators.graph import expand
 from graphloom.sources.tables import cut_lineage
 
@@ -43,6 +43,12 @@ def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
     )
 
 
+def posted_stats(posted: DataFrame, n_docs: int) -> DataFrame:
+    """``corpus_stats`` from the postings and the number of documents, without tokenizing again."""
+    n = max(n_docs, 1)
+    return posted.agg(F.lit(n).cast("bigint").alias("n_docs"), F.greatest(F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(n), F.lit(1.0)).alias("avgdl"))
+
+
 def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
@@ -104,15 +110,17 @@ def _boost(column: Column, boosts: dict[str, float]) -> Column:
 def direct_scores(nodes: DataFrame, queries: DataFrame, source_boosts: dict[str, float] | None = None, type_boosts: dict[str, float] | None = None) -> DataFrame:
     """(query_id, id, title, direct_score and its parts) of all nodes with a positive score.
 
-    ``nodes``: id, node_type, title, qualified_name, name, object_name, aliases, keywords, search_text,
-    confidence_score, source_type. Candidates are the nodes that share a term with the query, or whose names do:
+    ``nodes``: id, node_type, title, qualified_name, name, object_name, aliases, search_text, confidence_score,
+    source_type, and keywords where they are stored. Candidates are the nodes that share a term with the query, or whose names do:
     an alias or a title that holds the query shares its tokens, so the inverted lists find all of them."""
     text = F.concat_ws(" ", "title", "qualified_name", "name", "search_text", F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " "))
     posted = cut_lineage(postings(nodes, text))  # read for frequencies and for scores
-    stats = corpus_stats(nodes, text)
+    stats = posted_stats(posted, nodes.count())
     q = queries.select("query_id", normalize_text("text").alias("query"), tokenize("text").alias("query_tokens"))
     scored = bm25(posted, stats, query_terms(queries, F.col("text")))
     joined = scored.join(nodes, "id").join(q, "query_id")
+    if "keywords" not in nodes.columns:  # of candidates only, written once, since several expressions read them
+        joined = cut_lineage(joined.withColumn("keywords", node_keywords()).drop("search_text"))
     kw = keyword_score(F.col("query_tokens"), F.col("query"), F.coalesce("keywords", F.array().cast("array<string>")), F.concat(F.array("name", "qualified_name"), F.coalesce("aliases", F.array().cast("array<string>"))))
     title = title_score(F.col("query"), F.col("query_tokens"), F.col("title"), F.col("qualified_name"), F.col("name"))
     penalty = auxiliary_penalty(F.col("node_type"), F.col("object_name"), F.col("query"), F.col("query_tokens"))

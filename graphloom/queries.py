@@ -347,7 +347,8 @@ def corpus_length(spark, root):
 
 def _bm25(spark, root):
     d = _documents(spark, root)
-    return lexical.postings(d, F.col("text")), lexical.corpus_stats(d, F.col("text")), lexical.query_terms(_sample_queries(spark, root), F.col("text"))
+    posted = cut_lineage(lexical.postings(d, F.col("text")))  # read for statistics, frequencies and scores
+    return posted, lexical.posted_stats(posted, d.count()), lexical.query_terms(_sample_queries(spark, root), F.col("text"))
 
 
 @query
@@ -394,13 +395,13 @@ def evidence_groups(spark, root):
 @query
 def hybrid_search(spark, root):
     n, e = catalog_graph.graph(spark, root)
-    return lexical.hybrid_search(n.withColumn("keywords", T.node_keywords()), e, "ledger periods of the budget version", 20)
+    return lexical.hybrid_search(n, e, "ledger periods of the budget version", 20)
 
 
 @query
 def direct_scores(spark, root):
     """Direct scores of all catalog nodes for two queries."""
-    n = catalog_graph.nodes(spark, root).withColumn("keywords", T.node_keywords())
+    n = catalog_graph.nodes(spark, root)
     q = spark.createDataFrame([(1, "rate types"), (2, "stock count of the site directory")], "query_id int, text string")
     s = lexical.direct_scores(n, q)
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("direct_score", 5)), "id")
@@ -446,7 +447,7 @@ def context_hybrid(spark, root):
     """A context of at most 6,000 characters for one query: hybrid search, semantic rerank, summaries, rendering."""
     asked = "ledger periods of the budget version"
     n, e = catalog_graph.graph(spark, root)
-    hits = cut_lineage(lexical.hybrid_search(n.withColumn("keywords", T.node_keywords()), e, asked, context.over_fetch(20)))
+    hits = cut_lineage(lexical.hybrid_search(n, e, asked, context.over_fetch(20)))
     nodes = n.join(hits.select("id"), "id", "left_semi")
     results = hits.select("id", "title", F.col("total_score").alias("score")).join(nodes.select("id", "node_type", "source_type"), "id").join(_semantic(nodes, asked), "id").withColumn("query_id", F.lit(0))
     c = context.build_context(results, nodes.select("id", F.col("search_text").alias("text")), asked, 16, 6000)

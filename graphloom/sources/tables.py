@@ -24,18 +24,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, total: int | None = None) -> DataFrame:
-    """At most ``rows`` rows of ``df``, those of the smallest hash of ``key``, for fitting a model.
-
-    A share of the hash range that holds some times as many rows is cut first, so that the tasks of a large
-    scan send few rows each to the final limit. ``total`` is the number of rows if it is known."""
-    total = df.count() if total is None else total
-    place = F.pmod(F.xxhash64(key), F.lit(1_000_000_000))
-    if total > 8 * rows:
-        df = df.where(place < int(1_000_000_000 * 4 * rows / total))
-    return df.orderBy(place, key).limit(rows)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 

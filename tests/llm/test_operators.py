@@ -285,6 +285,30 @@ def test_round_trip(chains, chain):
         assert fixed == text and found and not lost
 
 
+def test_training_counts_all_rows_and_whole_texts(spark, tables, monkeypatch):
+    monkeypatch.setattr(mojibake.Tally, "AT_ONCE", 700)
+    monkeypatch.setattr(mojibake.Tally, "ROWS", 50)
+    samples = [*_samples().values()]
+    words = ["é" + chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676) for i in range(3200)]  # more rows than were sampled once
+    documents = [(i, f"{w} plain", "en") for i, w in enumerate(words)] + [(5000, "plain " * 1000 + "naïveté 金額は", "en"), (5001, "ohne Wert: größer", None), (5002, None, "en"), (5003, "plain", "en")]
+    root = tables(lang_samples=_texts(spark, [*samples, samples[0], None]), documents=spark.createDataFrame(documents, "doc_id long, text string, lang string"))
+    got = mojibake.trained_classifier(spark, root)
+    wanted = mojibake.ChainClassifier.train(samples, [t for _, t, lang in documents if t and lang and not t.isascii()])
+    assert np.allclose(got.weights, wanted.weights) and got.model.total == wanted.model.total
+    assert all(getattr(got.model, x) == getattr(wanted.model, x) for x in ("single", "left", "right", "before", "after"))
+    assert got.model.single["é"] > 3200 and got.model.left["a", "ï"] >= 1
+
+
+def test_garbled_counts_against_garbling_each_word():
+    words = ["voilà", "straße", "Módulos", "área", "данные", "№", "金額は", "café—x", "ÿ", "über", "naïve"]
+    wanted = np.zeros((len(mojibake.SCRIPTS), len(mojibake.CHAINS) + 1, mojibake.BUCKETS))
+    for word, weight in [*((w, 4) for w in words), *((w.upper(), 1) for w in words if not w.upper().isascii())]:
+        for k, chain in enumerate([*mojibake.CHAINS, ()]):
+            for part in (mojibake.garble(word, chain) or "").split():
+                np.add.at(wanted[mojibake._script(word), k], mojibake._bigrams(part), weight)
+    assert (mojibake._garbled_counts(*mojibake.Tally().add([" ".join(words) + " plain", ""]).of(mojibake.GARBLED)) == wanted).all()
+
+
 def test_clean_text_stays(spark, chains):
     for text in [*_samples().values(), "ATENÇÃO: NÃO SÃO", "├── A-1\n│   └── B-2", "It’s “fine” – really…", "", "plain", "сору text"]:
         assert chains.restore(text) == (text, [], False)

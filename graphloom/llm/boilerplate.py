@@ -53,8 +53,8 @@ CODE_LENGTH, NUMBER_LENGTH = 6, 2
 HOT = 1e-4
 
 _MARKUP = re.compile(r"</?[a-zA-Z][^>]*>|^\s*#+\s+|&copy;|&nbsp;|\]\([^)]*\)|^\s*[*+]\s+(?=\[)|\[")
-#: Words with a digit, identifiers among them if they have a letter, too, and words joined by underscores.
-_COUNTED = re.compile(r"[\w-]*\d[\w-]*")
+#: From the first digit of a word to its end, and words joined by underscores.
+_COUNTED = re.compile(r"\d[\w-]*+")
 _JOINED = re.compile(r"(?<!\w)[^\W\d]+(?:_[^\W\d]+)+(?!\w)")
 _LETTER = re.compile(r"[^\W\d_]")
 _NUMBER = re.compile(r"\d+")
@@ -95,7 +95,15 @@ def plain(line: str) -> str:
 def masked(text: str) -> str:
     """The text with # for each part of an identifier and 0 for numbers."""
     if _DIGIT.search(text):
-        text = _COUNTED.sub(lambda m: "#" * (1 + m[0].count("_")) if _LETTER.search(m[0]) else _NUMBER.sub("0", m[0]), text)
+        out, at = [], 0
+        for digits in _COUNTED.finditer(text):
+            start, end = digits.span()
+            while start > at and (text[start - 1].isalnum() or text[start - 1] in "_-"):
+                start -= 1
+            word = text[start:end]  # words with a digit are identifiers if they have a letter, too
+            out += (text[at:start], "#" * (1 + word.count("_")) if _LETTER.search(word) else _NUMBER.sub("0", word))
+            at = end
+        text = "".join([*out, text[at:]])
     return _JOINED.sub(lambda m: "#" * (1 + m[0].count("_")), text) if "_" in text else text
 
 

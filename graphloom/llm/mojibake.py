@@ -237,13 +237,15 @@ class Tally:
         folded: list[str] = []
         n_words = n_folded = 0
         for text in texts:
-            for word in foreign_words(text):
-                words.append(word)
-                n_words += len(word)
-                if n_words >= self.AT_ONCE:
-                    self._add_words(words)
-                    words, n_words = [], 0
-            folded.append(" ".join(["", *text.casefold().split(), ""]) if text.strip() else "  ")
+            split = text.split()
+            for word in split if not text.isascii() else ():
+                if not word.isascii():
+                    words.append(word)
+                    n_words += len(word)
+                    if n_words >= self.AT_ONCE:
+                        self._add_words(words)
+                        words, n_words = [], 0
+            folded.append(" ".join(["", *split, ""]).casefold() if split else "  ")
             n_folded += len(folded[-1])
             if n_folded >= self.AT_ONCE:
                 self._add_folded("".join(folded))
@@ -373,15 +375,32 @@ class CleanModel:
         return total / n if n else 0.0
 
 
+class _Segment:
+    """What is known of a segment: its words with non-ASCII characters, those without lost ones and what they can gain at most;
+    on demand their scores, the suspicious ones and what came of inverting chains."""
+
+    __slots__ = ("foreign", "words", "bound", "scores", "bad", "tried")
+
+    def __init__(self, text: str, judge: ChainClassifier):
+        self.foreign = foreign_words(text)
+        self.words = [w for w in self.foreign if _LOST not in w]
+        self.bound = judge.bound(self.words)
+        self.scores: np.ndarray | None = None
+        self.bad: set[str] | None = None
+        self.tried: dict[tuple[int, bool], tuple[str, float]] = {}
+
+
 class ChainClassifier:
     """Multinomial naive Bayes over ``CHAINS`` and "clean" (the last class), with the model of clean text that verifies its predictions."""
 
     def __init__(self, weights: np.ndarray, model: CleanModel):
         self.weights = weights  # (scripts, chains + 1, BUCKETS) log-probabilities
         self.model = model
+        self.rows = np.ascontiguousarray(weights.reshape(-1, BUCKETS).T)  # what a bigram adds stands together
         self.known: dict[str, np.ndarray] = {}
         self.most: dict[str, float] = {}
         self.clean: set[str] = set()
+        self.segments: dict[str, _Segment] = {}
 
     @classmethod
     def train(cls, samples: list[str], more_clean: list[str] = ()) -> ChainClassifier:
@@ -404,7 +423,7 @@ class ChainClassifier:
             if found is None:
                 if len(self.known) > 100_000:
                     self.known.clear()
-                likely = self.weights[:, :, _bigrams(word)].sum(axis=2).max(axis=0)
+                likely = self.rows[_bigrams(word)].sum(axis=0).reshape(len(SCRIPTS), -1).max(axis=0)
                 found = self.known[word] = likely[:-1] - likely[-1]
             total = total + found
         return total
@@ -433,7 +452,18 @@ class ChainClassifier:
         return True
 
     def suspicious(self, words: list[str]) -> list[str]:
-        return [w for w in words if self.model.word(w)[0] < SUSPECT * self.model.word(w)[1]]
+        return [w for w, (total, n) in zip(words, map(self.model.word, words)) if total < SUSPECT * n]
+
+    def _segment(self, text: str) -> _Segment:
+        """What is known of a segment; segments of usual length met last are kept, for menus and sentences recur."""
+        found = self.segments.get(text)
+        if found is None:
+            found = _Segment(text, self)
+            if len(text) < 512:
+                if len(self.segments) >= 20_000:
+                    self.segments.clear()
+                self.segments[text] = found
+        return found
 
     def attempt(self, segment: str, chain: tuple[str, ...], sure: bool = False) -> tuple[str, float]:
         """(the segment with ``chain`` inverted where that is plausible, gain of plausibility): as a whole
@@ -441,7 +471,10 @@ class ChainClassifier:
         whole = self._inverted(segment, chain, sure)
         if whole is not None:
             return whole
-        bad = set(self.suspicious(foreign_words(segment)))
+        known = self._segment(segment)
+        if known.bad is None:
+            known.bad = set(self.suspicious(known.foreign))
+        bad = known.bad
         if not bad:
             return segment, 0.0
         out, total = [], 0.0
@@ -475,20 +508,23 @@ class ChainClassifier:
         if self._clean(text) or self.bound(w for w in foreign_words(text) if _LOST not in w) <= ODDS:
             return text, [], lost
         segments = _SEGMENT.findall(text)
-        words = {k: [w for w in foreign_words(x) if _LOST not in w] for k, x in enumerate(segments) if not x.isascii()}
-        if all(self.bound(w) <= ODDS for w in words.values()):
+        known = {k: self._segment(x) for k, x in enumerate(segments) if not x.isascii()}
+        if all(x.bound <= ODDS for x in known.values()):
             return text, [], lost
-        scores = {k: self.scores(w) for k, w in words.items() if w}
+        for x in known.values():
+            if x.scores is None:
+                x.scores = self.scores(x.words)
+        scores = {k: x.scores for k, x in known.items() if x.words}
         odds = {k: score for k, score in scores.items() if score.max() > ODDS}
         if not odds:
             return text, [], lost
         support = sum(np.maximum(score, 0.0) for score in odds.values())
-        tried: dict[tuple[int, int], tuple[str, float]] = {}
 
         def attempt(k: int, c: int) -> tuple[str, float]:
-            if (k, c) not in tried:
-                tried[k, c] = self.attempt(segments[k], CHAINS[c], bool(scores[k][c] >= SURE))
-            return tried[k, c]
+            tried, sure = known[k].tried, bool(scores[k][c] >= SURE)
+            if (c, sure) not in tried:
+                tried[c, sure] = self.attempt(segments[k], CHAINS[c], sure)
+            return tried[c, sure]
 
         heads = set()
         for k, score in odds.items():
@@ -504,7 +540,7 @@ class ChainClassifier:
         good = [c for c in sorted(heads) if gains[c] >= (EVIDENCE / 4 if CHAINS[c][0] in _WIDE else EVIDENCE)]
         chains, out = [], []
         for k, segment in enumerate(segments):
-            if good and k in scores and (scores[k].max() > 0 or self.suspicious(words[k])):
+            if good and k in scores and (scores[k].max() > 0 or self.suspicious(known[k].words)):
                 for c in sorted(good, key=lambda c: -(scores[k][c] + support[c])):
                     if attempt(k, c)[1] > 0:
                         segment = attempt(k, c)[0]

@@ -1,5 +1,6 @@
 import base64
 import re
+import time
 import unicodedata
 
 import numpy as np
@@ -244,6 +245,19 @@ def test_long_lines_are_judged_alike(spark, chains):
     assert _template(spark.createDataFrame(pages, PAGES), [_texts(spark, [prose])], chains) == {(str(i), k) for i in range(4) for k in (1, 3)}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab1٣²_-. É\n", max_size=30))
+def test_words_with_digits_are_masked(text):
+    counted = re.sub(r"[\w-]*\d[\w-]*", lambda m: "#" * (1 + m[0].count("_")) if re.search(r"[^\W\d_]", m[0]) else re.sub(r"\d+", "0", m[0]), text)
+    assert boilerplate.masked(text) == re.sub(r"(?<!\w)[^\W\d]+(?:_[^\W\d]+)+(?!\w)", lambda m: "#" * (1 + m[0].count("_")), counted)
+
+
+def test_long_words_are_masked_in_linear_time():
+    began = time.process_time()
+    assert boilerplate.masked("a" * 100_000 + " 1" + "-b" * 50_000 + "é" * 100_000) == "a" * 100_000 + " #"
+    assert time.process_time() - began < 5
+
+
 def test_places_inside_main_text_and_codes_are_kept(spark, chains):
     word = ["one", "two", "six", "ten"]
     pages = [("t", w, "h", f"Skip to content\nRecord {w} was changed.\nLayout\nThe {w} record is drawn.\nTables: AB_{w}_1, CD_{w}_2\nLine {w} remains.\nBack to top", False) for w in word]
@@ -328,6 +342,22 @@ def test_two_chains_in_one_record(chains):
     assert {"utf-8<-cp850"} < set(found) and len(found) == 2
 
 
+def test_recurring_segments_are_judged_once(monkeypatch):
+    judge = mojibake.ChainClassifier.train(list(_samples().values()) * 2)
+    texts = [t for x in _samples().values() for c in (("utf-8", "cp1252"), ("cp1251", "koi8_r"), ("cp850", "cp1252")) if (t := mojibake.garble(x, c))]
+    wanted = []
+    for text in texts:
+        judge.segments.clear()
+        wanted.append(judge.restore(f"{text}\n{texts[0]}"))
+    judged = []
+    inverted = judge._inverted
+    monkeypatch.setattr(judge, "_inverted", lambda segment, *rest: judged.append((segment, *rest)) or inverted(segment, *rest))
+    judge.segments.clear()
+    assert [judge.restore(f"{text}\n{texts[0]}") for text in texts for _ in range(2)] == [x for x in wanted for _ in range(2)]
+    whole = [x for x in judged if "\n" in x[0] or " " in x[0].strip()]
+    assert whole and len(whole) == len(set(whole))
+
+
 def test_short_japanese():
     text = "この記録は変更されました。金額は四捨五入されます。日本語の設定を確認してください。"
     judge = mojibake.ChainClassifier.train([*_samples().values(), text] * 2)

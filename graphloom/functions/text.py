@@ -1,9 +1,10 @@
 """Text functions as Catalyst expressions. No function here leaves the JVM, but for text with characters
 whose decomposition has several parts (ligatures, fractions) and NFKC of text beyond ASCII, which go
-through Arrow UDFs."""
+through Arrow UDFs, and ``run_tokens``, which Arrow workers call."""
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -106,6 +107,42 @@ def tokenize(column: Column | str) -> Column:
     return F.filter(F.flatten(F.transform(words, _word_parts)), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
+@lru_cache(maxsize=1)
+def _plain_table() -> dict[int, str | None]:
+    """``_accent_table`` and ``LIGATURES`` for ``str.translate``."""
+    source, plain, marks = _accent_table()
+    table = dict.fromkeys(map(ord, marks)) | {ord(c): p for c, p in zip(source, plain)}
+    return table | {ord(c): unicodedata.normalize("NFKD", c).translate(table) for c in LIGATURES}
+
+
+_RUNS, _BREAKS = re.compile("[A-Za-z0-9_\x80-\U0010ffff]+"), {i: " " for i in range(128) if not (chr(i).isalnum() or chr(i) == "_")}
+_WORD, _INNER, _SPLITS, _STOP = re.compile("[A-Za-z0-9_]+"), re.compile(_INNER_SPLIT), [re.compile(p) for p in WORD_SPLITS], frozenset(STOPWORDS)
+
+
+def runs_of(text: str) -> list[str]:
+    """The parts of a text between ASCII characters that end a word; those beyond ASCII may become letters."""
+    return text.translate(_BREAKS).split() if text.isascii() else _RUNS.findall(text)
+
+
+def run_tokens(run: str) -> list[str]:
+    """``tokenize`` of a part of ``runs_of``, in Python: nearly all runs repeat, so that a worker takes each apart once
+    where the expressions work on each word of each text."""
+    if run.isascii() and (run.isdigit() or run.isalpha() and (run[1:].islower() or run.islower() or run.isupper())):
+        words = [(run, False)]
+    else:
+        words = [(w, True) for w in _WORD.findall(run if run.isascii() else run.translate(_plain_table()))]
+    found: list[str] = []
+    for word, mixed in words:
+        found.append(whole := word.lower())
+        if mixed and _INNER.search(word):
+            for pattern in _SPLITS:
+                word = pattern.sub(r"\1 \2", word)
+            found += word.lower().split(" ")
+        if "_" in whole:
+            found += [p for p in whole.split("_") if p]
+    return [t for t in found if len(t) > 1 and t not in _STOP]
+
+
 def slugify(column: Column | str) -> Column:
     slug = F.regexp_replace(F.regexp_replace(normalize_text(column), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.coalesce(F.nullif(slug, F.lit("")), F.lit("item"))

@@ -11,7 +11,7 @@ from graphloom.functions import text as T
 from graphloom.operators import catalog, checks, context, corpus, documents, federated, graph, index, lexical, references, rules, vector
 from graphloom.plans import catalog_graph
 from graphloom.sources import files, html, pages
-from graphloom.sources.tables import cut_lineage, read_table, shared_dir, spread
+from graphloom.sources.tables import cut_lineage, free_shuffles, land, read_table, shared_dir, spread
 
 QUERIES: dict = {}
 
@@ -658,16 +658,27 @@ def index_rebuild_decisions(spark, root):
     return index.rebuild_decisions(now, m.unionByName(gone), "m1")
 
 
-@query
-def index_build(spark, root):
-    """Builds the layer index in the shared folder and reads back what each layer holds."""
+def _catalog_index(spark, root):
+    """Builds the layer index of the catalog in the shared folder; its path.
+
+    Only the columns of the index are read; the layers' joins leave no edge without its ends."""
     import uuid
 
-    n, e = _layered(spark, root)
-    n = n.select("id", "node_type", "title", "search_text", "modules", "graph_layer")
     path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    index.build_index(cut_lineage(n), cut_lineage(e.select("source", "target", "type", "weight", "graph_layer")), path)
-    p = spark.read.parquet(f"{path}/postings").groupBy("graph_layer").agg(_long("n_nodes", F.count_distinct("id")), _long("n_tokens", F.sum("tf")))
+    n = catalog_graph.nodes(spark, root).select("id", "node_type", "title", "search_text", "modules")
+    n = land(n.withColumn("graph_layer", graph.node_layer(F.col("node_type"))).where(F.col("graph_layer").isNotNull()), "index-nodes", compression="zstd")
+    free_shuffles(spark)
+    _, e = graph.split_layers(n.drop("graph_layer"), catalog_graph.edges(spark, root))
+    e = land(e.select("source", "target", "type", "weight", "graph_layer"), "index-edges", compression="zstd")
+    free_shuffles(spark)
+    index.build_index(n, e, path)
+    return path
+
+
+@query
+def index_build(spark, root):
+    """Builds the layer index in the shared folder and reads back what each layer holds."""
+    p = spark.read.parquet(f"{_catalog_index(spark, root)}/postings").groupBy("graph_layer").agg(_long("n_nodes", F.count_distinct("id")), _long("n_tokens", F.sum("tf")))
     return p.select(F.col("graph_layer").cast("string").alias("graph_layer"), "n_nodes", "n_tokens")
 
 

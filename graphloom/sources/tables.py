@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -64,13 +65,21 @@ def release_landed(spark: SparkSession) -> int:
     return n
 
 
-def land(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def free_shuffles(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark deletes the shuffle files of a plan that ended only then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def land(df: DataFrame, label: str, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet below the shared folder and reads it back (columnar, prunable)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if compression:
+        writer = writer.option("compression", compression)
     writer.parquet(path)
     _LANDED.append(path)
     return spark.read.schema(df.schema).parquet(path)

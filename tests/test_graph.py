@@ -120,6 +120,30 @@ def test_index_skips_unchanged_layers(spark, tmp_path):
         index.build_index(n, spark.createDataFrame([("a", "zz", "t", 1.0, "physical")], e.schema), path)
 
 
+def test_index_postings_are_counted_in_place(spark, tmp_path, monkeypatch):
+    texts = ["the Quick quick BROWN_Fox fox2 Fox2A HTTPServer aB", None, "", "x", "ﬁnance ½ ｆｕｌｌ　ｗｉｄｅ café cafe\u0301 naïve_Ünit №7 …dots…", "счёт й 𝐀𝐁c 表 e é", "__a__ AB12CD34 a1b2C3 _ i̇ße İx"]
+    rows = [(f"n{i}", "t", "Title One", t, "physical" if i % 2 else "business") for i, t in enumerate(texts)]
+    n = spark.createDataFrame(rows, "id string, node_type string, title string, search_text string, graph_layer string")
+    monkeypatch.setattr(index, "RUNS_AT_ONCE", 7)
+    expected = sorted(map(tuple, lexical.postings(n, F.concat_ws(" ", "title", "search_text")).select("id", "term", "dl", "tf").collect()))
+    got = index.layer_postings(n)
+    assert sorted(map(tuple, got.collect())) == expected
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    e = spark.createDataFrame([], "source string, target string, type string, weight double, graph_layer string")
+    path = str(tmp_path / "index")
+    index.build_index(n, e, path)
+    assert sorted(map(tuple, index.indexed_layer(spark, path, "postings", ["business", "physical"]).select("id", "term", "dl", "tf").collect())) == expected
+    monkeypatch.undo()
+    index.build_index(n, e, path, force=True)
+    for file in (tmp_path / "index" / "postings").rglob("*.parquet"):
+        terms = [r.term for r in spark.read.parquet(str(file)).collect()]
+        assert terms == sorted(terms)
+    changed = n.withColumn("title", F.when(F.col("id") == "n0", "B2").otherwise(F.col("title")))
+    assert {r.graph_layer: r.action for r in index.build_index(changed, e, path).collect()} == {"physical": "skip", "business": "rebuild"}
+    with pytest.raises(ValueError):
+        index.build_index(n, spark.createDataFrame([(None, "n1", "t", 1.0, "physical")], e.schema), path)
+
+
 def test_federated_fan_out_is_bounded(spark):
     edges = spark.createDataFrame([("r", f"o{i}", "has_operation", 1.0) for i in range(200)], "source string, target string, type string, weight double")
     sim = spark.createDataFrame([("q", f"o{i}", float(i == 173), f"op {i}") for i in range(200)], "query_id string, node string, similarity double, title string")

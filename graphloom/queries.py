@@ -938,12 +938,7 @@ def text_chunk(spark, root):
 @query
 def index_metadata(spark, root):
     """Tables and layers of an index as its files lie."""
-    import uuid
-
-    n, e = _layered(spark, root)
-    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    index.build_index(cut_lineage(n.select("id", "node_type", "title", "search_text", "modules", "graph_layer")), cut_lineage(e.select("source", "target", "type", "weight", "graph_layer")), path)
-    return index.refresh_metadata(spark, path).select("table", "graph_layer")
+    return index.refresh_metadata(spark, _catalog_index(spark, root)).select("table", "graph_layer")
 
 
 @query

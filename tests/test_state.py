@@ -160,3 +160,19 @@ def test_landed_tables_are_released(spark):
     path = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
     assert df.count() == 3 and os.path.isdir(path)
     assert S.release_landed(spark) == 1 and not os.path.exists(path)
+
+
+def test_index_of_catalog_lands_only_its_columns(spark, tmp_path, monkeypatch):
+    from graphloom import queries
+    from graphloom.plans import catalog_graph
+
+    n = spark.createDataFrame([("r", "validated_rule", "R", "rule one", ["m"], "x"), ("e", "business_entity", "E", "entity", ["m"], "x"), ("t", "physical_table", "T", "table", ["m"], "x")], "id string, node_type string, title string, search_text string, modules array<string>, source_type string")
+    e = spark.createDataFrame([("e", "r", "mapped_to_entity", 1.0), ("r", "t", "uses_table", 1.0), ("e", "gone", "mapped_to_entity", 1.0)], "source string, target string, type string, weight double")
+    monkeypatch.setattr(catalog_graph, "nodes", lambda *_: n)
+    monkeypatch.setattr(catalog_graph, "edges", lambda *_: e)
+    monkeypatch.setattr(queries, "shared_dir", lambda _: str(tmp_path))
+    found = {(r.table, r.graph_layer) for r in queries.index_metadata(spark, "").collect()}
+    assert found == {("nodes", "business"), ("nodes", "physical"), ("postings", "business"), ("postings", "physical"), ("edges", "business")}
+    monkeypatch.setattr(queries, "cut_lineage", None)  # checkpoints are rows as they lie in memory, with every column
+    assert queries.index_metadata(spark, "").count() == 5
+    assert "source_type" not in spark.read.parquet(str(next(p for p in tmp_path.rglob("nodes/*/*.parquet")))).columns
